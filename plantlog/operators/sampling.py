@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-# Order positions per chunk of a deadband run: bounds what one task holds of one series.
-CHUNK_WIDTH = 200_000
+from plantlog.functions.sizing import broadcast_if_bounded
+
+# Readings per chunk of a deadband run: bounds what one task holds of one series.
+CHUNK_ROWS = 200_000
 
 
 def sample_interval(readings: DataFrame, interval_seconds: float, keys: list[str],
@@ -88,22 +90,43 @@ def _outgoing(last: float, rising: np.ndarray, falling: np.ndarray, band: float)
     return min(hits)[2] if hits else last
 
 
+def _chunks_of_hot_series(rows: DataFrame, keys: list[str], order: str,
+                          chunk_rows: int) -> DataFrame:
+    """``(*keys, _bucket, _chunk)`` of the series longer than ``chunk_rows``.
+
+    Readings are counted per order bucket and the counts are summed up along the series, so a
+    chunk holds fewer than twice ``chunk_rows`` readings however unevenly they arrive. There are at
+    most (all readings / chunk_rows) such series; every other series is one chunk.
+    """
+    hot = rows.groupBy(*keys).count().where(F.col("count") > chunk_rows).select(*keys)
+    counts = rows.join(hot, keys, "left_semi").groupBy(*keys, "_bucket").agg(
+        F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return counts.select(*keys, "_bucket", F.floor(
+        F.coalesce(F.sum("n").over(before), F.lit(0)) / chunk_rows).cast("bigint").alias("_chunk"))
+
+
 def deadband_filter(readings: DataFrame, band: float, keys: list[str], value: str = "value_num",
-                    order: str = "offset", chunk_width: int = CHUNK_WIDTH) -> DataFrame:
+                    order: str = "offset", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Drop readings that differ from the last *kept* one of their signal by less than ``band``.
 
-    The rule is sequential, so a series is cut into chunks: each chunk is summarised on its own,
-    the short summaries are folded in order to find the value every chunk starts from, and each
-    chunk is then filtered on its own. A hot signal thus spreads over as many tasks as it has
-    chunks. Readings without a numeric value or a signal are no samples and drop out.
+    The rule is sequential. A long series is cut into chunks: each is summarised on its own, the
+    short summaries are folded in order to find the value every chunk starts from, and then all
+    chunks (a short series being one) are filtered independently. A hot signal thus spreads over as
+    many tasks as it has chunks. ``order`` is a BIGINT position, unique within a signal. Readings
+    without a numeric value or a signal are no samples and drop out.
     """
-    rows = readings.dropna(subset=[value, *keys]).withColumn(
-        "_chunk", F.expr(f"`{order}` div {int(chunk_width)}"))
+    rows = readings.dropna(subset=[value, *keys])
     if band <= 0:
-        return rows.drop("_chunk")
+        return rows
+    columns = readings.columns
+    rows = rows.withColumn("_bucket", F.expr(f"`{order}` div {int(chunk_rows)}"))
+    chunks = _chunks_of_hot_series(rows, keys, order, chunk_rows)
     group = [*keys, "_chunk"]
+    cut = rows.select(*group[:-1], "_bucket", order, value).join(chunks, [*keys, "_bucket"])
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                        for f in rows.select(*group).schema.fields)
+                        for f in cut.select(*group).schema.fields)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
@@ -111,7 +134,7 @@ def deadband_filter(readings: DataFrame, band: float, keys: list[str], value: st
         head = {k: [pdf[k].iloc[0]] for k in group}
         return pd.DataFrame({**head, "_up": [up], "_down": [down]})
 
-    summaries = rows.select(*group, order, value).groupBy(*group).applyInPandas(
+    summaries = cut.groupBy(*group).applyInPandas(
         summarise, f"{key_ddl}, _up array<double>, _down array<double>")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,13 +153,30 @@ def deadband_filter(readings: DataFrame, band: float, keys: list[str], value: st
     entries = (summaries.repartition(*keys).sortWithinPartitions(*group)
                .mapInPandas(fold, f"{key_ddl}, _last double"))
 
-    columns = readings.columns
-    out_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in readings.schema.fields)
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        start = pdf["_last"].iloc[0]
-        start = float("nan") if start is None else float(start)
-        return pdf.iloc[_walk(pdf[value].to_numpy(dtype=float), band, start)][columns]
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, last = None, float("nan")
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            fresh = np.zeros(len(pdf), dtype=bool)
+            for k in group:
+                col = pdf[k].to_numpy()
+                fresh[1:] |= col[1:] != col[:-1]
+            fresh[0] = tuple(pdf[group].iloc[0]) != current
+            current = tuple(pdf[group].iloc[-1])
+            kept = []
+            for i, (v, new, start) in enumerate(zip(
+                    pdf[value].tolist(), fresh.tolist(), pdf["_last"].astype(float).tolist())):
+                if new:
+                    last = start
+                if not abs(v - last) < band:
+                    kept.append(i)
+                    last = v
+            yield pdf.iloc[kept][columns]
 
-    return rows.join(entries, group).groupBy(*group).applyInPandas(keep, out_ddl)
+    out_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in readings.schema.fields)
+    starts = chunks.join(entries, group, "left")
+    placed = rows.join(broadcast_if_bounded(starts), [*keys, "_bucket"], "left").withColumn(
+        "_chunk", F.coalesce("_chunk", F.lit(0)))
+    return (placed.repartition(*group).sortWithinPartitions(*group, order)
+            .mapInPandas(walk, out_ddl))
