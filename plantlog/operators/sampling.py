@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plantlog.functions.sizing import broadcast_if_bounded
+from plantlog.functions.sizing import bounded_rows
 
 # Readings per chunk of a deadband run: bounds what one task holds of one series.
 CHUNK_ROWS = 200_000
@@ -176,7 +176,9 @@ def deadband_filter(readings: DataFrame, band: float, keys: list[str], value: st
 
     out_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in readings.schema.fields)
     starts = chunks.join(entries, group, "left")
-    placed = rows.join(broadcast_if_bounded(starts), [*keys, "_bucket"], "left").withColumn(
+    if bounded_rows(chunks):  # one row per chunk bucket, as in ``starts``, without the Python part
+        starts = F.broadcast(starts)
+    placed = rows.join(starts, [*keys, "_bucket"], "left").withColumn(
         "_chunk", F.coalesce("_chunk", F.lit(0)))
     return (placed.repartition(*group).sortWithinPartitions(*group, order)
             .mapInPandas(walk, out_ddl))

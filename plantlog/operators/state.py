@@ -10,6 +10,10 @@ from plantlog.operators import events as E
 from plantlog.schema import DEFAULT_VOCABULARY, Vocabulary
 
 
+# Columns of an enriched reading that may be NULL while its key is not.
+_NULLABLE = ("value", "type", "tag")
+
+
 def latest_state(enriched: DataFrame, ignore_nulls: bool = True,
                  strategy: str = "single_pass") -> DataFrame:
     """Latest value of every column per composite key, by log offset.
@@ -17,41 +21,37 @@ def latest_state(enriched: DataFrame, ignore_nulls: bool = True,
     With ``ignore_nulls`` each column keeps its last non-NULL value on its own. Rows without a key
     belong to no signal. Two plans give the same rows:
 
-    ``single_pass`` aggregates ``max_by`` directly: one scan, partial aggregation before the
-    shuffle, and the string buffers make Spark sort each task's input by key.
+    ``single_pass`` aggregates ``max_by`` directly: one scan and a partial aggregation before the
+    shuffle, so a hot key costs one row per task. Columns that are never NULL share one ``max_by``.
     ``two_pass`` first finds the winning offsets with a hash aggregation over longs, then fetches
-    only those rows; it scans twice and never sorts the log.
+    only those rows; it pays off where the winners are few enough to be broadcast.
     """
     keyed = enriched.where(F.col("key").isNotNull())
     if strategy == "two_pass":
         return _latest_two_pass(keyed, ignore_nulls)
-
-    def last(name: str) -> Column:
-        expr = f"max_by({name}, offset)"
-        return F.expr(f"{expr} FILTER (WHERE {name} IS NOT NULL)" if ignore_nulls else expr)
-
-    return keyed.groupBy("key").agg(*[last(c).alias(c) for c in S.STATE_COLUMNS])
+    apart = _NULLABLE if ignore_nulls else ()
+    together = [c for c in S.STATE_COLUMNS if c not in apart]
+    last = [F.expr(f"max_by({c}, offset) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in apart]
+    folded = keyed.groupBy("key").agg(F.max_by(F.struct(*together), "offset").alias("_r"), *last)
+    return folded.select("key", *[F.col(f"_r.{c}").alias(c) if c in together else F.col(c)
+                                  for c in S.STATE_COLUMNS])
 
 
 def _latest_two_pass(keyed: DataFrame, ignore_nulls: bool) -> DataFrame:
-    def last_at(name: str) -> Column:
-        # an enriched timestamp is never NULL, so most filters share the plain maximum
-        return F.max(F.when(F.col(name).isNotNull(), F.col("offset")) if ignore_nulls
-                     else F.col("offset"))
-
-    nullable = [c for c in S.STATE_COLUMNS if c not in ("asset_uuid", "id")]
-    winners = keyed.groupBy("key").agg(
-        F.max("offset").alias("_any"), *[last_at(c).alias(f"_at_{c}") for c in nullable])
-    # the few offsets that hold a latest value of some column
-    wanted = winners.select(
-        "key", F.explode(F.array_distinct(F.array_compact(
-            F.array("_any", *[f"_at_{c}" for c in nullable])))).alias("offset"))
-    rows = keyed.join(wanted, ["key", "offset"], "left_semi")
-    picked = rows.join(winners, "key").groupBy("key").agg(
-        *[F.max_by(c, F.when(F.col("offset") == F.col("_any" if c in ("asset_uuid", "id")
-                                                      else f"_at_{c}"), 1)).alias(c)
-          for c in S.STATE_COLUMNS])
-    return picked
+    apart = _NULLABLE if ignore_nulls else ()
+    winners = keyed.groupBy("key").agg(F.max("offset").alias("_at"), *[
+        F.max(F.when(F.col(c).isNotNull(), F.col("offset"))).alias(f"_at_{c}") for c in apart])
+    # the few offsets that hold a latest value of some column, with the columns they hold
+    held = winners.select("key", F.explode(F.array_distinct(F.array_compact(
+        F.array("_at", *[f"_at_{c}" for c in apart])))).alias("offset"),
+        "_at", *[f"_at_{c}" for c in apart])
+    rows = keyed.join(held, ["key", "offset"])
+
+    def at(column: str, position: str) -> Column:
+        return F.max_by(column, F.when(F.col("offset") == F.col(position), 1)).alias(column)
+
+    return rows.groupBy("key").agg(*[
+        at(c, f"_at_{c}" if c in apart else "_at") for c in S.STATE_COLUMNS])
 
 
 def latest_by_timestamp(enriched: DataFrame) -> DataFrame:
