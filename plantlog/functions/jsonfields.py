@@ -1,32 +1,44 @@
 """Case-insensitive field access over JSON objects.
 
 Producers disagree about the case of field names and ``from_json`` with a struct is
-case-sensitive, so an object is read as a string map, its names folded to lower case, and the
-last of several equal names wins.
+case-sensitive, so an object is read as a string map once, its names are folded to lower case, and
+the last of several equal names wins. Names and values are kept in reverse order, which makes "the
+last one" a plain ``array_position``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 MAP_DDL = "map<string,string>"
 
+_NAMES, _VALUES = "_names", "_values"
 
-def folded_entries(text: Column) -> Column:
-    """Array of ``(key, value)`` with lower-case keys; NULL when the text is no JSON object."""
-    entries = F.map_entries(F.from_json(text, MAP_DDL))
-    return F.transform(
-        entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
 
+def fold_fields(df: DataFrame, text: str = "value") -> DataFrame:
+    """Add the folded fields of a JSON column for :func:`folded_field`; both are NULL when the
+    text is no JSON object. Drop them with ``select``."""
+    return (df.withColumn("_object", F.from_json(text, MAP_DDL))
+            .withColumn(_NAMES, F.reverse(F.transform(F.map_keys("_object"), lambda k: F.lower(k))))
+            .withColumn(_VALUES, F.reverse(F.map_values("_object"))))
 
-def folded_field(entries: Column, name: str) -> Column:
+
+def is_object() -> Column:
+    return F.col(_NAMES).isNotNull()
+
+
+def folded_contains(name: str) -> Column:
+    return F.array_contains(F.col(_NAMES), name.lower())
+
+
+def folded_field(name: str) -> Column:
     """Value of one field (NULL when absent), the last duplicate winning."""
-    hits = F.filter(entries, lambda e: e["key"] == name.lower())
-    return F.try_element_at(hits, F.lit(-1))["value"]
+    position = F.nullif(F.array_position(F.col(_NAMES), name.lower()), F.lit(0))
+    return F.try_element_at(F.col(_VALUES), position.cast("int"))
 
 
-def folded_contains(entries: Column, name: str) -> Column:
-    return F.exists(entries, lambda e: e["key"] == name.lower())
+def field_count() -> Column:
+    return F.size(_NAMES)
 
 
 def without_field(text: Column, name: str) -> Column:

@@ -109,9 +109,18 @@ def message_error() -> Column:
             .when(F.coalesce(F.col("id"), F.lit("")) == "", "missing_id"))
 
 
+def with_message_error(messages: DataFrame) -> DataFrame:
+    """Messages with their ``error``: one pass for a sink that writes both outcomes."""
+    return messages.withColumn("error", message_error())
+
+
 def split_invalid(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(deliverable, dead letters with ``error``); both keep the order columns."""
-    checked = messages.withColumn("error", message_error())
+    """(deliverable, dead letters with ``error``); both keep the order columns.
+
+    Two frames over one input: whoever needs both at once writes
+    :func:`with_message_error` partitioned by ``error`` and so parses once.
+    """
+    checked = with_message_error(messages)
     return (checked.where(F.col("error").isNull()).drop("error"),
             checked.where(F.col("error").isNotNull()))
 

@@ -74,7 +74,6 @@ def counter_rate(samples: DataFrame, by: list[str], value: str = "value", ts: st
     Samples are compared inside their window first, which never gathers more than one window of
     one series; the step between windows uses each window's first and last sample only.
     """
-    start = F.window(ts, f"{window_seconds} seconds")["start"]
     rows = samples.select(*by, F.col(ts).cast("timestamp").alias("_ts"),
                           F.col(value).alias("_v")).withColumn(
         "window_start", F.window("_ts", f"{window_seconds} seconds")["start"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plantlog import schema as S
-from plantlog.functions.jsonfields import MAP_DDL, folded_entries, folded_field
+from plantlog.functions.jsonfields import MAP_DDL, fold_fields, folded_field, is_object
 
 
 def log_records(spark: SparkSession, location: str, *, fmt: str = "parquet",
@@ -48,17 +48,16 @@ def parse_asset_events(records: DataFrame, keep_payload: bool = False) -> DataFr
     Fields of an undecodable payload are NULL; :func:`plantlog.operators.events.message_error`
     tells those apart when ``keep_payload`` leaves the raw text in.
     """
-    fields = folded_entries(F.col("value"))
-    parsed = records.withColumn("_f", fields)
+    parsed = fold_fields(records)
     columns = [
         F.col("key").alias("asset_uuid"),
-        *[folded_field(F.col("_f"), name).alias(name) for name in ("id", "value", "tag", "type")],
-        F.from_json(folded_field(F.col("_f"), "attributes"), MAP_DDL).alias("attributes"),
+        *[folded_field(name).alias(name) for name in ("id", "value", "tag", "type")],
+        F.from_json(folded_field("attributes"), MAP_DDL).alias("attributes"),
         F.col("partition"), F.col("offset"), F.col("timestamp").alias("log_time"),
         F.col("timestampType").alias("log_time_type"),
     ]
     if keep_payload:
-        columns += [F.col("value").alias("payload"), F.col("_f").isNotNull().alias("decoded")]
+        columns += [F.col("value").alias("payload"), is_object().alias("decoded")]
     return parsed.select(*columns)
 
 
@@ -73,10 +72,8 @@ def parse_changelog(records: DataFrame, fields: dict[str, str]) -> DataFrame:
     ``fields`` maps the struct's field names to Spark types; a value that does not cast is NULL.
     ``map<string,string>`` reads a nested object, ``timestamp`` reads epoch milliseconds.
     """
-    entries = F.col("_f")
-
     def typed(name: str, type_name: str):
-        raw = folded_field(entries, name)
+        raw = folded_field(name)
         if type_name.replace(" ", "") == MAP_DDL:
             return F.from_json(raw, MAP_DDL)
         if type_name == "timestamp":
@@ -84,9 +81,8 @@ def parse_changelog(records: DataFrame, fields: dict[str, str]) -> DataFrame:
         return raw.try_cast(type_name)
 
     value = F.struct(*[typed(n, t).alias(n) for n, t in fields.items()])
-    return (records.withColumn("_f", folded_entries(F.col("value")))
-            .select(F.col("key").alias("k"),
-                    F.when(F.col("_f").isNotNull(), value).alias("v"), "offset"))
+    return fold_fields(records).select(
+        F.col("key").alias("k"), F.when(is_object(), value).alias("v"), "offset")
 
 
 def scan_changelog(spark: SparkSession, location: str, fields: dict[str, str],

@@ -10,9 +10,10 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plantlog import configure
+from plantlog.operators.routing import route
 from plantlog.operators.uns import ANY, Namespace
 from plantlog.plans import Catalog, build_topology
 from plantlog.schema import DEFAULT_VOCABULARY as V
@@ -25,6 +26,24 @@ NAMESPACE = Namespace(
     template="inc/area/workcenter/station/asset/attribute")
 LEVELS = list(NAMESPACE.fields)
 
+# The driver's tables, declared so that no reader opens files to infer a schema.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+}
+
 _SPARK_ISO = "date_format({0}, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
 _DUCK_ISO = "(strftime({0}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z')"
 
@@ -307,7 +326,7 @@ class Tables:
         self.dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.dir}/{name}.parquet")
 
     def _adapt(self, name: str, base: DataFrame | None = None) -> DataFrame:
         source, cols = ADAPTERS[name]
@@ -343,7 +362,7 @@ class Tables:
     def stream(self, name: str) -> DataFrame:
         """An adapter read as a file stream."""
         source = ADAPTERS[name][0]
-        base = (self.spark.readStream.schema(self.table(source).schema)
+        base = (self.spark.readStream.schema(SCHEMAS[source])
                 .option("pathGlobFilter", f"{source}.parquet").parquet(self.dir))
         return self._adapt(name, base)
 
@@ -422,14 +441,14 @@ class Tables:
             F.lit(V.platform_type).alias("type"), F.lit("AssetsReferences").alias("tag"),
             F.lit("UNAVAILABLE").alias("timestamp"))
 
-    @property
-    def outcomes(self) -> DataFrame:
-        """One delivery outcome per message."""
-        from plantlog.operators.routing import route
+    def outcomes(self, routed: bool = False) -> DataFrame:
+        """One delivery outcome per message, with its cluster on request."""
         off = F.col("off")
-        return route(self._adapt("ev"), CLUSTERS).select(
-            F.concat(F.lit("F-"), F.col("part").cast("string")).alias("forwarder"), "cluster",
-            off.alias("offset"), F.col("ts").cast("timestamp").alias("ts"),
+        rows = self._adapt("ev")
+        rows = route(rows, CLUSTERS) if routed else rows
+        return rows.select(
+            F.concat(F.lit("F-"), F.col("part").cast("string")).alias("forwarder"),
+            *(["cluster"] if routed else []), off.alias("offset"), F.col("ts").cast("timestamp").alias("ts"),
             (F.col("id") == "error").alias("is_error"), (off % 89 == 0).alias("is_invalid"),
             (off % 19 == 0).alias("is_failed"), (off % 100 == F.col("part")).alias("opens_call"),
             (F.col("num") / 1000).alias("queue_time"), (F.col("num") / 2500).alias("latency"),
@@ -438,10 +457,9 @@ class Tables:
     def counters(self, label: str, counted: dict[str, str]) -> DataFrame:
         """Running counters per label as samples; every 2500 messages they restart, so a window
         group never exceeds one epoch."""
-        from pyspark.sql import Window
         w = Window.partitionBy(label, "epoch").orderBy("offset").rowsBetween(
             Window.unboundedPreceding, 0)
-        return self.outcomes.select(label, "ts", *[
+        return self.outcomes(label == "cluster").select(label, "ts", *[
             F.sum(F.expr(e)).over(w).alias(n) for n, e in counted.items()])
 
     def topology(self, events: DataFrame | None = None) -> Catalog:

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from plantlog import schema as S
 from plantlog.functions import iso_ms
 from plantlog.operators import events as E, metrics as M, routing, state as St, uns
-from workload.adapters import ADAPTERS, CLUSTERS, LEVELS, NAMESPACE, SEGMENTS, Tables
+from workload.adapters import CLUSTERS, LEVELS, NAMESPACE, SEGMENTS, Tables
 from workload.q_state import VALID, requests, state
 from workload.registry import query
 
@@ -166,12 +166,12 @@ FROM outcome GROUP BY 1
 UNION ALL SELECT cluster, count(*) FILTER (NOT is_failed), count(*) FILTER (is_failed), 0, 0
 FROM outcome WHERE NOT is_error AND NOT is_invalid GROUP BY 1""")
 def _(t: Tables):
-    f = M.forwarder_counters(t.outcomes).select(
+    f = M.forwarder_counters(t.outcomes()).select(
         F.col("forwarder").alias("label"), F.col("consumed").alias("a"),
         F.col("kafka_errors").alias("b"), F.col("invalid").alias("c"),
         F.col("consume_calls").alias("d"))
     zero = F.lit(0).cast("bigint")
-    c = M.cluster_counters(t.outcomes).select(
+    c = M.cluster_counters(t.outcomes(True)).select(
         F.col("cluster").alias("label"), F.col("published").alias("a"),
         F.col("publish_failures").alias("b"), zero.alias("c"), zero.alias("d"))
     return f.unionByName(c)
@@ -235,7 +235,7 @@ FROM outcome, (SELECT unnest({_bounds_sql(bounds)}) AS le) GROUP BY ALL"""
 
     @query(name, sql)
     def _(t: Tables):
-        h = M.histogram(t.outcomes, value, bounds, ["forwarder"])
+        h = M.histogram(t.outcomes(), value, bounds, ["forwarder"])
         le = F.when(F.col("le") == M.INFINITY, "+Inf").otherwise(
             F.round(F.col("le") * 10000).cast("bigint").cast("string"))
         return h.select("forwarder", le.alias("le"), "value",
@@ -249,7 +249,7 @@ _histogram("queue_size_histogram", "queue_size", S.QUEUE_SIZE_BOUNDS)
 
 def _bucket_samples(t: Tables, value: str, bounds):
     """Bucket counters as scraped every minute; they restart every day."""
-    by_minute = t.outcomes.withColumn("minute", F.date_trunc("minute", "ts"))
+    by_minute = t.outcomes().withColumn("minute", F.date_trunc("minute", "ts"))
     h = M.histogram(by_minute, value, bounds, ["forwarder", "minute"])
     day = Window.partitionBy("forwarder", "le", F.to_date("minute")).orderBy("minute").rowsBetween(
         Window.unboundedPreceding, 0)
@@ -310,7 +310,7 @@ for _name, (_value, _bounds) in _HISTS.items():
 
 @query("queue_size_current", "SELECT forwarder, arg_max(queue_size, ts) AS queue_size FROM outcome GROUP BY 1")
 def _(t: Tables):
-    return M.gauge_current(t.outcomes, "forwarder", "queue_size")
+    return M.gauge_current(t.outcomes(), "forwarder", "queue_size")
 
 
 @query("build_info", """
@@ -318,7 +318,7 @@ SELECT forwarder, arg_max('v' || CAST(epoch AS VARCHAR), ts) AS version,
   arg_max('n' || CAST(off % 3 AS VARCHAR), ts) AS node, 'fan_out_layer' AS component, 'forwarder' AS role
 FROM outcome GROUP BY 1""")
 def _(t: Tables):
-    s = t.outcomes.select("forwarder", "ts",
+    s = t.outcomes().select("forwarder", "ts",
                           F.concat(F.lit("v"), F.col("epoch").cast("string")).alias("version"),
                           F.concat(F.lit("n"), (F.col("offset") % 3).cast("string")).alias("node"))
     return M.latest_labels(s, "forwarder", ["version", "node"],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plantlog import functions as fn, schema as S, work_dir
+from plantlog.functions.jsonfields import field_count
 from plantlog.operators import commands, events as E, registration as R, routing, state as St
 from plantlog.schema import DEFAULT_VOCABULARY as V
 from plantlog.sources import (
@@ -217,10 +218,9 @@ def _(t: Tables):
 SELECT off, json_valid(coalesce(value, '{{')) AS decoded, {_RAW_ID} AS id, {_RAW_VALUE} AS value
 FROM raw""")
 def _(t: Tables):
-    f = fn.folded_entries(F.col("value"))
-    return t.records.select(
-        F.col("offset").alias("off"), f.isNotNull().alias("decoded"),
-        fn.folded_field(f, "id").alias("id"), fn.folded_field(f, "VALUE").alias("value"))
+    return fn.fold_fields(t.records).select(
+        F.col("offset").alias("off"), fn.is_object().alias("decoded"),
+        fn.folded_field("id").alias("id"), fn.folded_field("VALUE").alias("value"))
 
 
 @query("samples_numeric", """
@@ -276,10 +276,10 @@ SELECT off, key || '.' || id AS subject, len(json_keys(value)) - CASE WHEN off %
   WHEN off % 7 = 0 THEN 2 ELSE 1 END AS fields, {_RAW_VALUE} AS value FROM ({_GOOD})""")
 def _(t: Tables):
     good, _ = E.split_invalid(parse_asset_events(t.records, keep_payload=True))
-    entries = fn.folded_entries(F.col("payload"))
-    return E.subject_and_payload(good).select(
-        F.col("offset").alias("off"), "subject", F.size(entries).cast("bigint").alias("fields"),
-        fn.folded_field(entries, "value").alias("value"))
+    sent = E.subject_and_payload(good).select("offset", "subject", "payload")
+    return fn.fold_fields(sent, "payload").select(
+        F.col("offset").alias("off"), "subject", field_count().cast("bigint").alias("fields"),
+        fn.folded_field("value").alias("value"))
 
 
 @query("split_subject", "SELECT off, id || '.x.1' AS signal FROM ev")
@@ -303,9 +303,9 @@ SELECT off, CASE WHEN value IS NULL THEN 'null_payload' WHEN NOT json_valid(valu
   WHEN key IS NULL THEN 'missing_key' WHEN coalesce({_RAW_ID}, '') = '' THEN 'missing_id'
   ELSE 'ok' END AS outcome FROM raw""")
 def _(t: Tables):
-    good, dead = E.split_invalid(parse_asset_events(t.records, keep_payload=True))
-    return good.select("offset", F.lit("ok").alias("outcome")).unionByName(
-        dead.select("offset", F.col("error").alias("outcome"))).withColumnRenamed("offset", "off")
+    checked = E.with_message_error(parse_asset_events(t.records, keep_payload=True))
+    return checked.select(F.col("offset").alias("off"),
+                          F.coalesce("error", F.lit("ok")).alias("outcome"))
 
 
 @query("prometheus_targets", """

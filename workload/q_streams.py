@@ -9,7 +9,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from plantlog import schema as S, work_dir
-from plantlog.operators import commands, connectors, events as E, state as St
+from plantlog.operators import commands, events as E, state as St
 from plantlog.schema import DEFAULT_VOCABULARY as V
 from plantlog.streaming import (
     deliver_by_uns,
@@ -157,10 +157,9 @@ def _(t: Tables):
     params = method_parameters(t)
 
     def run(batch, batch_id):
-        done = commands.execute_commands(batch, params)
-        done = done.withColumn("parse_ok", F.size("bound") > 0)
-        upsert_sink(out)(bound_columns(done.withColumn(
-            "parse_ok", F.col("correlation_id").isNotNull())), batch_id)
+        done = commands.execute_commands(batch, params).withColumn(
+            "parse_ok", F.col("correlation_id").isNotNull())
+        upsert_sink(out)(bound_columns(done), batch_id)
 
     stream = t.stream("cmd").withColumnRenamed("off", "offset")
     for_each_row_batch(stream, run, ckpt).awaitTermination()
