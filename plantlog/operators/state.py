@@ -54,6 +54,12 @@ def _latest_two_pass(keyed: DataFrame, ignore_nulls: bool) -> DataFrame:
         at(c, f"_at_{c}" if c in apart else "_at") for c in S.STATE_COLUMNS])
 
 
+def write_state(state: DataFrame, location: str) -> None:
+    """Store a state table ordered by key, so that a lookup by key reads few row groups."""
+    (state.repartitionByRange("key").sortWithinPartitions("key")
+     .write.mode("overwrite").parquet(location))
+
+
 def latest_by_timestamp(enriched: DataFrame) -> DataFrame:
     """Latest reading per key by its own event time, ties by offset.
 

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from plantlog.operators import events as E, routing, state as St, uns
+from plantlog.operators.views import point_lookup
 from workload.adapters import CLUSTERS, Tables
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +52,9 @@ def test_column_pruning_reaches_the_scan(t):
     assert "o_totalprice" not in scan and "o_orderdate" not in scan
 
 
-def test_filters_reach_the_scan(t):
+def test_filters_reach_the_scan(t, spark, tmp_path):
+    St.write_state(St.latest_state(E.enrich(t.events)), str(tmp_path / "state"))
+    lookup = plan(point_lookup(spark.read.parquet(str(tmp_path / "state")), "ASSET-8|error"))
+    assert "EqualTo(key,ASSET-8|error)" in lookup and "Exchange" not in lookup
     text = plan(t.table("orders").where("o_orderstatus = 'F'").select("o_orderkey"))
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in text

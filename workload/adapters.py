@@ -233,10 +233,11 @@ CTES["linemap"] = """
   SELECT asset_uuid, line_id AS uns_id, custkey * 10 AS off FROM place
   UNION ALL SELECT asset_uuid, NULL, custkey * 10 + 5000 FROM place WHERE custkey % 9 = 0"""
 CTES["refs"] = """
-  SELECT 'SUP-' || CAST(l_suppkey AS STRING) AS asset_uuid, 'references_below' AS id,
-    CASE WHEN l_suppkey % 6 = 0 THEN ' ' ELSE
+  SELECT 'SUP-' || CAST(l_suppkey AS STRING) || '-' || CAST(block AS STRING) AS asset_uuid,
+    'references_below' AS id, CASE WHEN l_suppkey % 6 = 0 THEN ' ' ELSE
       string_agg('PART-' || CAST(l_partkey AS STRING), ', ' ORDER BY l_partkey) END AS value
-  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) GROUP BY l_suppkey
+  FROM (SELECT DISTINCT l_suppkey, l_partkey, l_partkey // 200 AS block FROM lineitem)
+  GROUP BY l_suppkey, block
   UNION ALL
   SELECT asset_uuid, 'references_below',
     CASE WHEN custkey % 2 = 0 THEN asset_uuid || '-AGENT , ' ELSE '' END ||
@@ -423,12 +424,19 @@ class Tables:
 
     @property
     def references(self) -> DataFrame:
-        """State rows of the reference signals."""
-        pairs = self.table("lineitem").select("l_suppkey", "l_partkey").distinct()
+        """State rows of the reference signals.
+
+        A supplier is one asset per block of 200 parts, so no list holds more than 200 entries
+        however many line items one supplier has.
+        """
+        pairs = self.table("lineitem").select("l_suppkey", "l_partkey").distinct().withColumn(
+            "block", F.expr("l_partkey div 200"))
         ordered = F.transform(F.sort_array(F.collect_list("l_partkey")),
                               lambda p: F.concat(F.lit("PART-"), p.cast("string")))
-        sup = pairs.groupBy("l_suppkey").agg(F.array_join(ordered, ", ").alias("list")).select(
-            F.concat(F.lit("SUP-"), F.col("l_suppkey").cast("string")).alias("asset_uuid"),
+        sup = pairs.groupBy("l_suppkey", "block").agg(
+            F.array_join(ordered, ", ").alias("list")).select(
+            F.concat_ws("-", F.lit("SUP"), F.col("l_suppkey").cast("string"),
+                        F.col("block").cast("string")).alias("asset_uuid"),
             F.when(F.col("l_suppkey") % 6 == 0, " ").otherwise(F.col("list")).alias("value"))
         dev = self._adapt("place").select("asset_uuid", F.expr(
             "CASE WHEN custkey % 2 = 0 THEN asset_uuid || '-AGENT , ' ELSE '' END || "

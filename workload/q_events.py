@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plantlog import functions as fn, schema as S, work_dir
 from plantlog.functions.jsonfields import field_count
 from plantlog.operators import commands, events as E, registration as R, routing, state as St
+from plantlog.operators.views import point_lookup, prometheus_targets
 from plantlog.schema import DEFAULT_VOCABULARY as V
 from plantlog.sources import (
     append_rows,
@@ -314,7 +315,6 @@ SELECT uuid AS application_uuid, lower(uuid) || ':' || CAST(port AS VARCHAR) AS
 UNION ALL SELECT uuid || '-' || i, lower(uuid) || '-' || i || ':' || CAST(port AS VARCHAR),
   coalesce(path, '/metrics') FROM app, generate_series(1, replicas) g(i) WHERE replicas > 1""")
 def _(t: Tables):
-    from plantlog.operators.views import prometheus_targets
     apps = t.adapter("app")
     none = apps.where(F.lit(False)).select(F.col("uuid").alias("application_uuid"), "offset")
     table = St.changelog_snapshot(R.metrics_target_changes(apps, none)).withColumnRenamed(
@@ -453,9 +453,9 @@ def _(t: Tables):
 @query("point_lookup_key", """
 SELECT key, value, type FROM state WHERE key = 'ASSET-8|error'""")
 def _(t: Tables):
-    from plantlog.operators.views import point_lookup
-    return point_lookup(St.latest_state(E.enrich(t.events)), "ASSET-8|error").select(
-        "key", "value", "type")
+    out = work_dir(t.spark, "state")
+    St.write_state(St.latest_state(E.enrich(t.events)), out)
+    return point_lookup(t.spark.read.parquet(out), "ASSET-8|error").select("key", "value", "type")
 
 
 @query("key_and_user_filter", """
