@@ -37,19 +37,34 @@ def cluster_counters(outcomes: DataFrame) -> DataFrame:
         F.count_if("is_failed").alias("publish_failures"))
 
 
-def histogram(observations: DataFrame, value: str, bounds: tuple, by: list[str]) -> DataFrame:
-    """Cumulative buckets ``(*by, le, value)``, the last one +Inf, plus ``sum`` and ``count``.
+def bucket_names(bounds: tuple) -> list[str]:
+    """Column names of the buckets of a wide histogram, +Inf last."""
+    return [f"le_{i}" for i in range(len(bounds))] + ["count"]
+
 
-    One aggregation with one counter per bound; rows multiply only after it.
+def histogram_columns(observations: DataFrame, value: str, bounds: tuple,
+                      by: list[str]) -> DataFrame:
+    """Cumulative buckets as columns ``le_0 … le_n, count`` plus ``sum``: one row per group.
+
+    ``count`` is the +Inf bucket. One aggregation with one counter per bound.
     """
     v = F.col(value)
-    counts = [F.count_if(v <= F.lit(float(b))).alias(f"_b{i}") for i, b in enumerate(bounds)]
-    agg = observations.groupBy(*by).agg(
-        *counts, F.count(v).alias("count"), F.sum(v).alias("sum"))
-    pairs = [F.struct(F.lit(float(b)).alias("le"), F.col(f"_b{i}").alias("value"))
-             for i, b in enumerate(bounds)]
-    pairs.append(F.struct(F.lit(INFINITY).alias("le"), F.col("count").alias("value")))
-    return agg.select(*by, F.explode(F.array(*pairs)).alias("x"), "sum", "count").select(
+    return observations.groupBy(*by).agg(
+        *[F.count_if(v <= F.lit(float(b))).alias(n) for n, b in zip(bucket_names(bounds), bounds)],
+        F.count(v).alias("count"), F.sum(v).alias("sum"))
+
+
+def _bucket_array(bounds: tuple) -> Column:
+    limits = [*map(float, bounds), INFINITY]
+    return F.array(*[F.struct(F.lit(le).alias("le"), F.col(n).alias("value"))
+                     for le, n in zip(limits, bucket_names(bounds))])
+
+
+def histogram(observations: DataFrame, value: str, bounds: tuple, by: list[str]) -> DataFrame:
+    """Cumulative buckets as rows ``(*by, le, value)``, the last one +Inf, plus ``sum`` and
+    ``count``. Rows multiply only after the aggregation."""
+    wide = histogram_columns(observations, value, bounds, by)
+    return wide.select(*by, F.explode(_bucket_array(bounds)).alias("x"), "sum", "count").select(
         *by, "x.le", "x.value", "sum", "count")
 
 
@@ -67,64 +82,80 @@ def latest_labels(samples: DataFrame, by: str, labels: list[str],
 
 # ---- From counter samples ----------------------------------------------------------------
 
-def counter_rate(samples: DataFrame, by: list[str], value: str = "value", ts: str = "ts",
-                 out: str = "rate", window_seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Per-second rate of counter series ``(*by, ts, value)`` per aligned window.
+def counter_rates(samples: DataFrame, by: list[str], counters: dict[str, str], ts: str = "ts",
+                  window_seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """Per-second rates of counters ``{column: name of its rate}`` per series and aligned window.
 
     Samples are compared inside their window first, which never gathers more than one window of
-    one series; the step between windows uses each window's first and last sample only.
+    one series; the step between windows uses each window's first and last sample only. All
+    counters of a series are handled in the same pass.
     """
-    rows = samples.select(*by, F.col(ts).cast("timestamp").alias("_ts"),
-                          F.col(value).alias("_v")).withColumn(
-        "window_start", F.window("_ts", f"{window_seconds} seconds")["start"])
+    values = F.struct(*counters)
+    rows = samples.select(*by, F.col(ts).cast("timestamp").alias("_ts"), values.alias("_v"))
+    rows = rows.withColumn("window_start", F.window("_ts", f"{window_seconds} seconds")["start"])
     inside = Window.partitionBy(*by, "window_start").orderBy("_ts")
-    previous = F.lag("_v").over(inside)
-    step = (F.when(previous.isNull(), F.lit(0))
-            .when(F.col("_v") < previous, F.col("_v")).otherwise(F.col("_v") - previous))
-    per_window = rows.withColumn("_step", step).groupBy(*by, "window_start").agg(
-        F.sum("_step").alias("_inner"), F.min_by("_v", "_ts").alias("_first"),
-        F.max_by("_v", "_ts").alias("_last"))
-    before = F.lag("_last").over(Window.partitionBy(*by).orderBy("window_start"))
-    border = (F.when(before.isNull(), F.lit(0))
-              .when(F.col("_first") < before, F.col("_first")).otherwise(F.col("_first") - before))
-    return per_window.select(
-        *by, "window_start",
-        ((F.col("_inner") + border) / F.lit(float(window_seconds))).alias(out))
+    rows = rows.withColumn("_p", F.lag("_v").over(inside))
+
+    def increase(now: Column, before: Column) -> Column:
+        # a drop means the counter restarted from zero
+        return F.when(before.isNull(), F.lit(0)).when(now < before, now).otherwise(now - before)
+
+    per_window = rows.groupBy(*by, "window_start").agg(
+        F.min_by("_v", "_ts").alias("_first"), F.max_by("_v", "_ts").alias("_last"),
+        *[F.sum(increase(F.col("_v")[c], F.col("_p")[c])).alias(f"_in_{i}")
+          for i, c in enumerate(counters)])
+    bordered = per_window.withColumn("_before", F.lag("_last").over(
+        Window.partitionBy(*by).orderBy("window_start")))
+    return bordered.select(*by, "window_start", *[
+        ((F.col(f"_in_{i}") + increase(F.col("_first")[c], F.col("_before")[c]))
+         / F.lit(float(window_seconds))).alias(out)
+        for i, (c, out) in enumerate(counters.items())])
+
+
+def counter_rate(samples: DataFrame, by: list[str], value: str = "value", ts: str = "ts",
+                 out: str = "rate", window_seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """:func:`counter_rates` of one counter."""
+    return counter_rates(samples, by, {value: out}, ts, window_seconds)
 
 
 def ratio_of_rates(samples: DataFrame, by: list[str], total: str = "sum",
                    count: str = "count") -> DataFrame:
     """``rate(sum) / rate(count)`` per window: the mean observation; NULL in an idle window."""
-    sums = counter_rate(samples, by, total, out="_s")
-    counts = counter_rate(samples, by, count, out="_c")
-    return sums.join(counts, [*by, "window_start"]).select(
+    return counter_rates(samples, by, {total: "_s", count: "_c"}).select(
         *by, "window_start", F.try_divide("_s", "_c").alias("avg"))
 
 
+def _with_quantile(df: DataFrame, q: float, out: str) -> DataFrame:
+    """Quantile of the ordered bucket array ``b`` by linear interpolation."""
+    df = df.withColumn("_total", F.element_at("b", -1)["value"]).withColumn(
+        "_rank", F.col("_total") * F.lit(q))
+    reached = F.array_position(F.transform("b", lambda x: x["value"] >= F.col("_rank")), True)
+    df = df.withColumn("_i", reached.cast("int"))
+    hit = F.try_element_at("b", F.nullif(F.col("_i"), F.lit(0)))
+    prev = F.when(F.col("_i") > 1, F.try_element_at("b", F.col("_i") - 1))
+    df = df.withColumn("_hit", hit).withColumn("_prev", prev)
+    lo = F.coalesce(F.col("_prev.le"), F.lit(0.0))
+    lo_count = F.coalesce(F.col("_prev.value"), F.lit(0.0))
+    inside = lo + (F.col("_hit.le") - lo) * (F.col("_rank") - lo_count) / (
+        F.col("_hit.value") - lo_count)
+    value_at = (F.when(~(F.col("_total") > 0), F.lit(None).cast("double"))
+                .when(F.col("_i") == F.size("b"), F.col("_prev.le"))
+                .when((F.col("_i") == 1) & (F.col("_hit.le") <= 0), F.col("_hit.le"))
+                .otherwise(inside))
+    return df.withColumn(out, value_at).drop("b", "_total", "_rank", "_i", "_hit", "_prev")
+
+
 def histogram_quantile(buckets: DataFrame, q: float, by: list[str], value: str = "rate",
                        out: str = "quantile") -> DataFrame:
-    """Quantile of cumulative buckets ``(*by, le, value)`` by linear interpolation.
+    """Quantile of cumulative buckets ``(*by, le, value)``.
 
     The first bucket starts at 0 (or at its bound, when that is not positive). A rank in the +Inf
     bucket gives the highest finite bound; an empty histogram gives NULL. A group holds one row per
     bound, which is the only thing collected.
     """
-    b = F.sort_array(F.collect_list(F.struct(F.col("le"), F.col(value).alias("c"))))
-    g = buckets.groupBy(*by).agg(b.alias("b"))
-    total = F.element_at("b", -1)["c"]
-    rank = total * F.lit(q)
-    at = F.array_position(F.transform("b", lambda x: x["c"] >= F.col("_rank")), True).cast("int")
-    g = g.withColumn("_total", total).withColumn("_rank", rank).withColumn("_i", at)
-    hit = F.try_element_at("b", F.col("_i"))
-    prev = F.when(F.col("_i") > 1, F.try_element_at("b", F.col("_i") - 1))
-    lo = F.when(F.col("_i") == 1, F.lit(0.0)).otherwise(prev["le"])
-    lo_count = F.when(F.col("_i") == 1, F.lit(0.0)).otherwise(prev["c"])
-    inside = lo + (hit["le"] - lo) * (F.col("_rank") - lo_count) / (hit["c"] - lo_count)
-    value_at = (F.when(~(F.col("_total") > 0), F.lit(None).cast("double"))
-                .when(F.col("_i") == F.size("b"), F.try_element_at("b", F.size("b") - 1)["le"])
-                .when((F.col("_i") == 1) & (hit["le"] <= 0), hit["le"])
-                .otherwise(inside))
-    return g.select(*by, value_at.alias(out))
+    pairs = F.struct(F.col("le"), F.col(value).alias("value"))
+    grouped = buckets.groupBy(*by).agg(F.sort_array(F.collect_list(pairs)).alias("b"))
+    return _with_quantile(grouped, q, out)
 
 
 def windowed_quantile(bucket_samples: DataFrame, q: float, by: list[str]) -> DataFrame:
@@ -133,6 +164,16 @@ def windowed_quantile(bucket_samples: DataFrame, q: float, by: list[str]) -> Dat
     return histogram_quantile(rates, q, [*by, "window_start"])
 
 
+def windowed_quantile_columns(samples: DataFrame, q: float, by: list[str], bounds: tuple,
+                              out: str = "quantile") -> DataFrame:
+    """The same of counters held as columns (:func:`histogram_columns` layout plus ``ts``): one
+    row per series and sample instead of one per bucket, and no regrouping by bound."""
+    names = bucket_names(bounds)
+    rates = counter_rates(samples, by, {n: n for n in names})
+    wide = rates.withColumn("b", _bucket_array(bounds)).drop(*names)
+    return _with_quantile(wide, q, out)
+
+
 # ---- From delivered messages -------------------------------------------------------------
 
 def stage_latencies(messages: DataFrame) -> DataFrame:

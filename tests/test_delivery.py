@@ -73,6 +73,17 @@ def test_quantile(spark, pairs, q, want):
     assert M.histogram_quantile(buckets(spark, *pairs), q, ["f"]).first()["quantile"] == want
 
 
+def test_both_histogram_layouts_agree(spark):
+    df = spark.range(400).select(
+        F.concat(F.lit("f"), F.col("id") % 2).alias("f"), (F.col("id") % 13 / 10.0).alias("v"),
+        F.timestamp_seconds(1704067200 + F.floor(F.col("id") / 40) * 30).alias("ts"))
+    bounds = (0.0, 0.3, 0.9)
+    tall = M.histogram(df, "v", bounds, ["f", "ts"]).select("f", "le", "ts", "value")
+    wide = M.histogram_columns(df, "v", bounds, ["f", "ts"])
+    a = rows(M.windowed_quantile(tall, 0.9, ["f"]))
+    assert a == rows(M.windowed_quantile_columns(wide, 0.9, ["f"], bounds)) and len(a) == 10
+
+
 def test_histogram_bounds_are_inclusive(spark):
     df = spark.createDataFrame([("f", 0.1), ("f", 0.2), ("f", 5.0)], "f string, v double")
     h = {r["le"]: r["value"] for r in M.histogram(df, "v", (0.1, 0.5), ["f"]).collect()}

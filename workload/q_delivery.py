@@ -250,11 +250,11 @@ _histogram("queue_size_histogram", "queue_size", S.QUEUE_SIZE_BOUNDS)
 def _bucket_samples(t: Tables, value: str, bounds):
     """Bucket counters as scraped every minute; they restart every day."""
     by_minute = t.outcomes().withColumn("minute", F.date_trunc("minute", "ts"))
-    h = M.histogram(by_minute, value, bounds, ["forwarder", "minute"])
-    day = Window.partitionBy("forwarder", "le", F.to_date("minute")).orderBy("minute").rowsBetween(
+    h = M.histogram_columns(by_minute, value, bounds, ["forwarder", "minute"])
+    day = Window.partitionBy("forwarder", F.to_date("minute")).orderBy("minute").rowsBetween(
         Window.unboundedPreceding, 0)
-    return h.select("forwarder", "le", F.col("minute").alias("ts"),
-                    F.sum("value").over(day).alias("value"))
+    return h.select("forwarder", F.col("minute").alias("ts"),
+                    *[F.sum(n).over(day).alias(n) for n in M.bucket_names(bounds)])
 
 
 def _quantile_sql(value: str, bounds, q: float) -> str:
@@ -280,7 +280,8 @@ FROM k GROUP BY ALL"""
 def _quantile(name: str, value: str, bounds, q: float) -> None:
     @query(name, _quantile_sql(value, bounds, q))
     def _(t: Tables):
-        return M.windowed_quantile(_bucket_samples(t, value, bounds), q, ["forwarder"]).select(
+        samples = _bucket_samples(t, value, bounds)
+        return M.windowed_quantile_columns(samples, q, ["forwarder"], bounds).select(
             "forwarder", _window_text(), F.round("quantile", 9).alias("quantile"))
 
 
