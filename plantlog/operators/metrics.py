@@ -48,16 +48,17 @@ def histogram_columns(observations: DataFrame, value: str, bounds: tuple,
 
     ``count`` is the +Inf bucket. One aggregation with one counter per bound.
     """
-    v = F.col(value)
+    counts = [F.expr(f"count_if(`{value}` <= {float(b)!r}D) AS {n}")
+              for n, b in zip(bucket_names(bounds), bounds)]
     return observations.groupBy(*by).agg(
-        *[F.count_if(v <= F.lit(float(b))).alias(n) for n, b in zip(bucket_names(bounds), bounds)],
-        F.count(v).alias("count"), F.sum(v).alias("sum"))
+        *counts, F.count(value).alias("count"), F.sum(value).alias("sum"))
 
 
 def _bucket_array(bounds: tuple) -> Column:
-    limits = [*map(float, bounds), INFINITY]
-    return F.array(*[F.struct(F.lit(le).alias("le"), F.col(n).alias("value"))
-                     for le, n in zip(limits, bucket_names(bounds))])
+    limits = [f"{float(b)!r}D" for b in bounds] + ["double('Infinity')"]
+    return F.expr("array(" + ", ".join(
+        f"named_struct('le', {le}, 'value', {n})"
+        for le, n in zip(limits, bucket_names(bounds))) + ")")
 
 
 def histogram(observations: DataFrame, value: str, bounds: tuple, by: list[str]) -> DataFrame:
@@ -96,20 +97,20 @@ def counter_rates(samples: DataFrame, by: list[str], counters: dict[str, str], t
     inside = Window.partitionBy(*by, "window_start").orderBy("_ts")
     rows = rows.withColumn("_p", F.lag("_v").over(inside))
 
-    def increase(now: Column, before: Column) -> Column:
+    def increase(counter: str, now: str, before: str) -> str:
         # a drop means the counter restarted from zero
-        return F.when(before.isNull(), F.lit(0)).when(now < before, now).otherwise(now - before)
+        now, before = f"{now}.`{counter}`", f"{before}.`{counter}`"
+        return (f"CASE WHEN {before} IS NULL THEN 0 WHEN {now} < {before} THEN {now} "
+                f"ELSE {now} - {before} END")
 
     per_window = rows.groupBy(*by, "window_start").agg(
         F.min_by("_v", "_ts").alias("_first"), F.max_by("_v", "_ts").alias("_last"),
-        *[F.sum(increase(F.col("_v")[c], F.col("_p")[c])).alias(f"_in_{i}")
-          for i, c in enumerate(counters)])
+        *[F.expr(f"sum({increase(c, '_v', '_p')}) AS _in_{i}") for i, c in enumerate(counters)])
     bordered = per_window.withColumn("_before", F.lag("_last").over(
         Window.partitionBy(*by).orderBy("window_start")))
     return bordered.select(*by, "window_start", *[
-        ((F.col(f"_in_{i}") + increase(F.col("_first")[c], F.col("_before")[c]))
-         / F.lit(float(window_seconds))).alias(out)
-        for i, (c, out) in enumerate(counters.items())])
+        F.expr(f"(_in_{i} + {increase(c, '_first', '_before')}) / {float(window_seconds)}D "
+               f"AS `{out}`") for i, (c, out) in enumerate(counters.items())])
 
 
 def counter_rate(samples: DataFrame, by: list[str], value: str = "value", ts: str = "ts",
