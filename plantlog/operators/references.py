@@ -13,11 +13,14 @@ def reference_list(text: Column) -> Column:
     return F.when(F.trim(text) != "", entries).otherwise(F.array().cast("array<string>"))
 
 
-def reference_edges(state: DataFrame) -> DataFrame:
-    """``(src, direction, pos, dst)`` from the reference signals of a state table."""
+def reference_edges(state: DataFrame, key: str = "asset_uuid") -> DataFrame:
+    """``(src, direction, pos, dst)`` from the reference signals of a state table.
+
+    ``key="uns_id"`` reads the edges of a state keyed by name.
+    """
     refs = state.where(F.col("id").isin(*S.REFERENCE_IDS))
     return refs.select(
-        F.col("asset_uuid").alias("src"),
+        F.col(key).alias("src"),
         F.regexp_replace("id", "^references_", "").alias("direction"),
         F.posexplode(reference_list(F.col("value"))).alias("pos", "dst"))
 

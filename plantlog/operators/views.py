@@ -50,17 +50,19 @@ def method_arguments(methods: DataFrame) -> DataFrame:
                           F.posexplode(shown).alias("pos", "argument"))
 
 
-def attributes_by_type(state: DataFrame, reading_type: str,
-                       asset: str | None = None) -> DataFrame:
-    return _of_asset(state, asset).where(F.col("type") == reading_type).select(
-        "asset_uuid", "id", "value", clean_tag(F.col("tag")).alias("tag"))
+def attributes_by_type(state: DataFrame, reading_type: str, asset: str | None = None,
+                       key: str = "asset_uuid") -> DataFrame:
+    return _of_asset(state, asset, key).where(F.col("type") == reading_type).select(
+        key, "id", "value", clean_tag(F.col("tag")).alias("tag"))
 
 
-def asset_inspect(state: DataFrame, asset: str | None = None) -> DataFrame:
+def asset_inspect(state: DataFrame, asset: str | None = None,
+                  key: str = "asset_uuid") -> DataFrame:
     """Samples, events and conditions of an asset with the type name shown to people."""
-    rows = _of_asset(state, asset).where(F.col("type").isin(S.SAMPLES, S.EVENTS, S.CONDITION))
+    rows = _of_asset(state, asset, key).where(
+        F.col("type").isin(S.SAMPLES, S.EVENTS, S.CONDITION))
     return rows.select(
-        "asset_uuid", "id", "value",
+        key, "id", "value",
         F.when(F.col("type") == S.SAMPLES, "Sample").otherwise(F.col("type")).alias("type"),
         clean_tag(F.col("tag")).alias("tag"))
 

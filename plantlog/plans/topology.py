@@ -48,9 +48,12 @@ class Catalog:
 
 
 def build_topology(spark: SparkSession, events: DataFrame, map_changelog: DataFrame | None = None,
-                   source: str = "", vocab: Vocabulary = DEFAULT_VOCABULARY) -> Catalog:
+                   source: str = "", vocab: Vocabulary = DEFAULT_VOCABULARY,
+                   connector_changelog: DataFrame | None = None,
+                   metrics_changelog: DataFrame | None = None) -> Catalog:
     """Register every derived stream and table. Nothing runs until a query asks for it, and a
-    query only computes what it names."""
+    query only computes what it names. Changelogs have the columns ``k, v, offset``, the name map
+    ``asset_uuid, uns_id, uns_levels, offset``."""
     catalog = Catalog(spark)
     enriched = E.enrich(events)
     assets = St.latest_state(enriched)
@@ -79,4 +82,11 @@ def build_topology(spark: SparkSession, events: DataFrame, map_changelog: DataFr
         catalog.register("assets_stream_uns", STREAM,
                          uns.stream_by_uns(events, map_changelog), "assets_stream")
         catalog.register("assets_uns", TABLE, uns.state_by_uns(assets, current), "assets")
+    for name, key, changelog in (
+            ("device_connector", "asset_uuid", connector_changelog),
+            ("metrics_targets", "application_uuid", metrics_changelog)):
+        if changelog is not None:
+            catalog.register(f"{name}_source", TABLE, changelog, f"{name} changelog")
+            catalog.register(name, TABLE, St.changelog_snapshot(changelog).withColumnRenamed(
+                "k", key), f"{name}_source")
     return catalog

@@ -29,7 +29,7 @@ def log_records(spark: SparkSession, location: str, *, fmt: str = "parquet",
     if streaming and per_trigger:
         opts["maxFilesPerTrigger"] = str(per_trigger)
     raw = reader.format(fmt).schema(S.RAW_RECORD).options(**opts).load(location)
-    return raw if start == "earliest" else from_position(raw, int(start))
+    return from_position(raw, start)
 
 
 def from_position(records: DataFrame, start: int | str = "earliest") -> DataFrame:

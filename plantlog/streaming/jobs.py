@@ -33,13 +33,11 @@ def read_upserts(spark: SparkSession, location: str, keys: list[str]) -> DataFra
 
 
 def compact_upserts(spark: SparkSession, location: str, keys: list[str], target: str) -> DataFrame:
-    """Write the folded log to a new folder as one batch and return the frame read from it.
+    """Write the folded log to a new folder as its base and return the frame read from it.
 
-    The highest batch id is kept, so later batches of the same query still win.
+    The base is batch -1, so every batch written after it wins, a retried one included.
     """
-    newest = spark.read.parquet(location).agg(F.max("batch_id")).first()[0]
-    read_upserts(spark, location, keys).write.mode("overwrite").parquet(
-        f"{target}/batch_id={newest}")
+    read_upserts(spark, location, keys).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
     return spark.read.parquet(target)
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from plantlog import work_dir
 from plantlog.operators import events as E, routing, state as St, uns
 from plantlog.operators.views import point_lookup
 from workload.adapters import CLUSTERS, Tables
@@ -58,3 +59,11 @@ def test_filters_reach_the_scan(t, spark, tmp_path):
     assert "EqualTo(key,ASSET-8|error)" in lookup and "Exchange" not in lookup
     text = plan(t.table("orders").where("o_orderstatus = 'F'").select("o_orderkey"))
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in text
+
+
+def test_written_intermediates_go_to_the_shared_folder(spark, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert work_dir(spark, "x").startswith(f"{tmp_path}/x-")
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")

@@ -471,5 +471,11 @@ class Tables:
             F.sum(F.expr(e)).over(w).alias(n) for n, e in counted.items()])
 
     def topology(self, events: DataFrame | None = None) -> Catalog:
+        apps = self.adapter("app")
+        configs = self.adapter("cfg").select(
+            F.col("asset_uuid").alias("k"), F.struct("connector_config").alias("v"), "offset")
+        targets = apps.select(F.col("uuid").alias("k"), F.struct(
+            F.lower("uuid").alias("host"), "port", "path").alias("v"), "offset")
         return build_topology(self.spark, self.events if events is None else events,
-                              self.map_changelog, source="events")
+                              self.map_changelog, source="events", connector_changelog=configs,
+                              metrics_changelog=targets)

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from plantlog import schema as S
 from plantlog.functions import iso_ms
 from plantlog.operators import events as E, metrics as M, routing, state as St, uns
+from plantlog.operators.views import asset_attributes
 from workload.adapters import CLUSTERS, LEVELS, NAMESPACE, SEGMENTS, Tables
 from workload.q_state import VALID, requests, state
 from workload.registry import query
@@ -39,6 +40,22 @@ def _(t: Tables):
     return uns.state_by_uns(state(t), St.uns_map(t.map_changelog))
 
 
+@query("asset_attributes_by_uns", """
+SELECT m.uns_id, s.id, s.value, CASE WHEN s.type = 'Samples' THEN TRY_CAST(s.value AS DOUBLE) END AS value_num
+FROM state s JOIN curmap m USING (asset_uuid) WHERE m.uns_id IS NOT NULL AND s.type <> 'Method'""")
+def _(t: Tables):
+    named = uns.state_by_uns(state(t), St.uns_map(t.map_changelog))
+    return asset_attributes(named, key="uns_id").select("uns_id", "id", "value", "value_num")
+
+
+@query("consume_by_uns", """
+SELECT id, value, off FROM (""" + _ASOF + """) WHERE uns_id = (SELECT path FROM place WHERE custkey = 8)""")
+def _(t: Tables):
+    place = t.adapter("place").where("custkey = 8").select(F.col("path").alias("uns_id"))
+    mine = E.for_consumer(_by_uns(t), transform=lambda df: df.join(place, "uns_id", "left_semi"))
+    return mine.select("id", "value", "off")
+
+
 @query("filter_mapped", """
 SELECT s.key, m.uns_id FROM state s LEFT JOIN curmap m USING (asset_uuid) WHERE m.uns_id IS NOT NULL""")
 def _(t: Tables):

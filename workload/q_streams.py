@@ -203,10 +203,12 @@ def _(t: Tables):
 SELECT 'assets' AS name, 'TABLE' AS kind, 'enriched_assets_stream' AS source,
   (SELECT count(*) FROM state) AS n
 UNION ALL SELECT 'assets_stream', 'STREAM', 'events', (SELECT count(*) FROM ev)
-UNION ALL SELECT 'asset_to_uns_map', 'TABLE', 'asset_to_uns_map_raw', (SELECT count(*) FROM curmap)""")
+UNION ALL SELECT 'asset_to_uns_map', 'TABLE', 'asset_to_uns_map_raw', (SELECT count(*) FROM curmap)
+UNION ALL SELECT 'device_connector', 'TABLE', 'device_connector_source', (SELECT count(*) FROM cfg)
+UNION ALL SELECT 'metrics_targets', 'TABLE', 'metrics_targets_source', (SELECT count(*) FROM app)""")
 def _(t: Tables):
     catalog = t.topology()
-    names = ["assets", "assets_stream", "asset_to_uns_map"]
+    names = ["assets", "assets_stream", "asset_to_uns_map", "device_connector", "metrics_targets"]
     sizes = None
     for n in names:
         one = t.spark.table(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
