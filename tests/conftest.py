@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -9,6 +11,7 @@ def spark():
     s = (SparkSession.builder.master("local[8]").appName("plantlog-tests")
          .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g")
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="plantlog-tests-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("OFF")
     yield configure(s)

@@ -61,9 +61,6 @@ def test_filters_reach_the_scan(t, spark, tmp_path):
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in text
 
 
-def test_written_intermediates_go_to_the_shared_folder(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert work_dir(spark, "x").startswith(f"{tmp_path}/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_written_intermediates_go_to_the_shared_folder(spark):
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert shared and work_dir(spark, "x").startswith(f"{shared}/x-")
