@@ -54,6 +54,15 @@ def _latest_two_pass(keyed: DataFrame, ignore_nulls: bool) -> DataFrame:
         at(c, f"_at_{c}" if c in apart else "_at") for c in S.STATE_COLUMNS])
 
 
+def latest_signals(events: DataFrame, signals: list[str], **kwargs) -> DataFrame:
+    """Latest state of chosen signals straight from the log.
+
+    A key fixes its signal, so the filter goes below the aggregation (and into the scan), where a
+    filter on the finished state cannot go.
+    """
+    return latest_state(E.enrich(events.where(F.col("id").isin(*signals))), **kwargs)
+
+
 def write_state(state: DataFrame, location: str) -> None:
     """Store a state table ordered by key, so that a lookup by key reads few row groups."""
     (state.repartitionByRange("key").sortWithinPartitions("key")

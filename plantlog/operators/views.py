@@ -120,6 +120,14 @@ def asset_type_lookup(requested: DataFrame, types: DataFrame) -> DataFrame:
 
 # ---- Listings ----------------------------------------------------------------------------
 
+# Signals each listing reads, for a state restricted to them.
+ASSET_LISTING_SIGNALS = ["uns_id", "avail", "agent_avail", S.SERVICE_ID]
+DEVICE_LISTING_SIGNALS = ["avail", *S.REFERENCE_IDS]
+APP_FIELDS = ["application_manufacturer", "application_version", "application_license"]
+APP_LISTING_SIGNALS = ["avail", *APP_FIELDS]
+AGENT_LISTING_SIGNALS = ["agent_avail", "agent_port"]
+
+
 def _listed(types: DataFrame, state: DataFrame, signals: list[str]) -> DataFrame:
     """Deployed assets with chosen signals; only those assets' rows are pivoted."""
     deployed = types.select("asset_uuid")
@@ -129,7 +137,7 @@ def _listed(types: DataFrame, state: DataFrame, signals: list[str]) -> DataFrame
 
 
 def asset_listing(types: DataFrame, state: DataFrame) -> DataFrame:
-    rows = _listed(types, state, ["uns_id", "avail", "agent_avail", S.SERVICE_ID])
+    rows = _listed(types, state, ASSET_LISTING_SIGNALS)
     source = F.when(F.col("type") == S.MTCONNECT_AGENT, F.col("agent_avail")).otherwise(
         F.col("avail"))
     return rows.select("asset_uuid", "uns_id", F.upper(source).alias("availability"), "type",
@@ -154,14 +162,13 @@ def device_listing(types: DataFrame, state: DataFrame) -> DataFrame:
 
 def app_listing(types: DataFrame, state: DataFrame,
                 vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    fields = ["application_manufacturer", "application_version", "application_license"]
-    apps = _listed(types.where(F.col("type") == vocab.app_type), state, ["avail", *fields])
-    return apps.select("asset_uuid", F.upper("avail").alias("availability"), *fields)
+    apps = _listed(types.where(F.col("type") == vocab.app_type), state, APP_LISTING_SIGNALS)
+    return apps.select("asset_uuid", F.upper("avail").alias("availability"), *APP_FIELDS)
 
 
 def agent_listing(types: DataFrame, state: DataFrame) -> DataFrame:
     agents = _listed(types.where(F.col("type") == S.MTCONNECT_AGENT), state,
-                     ["agent_avail", "agent_port"])
+                     AGENT_LISTING_SIGNALS)
     return agents.select("asset_uuid", "agent_avail", "agent_port")
 
 

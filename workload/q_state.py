@@ -283,7 +283,8 @@ SELECT asset_uuid, uns_id, upper(CASE WHEN type = 'MTConnectAgent' THEN agent_av
   AS availability, type, DockerService AS docker_service
 FROM {_wide('uns_id', 'avail', 'agent_avail', 'DockerService')}""")
 def _(t: Tables):
-    return Vw.asset_listing(St.assets_type(t.control), control_state(t))
+    return Vw.asset_listing(St.assets_type(t.control),
+                            St.latest_signals(t.control, Vw.ASSET_LISTING_SIGNALS))
 
 
 @query("device_listing", f"""
@@ -295,7 +296,7 @@ SELECT asset_uuid, upper(avail) AS availability,
   CASE WHEN s THEN asset_uuid || '-SUPERVISOR' ELSE 'NOT DEPLOYED' END AS supervisor
 FROM {_wide('avail')} LEFT JOIN r ON src = asset_uuid WHERE type = 'Device'""")
 def _(t: Tables):
-    full = control_state(t).unionByName(t.references)
+    full = St.latest_signals(t.control, Vw.DEVICE_LISTING_SIGNALS).unionByName(t.references)
     return Vw.device_listing(St.assets_type(t.control), full)
 
 
@@ -304,14 +305,16 @@ SELECT asset_uuid, upper(avail) AS availability, application_manufacturer, appli
   application_license FROM {_wide('avail', 'application_manufacturer', 'application_version',
                                   'application_license')} WHERE type = '{V.app_type}'""")
 def _(t: Tables):
-    return Vw.app_listing(St.assets_type(t.control), control_state(t))
+    return Vw.app_listing(St.assets_type(t.control),
+                          St.latest_signals(t.control, Vw.APP_LISTING_SIGNALS))
 
 
 @query("agent_listing", f"""
 SELECT asset_uuid, agent_avail, agent_port FROM {_wide('agent_avail', 'agent_port')}
 WHERE type = 'MTConnectAgent'""")
 def _(t: Tables):
-    return Vw.agent_listing(St.assets_type(t.control), control_state(t))
+    return Vw.agent_listing(St.assets_type(t.control),
+                            St.latest_signals(t.control, Vw.AGENT_LISTING_SIGNALS))
 
 
 # ---- Registration ------------------------------------------------------------------------
