@@ -24,7 +24,7 @@ def latest_state(enriched: DataFrame, ignore_nulls: bool = True,
     ``single_pass`` aggregates ``max_by`` directly: one scan and a partial aggregation before the
     shuffle, so a hot key costs one row per task. Columns that are never NULL share one ``max_by``.
     ``two_pass`` first finds the winning offsets with a hash aggregation over longs, then fetches
-    only those rows; it pays off where the winners are few enough to be broadcast.
+    only those rows. It scans twice and never sorts the log; measure before choosing it.
     """
     keyed = enriched.where(F.col("key").isNotNull())
     if strategy == "two_pass":
