@@ -4,9 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare, duck
+from workload.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-ORACLE = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -14,9 +14,9 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert compare(spark, con, entry.queries()[name], ORACLE[name], SF) is None
+    assert compare(spark, con, QUERIES[name], ORACLE[name], SF) is None
 
 
 def test_entry(spark):
