@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plantlog.llm import sql
+from plantlog.llm import pii, sql
 from plantlog.llm.common import documents
 from plantlog.llm.quality_rules import apply_rules
 
@@ -29,3 +29,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", *[f"quality.{n}" for n in (
             "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
             "kept", "n_lines_removed")])
+
+
+@query()
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.col("pii.base")
+    count = lambda i: F.size(F.filter(base, lambda s: s["kind"] == i)).cast("long")
+    return found.select(
+        "doc_id", *[count(i).alias(f"n_{pii.NAMES[i]}") for i in pii.BASE],
+        F.sha2(pii.label(base), 256).alias("base_sha256"), pii.label(F.col("pii.spans")).alias("spans"))
