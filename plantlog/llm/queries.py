@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plantlog.llm import pii, sql
+from plantlog.llm import mixing, pii, sql
 from plantlog.llm.common import documents
 from plantlog.llm.quality_rules import apply_rules
 
@@ -39,3 +39,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[count(i).alias(f"n_{pii.NAMES[i]}") for i in pii.BASE],
         F.sha2(pii.label(base), 256).alias("base_sha256"), pii.label(F.col("pii.spans")).alias("spans"))
+
+
+@query(sql.MIXING)
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.plan(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return rows.select("row.doc_id", "size", "source_size", "target",
+                       (F.col("size") * F.col("repeats")).alias("taken"))

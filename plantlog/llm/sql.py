@@ -1,5 +1,6 @@
 """DuckDB SQL of the queries that SQL can express, written from the contract."""
 
+from plantlog.llm.mixing import SEED
 from plantlog.llm.quality_rules import PHRASES, RULES
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -42,3 +43,31 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 100 * lost <= {RULES.max_lost_pct} * word_chars AS kept, n_lines_removed
 FROM b"""
+
+MIXING = rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")}) AS size,
+         CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{SEED}'), 13) AS BIGINT) AS draw
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (
+         ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight,
+         CAST(3 * sum(size) AS DOUBLE) AS cap FROM d GROUP BY source),
+t(step, level) AS (
+  SELECT 0, CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT step + 1, nxt FROM (
+    SELECT step, level, (SELECT (sum(source_size) - coalesce(sum(cap) FILTER (weight * level >= cap), 0))
+                         / sum(weight) FILTER (weight * level < cap) FROM s) AS nxt FROM t)
+  WHERE nxt > level),
+g AS (SELECT source, source_size, least(weight * (SELECT max(level) FROM t), cap) AS target FROM s),
+h AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM g),
+k AS (SELECT *, CASE WHEN source_size > 0 THEN (target / source_size - whole) * source_size
+                ELSE 0 END AS goal FROM h),
+r AS (SELECT d.*, k.source_size, k.target, k.whole, k.goal, coalesce(sum(size) OVER (
+        PARTITION BY d.source ORDER BY draw, doc_id NULLS FIRST, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS running
+      FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN running < goal
+         AND running + size / 2 <= goal THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM r"""
