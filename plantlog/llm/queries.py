@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantlog.llm import mixing, pii, sql
 from plantlog.llm.common import documents
+from plantlog.llm.near_join import near_join
 from plantlog.llm.quality_rules import apply_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +47,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.plan(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return rows.select("row.doc_id", "size", "source_size", "target",
                        (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+@query()
+def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
