@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plantlog.llm import mixing, pieces, pii
 from plantlog.llm.common import documents, saved
+from plantlog.llm.near_join import one_per_class
 from plantlog.llm.quality_rules import apply_rules
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,7 +29,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                          F.length(text).cast("long").alias("n_chars"))
 
 
-STAGES = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays, the one with the smallest id."""
+    return one_per_class(_columns(docs))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span, base or added, is replaced by its kind in brackets."""
+    found = pii.find(_columns(docs))
+    text = pii.redact(F.coalesce("text", F.lit("")), F.col("pii.spans"))
+    return _columns(found.withColumn("text", text).withColumn(
+        "n_chars", F.length("text").cast("long")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: repeated rows are meant here."""
+    return _columns(mixing.sample(_columns(docs)))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document of the mix."""
+    return pieces.encode(_columns(docs)).select(
+        "row.doc_id", "row.source", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
+STAGES = [("quality rules", quality), ("near duplicates", near_duplicates),
+          ("personal data", personal_data), ("source mix", mix), ("pieces", encode)]
 
 #: Word hashes, sampling thresholds of the mix and piece lattices have no SQL form.
 ORACLE_SQL = None

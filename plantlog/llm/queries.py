@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plantlog.llm import mixing, pii, sql
+from plantlog.llm import mixing, pieces, pii, sql
 from plantlog.llm.common import documents
 from plantlog.llm.near_join import near_join
 from plantlog.llm.quality_rules import apply_rules
@@ -52,3 +52,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
+@query()
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(documents(spark, sf_dir).select("doc_id", "text"))
+    return pieces.decode(coded).select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
+        (F.col("decoded") == F.coalesce("row.text", F.lit(""))).alias("round_trip"))
