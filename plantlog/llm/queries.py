@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plantlog.llm import mixing, pieces, pii, sql
+from plantlog.llm import licences, mixing, pieces, pii, sql, topk
 from plantlog.llm.common import documents
 from plantlog.llm.near_join import near_join
 from plantlog.llm.quality_rules import apply_rules
@@ -60,3 +60,13 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode(coded).select(
         "row.doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
         (F.col("decoded") == F.coalesce("row.text", F.lit(""))).alias("round_trip"))
+
+
+@query(sql.TOP_K)
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query(sql.LICENCES)
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_lines(documents(spark, sf_dir))

@@ -1,5 +1,6 @@
 """DuckDB SQL of the queries that SQL can express, written from the contract."""
 
+from plantlog.llm import licences
 from plantlog.llm.mixing import SEED
 from plantlog.llm.quality_rules import PHRASES, RULES
 
@@ -71,3 +72,43 @@ r AS (SELECT d.*, k.source_size, k.target, k.whole, k.goal, coalesce(sum(size) O
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN running < goal
          AND running + size / 2 <= goal THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r"""
+
+TOP_K = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS uid, CAST(vec_id AS BIGINT) AS vec_id,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+   AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.uid, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.uid <> c.uid AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def _canonical(text: str) -> str:
+    t = f"lower(coalesce({text}, ''))"
+    t = rf"regexp_replace({t}, '{licences.COPYRIGHT_LINE}', chr(10), 'g')"
+    t = rf"' ' || trim(regexp_replace({t}, '{licences.PUNCTUATION}', ' ', 'g')) || ' '"
+    for spelling, same in licences.EQUAL_SPELLINGS:
+        for _ in range(2):
+            t = f"replace({t}, ' {spelling} ', ' {same} ')"
+    return f"trim({t})"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+LICENCES = f"""
+WITH known(name, txt) AS (VALUES {', '.join(f'({_quoted(n)}, {_quoted(t)})' for n, t in licences.KNOWN.items())}),
+k AS MATERIALIZED (SELECT c, string_agg(name, ', ' ORDER BY name) AS names
+      FROM (SELECT name, {_canonical('txt')} AS c FROM known) GROUP BY c),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+w AS MATERIALIZED (SELECT rid, doc_id, {_canonical('text')} AS c FROM d),
+l AS (SELECT DISTINCT rid, names FROM (
+        SELECT rid, {_canonical('line')} AS c
+        FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)) JOIN k USING (c)),
+n AS (SELECT rid, string_agg(names, ', ' ORDER BY names) AS notices FROM l GROUP BY rid)
+SELECT doc_id, CASE WHEN w.c <> '' THEN sha256(w.c) END AS text_digest, k.names AS licence,
+       coalesce(notices, '') AS notices
+FROM w LEFT JOIN k ON w.c = k.c AND w.c <> '' LEFT JOIN n USING (rid)"""
