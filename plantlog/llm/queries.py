@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plantlog.llm import licences, mixing, pieces, pii, sql, topk
+from plantlog.llm import licences, mixing, pieces, pii, sql, topk, toxicity
 from plantlog.llm.common import documents
 from plantlog.llm.near_join import near_join
 from plantlog.llm.quality_rules import apply_rules
@@ -70,3 +70,13 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.LICENCES)
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_lines(documents(spark, sf_dir))
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, chain)
+    p = {n: F.col("p")[i] for i, n in enumerate(chain.names)}
+    return scored.select("row.doc_id", *[v.alias(f"p_{n}") for n, v in p.items()],
+                         (p["toxic"] >= 0.5).alias("is_toxic"))
