@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plantlog.llm import licences, mixing, pieces, pii, sql, topk, toxicity
+from plantlog.llm import exact_substrings, licences, mixing, pieces, pii, sql, topk, toxicity
 from plantlog.llm.common import documents
 from plantlog.llm.near_join import near_join
 from plantlog.llm.quality_rules import apply_rules
@@ -80,3 +80,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = {n: F.col("p")[i] for i, n in enumerate(chain.names)}
     return scored.select("row.doc_id", *[v.alias(f"p_{n}") for n, v in p.items()],
                          (p["toxic"] >= 0.5).alias("is_toxic"))
+
+
+@query()
+def op10_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_substrings.dedup(documents(spark, sf_dir)).drop("spans")
