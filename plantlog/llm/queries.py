@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plantlog.llm import exact_substrings, licences, mixing, pieces, pii, sql, topk, toxicity
+from plantlog.llm import exact_substrings, licences, mixing, passages, pieces, pii, sql, topk, toxicity
 from plantlog.llm.common import documents
 from plantlog.llm.near_join import near_join
 from plantlog.llm.quality_rules import apply_rules
@@ -85,3 +85,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_substrings.dedup(documents(spark, sf_dir)).drop("spans")
+
+
+@query()
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(documents(spark, sf_dir))
