@@ -29,15 +29,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plantlog.llm.common import CHUNK_BYTES, free_name, mix, saved
+from plantlog.llm.common import free_name, mix, saved
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 TABLE_WORDS = 4_000_000
 BAR = "▁"
 _SPAN = 64  # edge key: start * _SPAN + length
 _BASE, _POW = 0x9E3779B97F4A7C15, {}
+#: Bytes of text, and distinct words, that a task holds at a time (one longer text excepted).
+_GROUP, _MERGE = 400_000, 150_000
 
 
 class Pieces:
@@ -86,8 +89,22 @@ class Pieces:
         # Runs of spaces merge by doubling, so that a long one falls into pieces of the largest power.
         self.run = top if bpe and top == max(powers) and powers <= runs | {1} else 0
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "processor"}
+
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "piece string, id int, score double")
+        """(``piece``, ``rank``, ``score``); pieces of one score share a rank."""
+        rank: dict[float, int] = {}
+        rows = [(p, rank.setdefault(s, k), s) for k, (p, _, s) in enumerate(sorted(
+            self.rows, key=lambda r: (-r[2], r[1])))]
+        return spark.createDataFrame(rows, "piece string, rank int, score double")
+
+    def symbol_ids(self) -> dict[str, list[int]]:
+        return {p: [i] for p, i, _ in self.rows}
+
+    def other_ids(self, symbol: str) -> list[int]:
+        """Of a character without a piece."""
+        return [self.bytes[b] for b in symbol.encode()] if self.bytes else [self.unk]
 
 
 @cache
@@ -98,7 +115,7 @@ def _letters() -> np.ndarray:
 def _powers(n: int, inverse: bool = False) -> np.ndarray:
     have = _POW.get(inverse)
     if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK_BYTES), pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
+        have = np.full(max(n, _GROUP), pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
         have[0] = 1
         _POW[inverse] = have = np.multiply.accumulate(have)
     return have[:n]
@@ -116,7 +133,7 @@ class Words:
         offsets = np.concatenate(([0], np.cumsum(lengths)))
         n = len(code)
         bar = code == ord(BAR)
-        kind = np.where(bar, 0, 1 + (_letters()[code] if apart else np.zeros(n, bool)))
+        kind = np.where(bar, np.int8(0), np.int8(1) + (_letters()[code] if apart else np.zeros(n, np.int8)))
         start = np.zeros(n + 1, bool)
         if n:
             before = kind[:-1]
@@ -140,33 +157,44 @@ class Words:
         return self.joined[self.starts[i]:self.ends[i]]
 
 
-def _groups(column: pa.Array, limit: int = CHUNK_BYTES // 2) -> Iterator[tuple[int, list[str]]]:
-    texts = [t or "" for t in column.to_pylist()]
-    lo = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield lo, texts[lo:i]
-            lo, size = i, 0
-        size += len(t)
-    if texts:
-        yield lo, texts[lo:]
+def _groups(column: pa.Array, limit: int = _GROUP) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of consecutive rows of about ``limit`` bytes together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lo, base = 0, 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, base + limit, "right")))
+        yield lo, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+        lo, base = hi, int(ends[hi - 1])
 
 
 def distinct_words(texts: DataFrame, pieces: Pieces) -> DataFrame:
     """(``h``, ``word``, ``n``) of a table of one text column."""
     options = pieces.prefix, pieces.letters_apart, pieces.run
 
+    def merged(parts: list[tuple]) -> pa.RecordBatch:
+        h, n = (np.concatenate([p[k] for p in parts]) for k in (0, 2))
+        words = pa.concat_arrays([p[1] for p in parts])
+        uniq, first, at = np.unique(h, return_index=True, return_inverse=True)
+        count = np.bincount(at, weights=n, minlength=len(uniq)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(uniq), words.take(pa.array(first)), pa.array(count)],
+                                          ["h", "word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
         for batch in batches:
             for _, texts in _groups(batch.column(0)):
                 w = Words(texts, *options)
                 h, first, n = np.unique(w.hash, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array([w.text(i) for i in first], pa.string()), pa.array(n)],
-                    ["h", "word", "n"])
+                cuts = zip(w.starts[first].tolist(), w.ends[first].tolist())
+                parts.append((h, pa.array([w.joined[a:b] for a, b in cuts], pa.string()), n))
+                if sum(len(p[0]) for p in parts) > _MERGE:
+                    yield merged(parts)
+                    parts = []
+        if parts:
+            yield merged(parts)
 
-    return texts.mapInArrow(run, "h long, word string, n long").groupBy("h").agg(
-        F.first("word").alias("word"), F.sum("n").alias("n"))
+    # Grouped by both, so that the sums are hashed; equal words have equal hashes.
+    return texts.mapInArrow(run, "h long, word string, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
 
 
 def _one(value: Column, then) -> Column:
@@ -184,12 +212,12 @@ def _merge_fold(edges: Column, n: Column) -> Column:
 
     def merged(b: Column, found: Column) -> Column:
         best = F.array_max(F.transform(found, lambda e: F.when(e.isNotNull(), e["score"])))
-        first = F.element_at(F.filter(found, lambda e: e["score"] == best), 1)["id"]
+        first = F.element_at(F.filter(found, lambda e: e["score"] == best), 1)["len"]
         # Border k + 1 goes when the pair of symbols k, k + 1 is the piece and border k stayed.
         drop = _one(first, lambda p: F.aggregate(
             found, F.array().cast("array<boolean>"),
             lambda acc, e: F.concat(acc, F.array(
-                F.coalesce(e["id"] == p, F.lit(False))
+                F.coalesce((e["score"] == best) & (e["len"] == p), F.lit(False))
                 & ~F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(False))))))
         return _one(drop, lambda d: F.filter(
             b, lambda x, i: (i == 0) | (i == F.size(b) - 1) | ~F.element_at(d, F.greatest(i, F.lit(1)))))
@@ -222,35 +250,78 @@ def _viterbi_fold(edges: Column, n: Column, longest: int, floor: float) -> Colum
     ).otherwise(b))))
 
 
+def _shift(x: Column, n: Column) -> Column:
+    return F.call_function("shiftleft", x, n)
+
+
+def _rank_fold(ordered: Column, n: Column) -> Column:
+    """The merge segmentation of a word of up to ``_SHORT`` characters without runs of spaces, in one
+    pass: a trained piece ranks behind the pieces that it is merged from, so taking the edges from the
+    best rank on, left to right, meets every merge in the model's order. Borders are bits; an edge
+    merges two neighbouring symbols when it ends on borders and has exactly one inside."""
+    one = F.lit(1).cast("long")
+
+    def step(b: Column, e: Column) -> Column:
+        lo, size = _start(e), _length(e)
+        inside = b.bitwiseAND(_shift(_shift(one, size - 1) - 1, lo + 1))
+        ends = _shift(one, lo).bitwiseOR(_shift(one, lo + size))
+        return F.when((b.bitwiseAND(ends) == ends) & (F.bit_count(inside) == 1), b - inside).otherwise(b)
+
+    bits = F.aggregate(ordered, _shift(one, n + 1) - 1, step)
+    return _one(bits, lambda x: F.filter(F.sequence(F.lit(0), n), lambda i: x.bitwiseAND(_shift(one, i)) != 0))
+
+
+#: An edge in one long: rank, start, length.
+_START, _LENGTH, _SHORT = 24, 6, 60
+
+
+def _start(e: Column) -> Column:
+    return F.shiftright(e, _LENGTH).bitwiseAND(F.lit((1 << _START) - 1).cast("long")).cast("int")
+
+
+def _length(e: Column) -> Column:
+    return e.bitwiseAND(F.lit((1 << _LENGTH) - 1).cast("long")).cast("int")
+
+
 def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """Adds ``ids`` to (``h``, ``word``, ``n``), keeping one row per word."""
+    """(``h``, ``n``, ``ids``) of (``h``, ``word``, ``n``), one row per word."""
     table = F.broadcast(pieces.table(words.sparkSession))
     size = F.length("word")
     subs = words.withColumn("at", F.explode(F.sequence(F.lit(0), size - 1))).withColumn(
         "len", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("at")))))
     subs = subs.withColumn("piece", F.col("word").substr(F.col("at") + 1, F.col("len")))
-    edges = subs.join(table, "piece", "left").where("id IS NOT NULL OR len = 1").groupBy("h").agg(
-        F.first("word").alias("word"), F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.when(
-            F.col("id").isNotNull(), F.struct((F.col("at") * _SPAN + F.col("len")).alias("k"), F.struct(
-                "score", "id").alias("v"))))).alias("edges"))
+    place = F.col("at").cast("long") * (1 << _LENGTH) + F.col("len")
     low = min((s for _, _, s in pieces.rows), default=0.0) - 10.0
-    borders = (_merge_fold(F.col("edges"), size) if pieces.bpe
-               else _viterbi_fold(F.col("edges"), size, pieces.longest, low))
+    if pieces.bpe:
+        edge = F.col("rank").cast("long") * (1 << _START + _LENGTH) + place
+        wanted = (F.col("len") > 1) & F.col("rank").isNotNull()
+        edges = subs.join(table, "piece", "left").where(wanted | (F.col("len") == 1) & (F.col("at") == 0)).groupBy(
+            "h").agg(F.first("word").alias("word"), F.first("n").alias("n"),
+                     F.collect_list(F.when(wanted, edge)).alias("edges"))
+        short = (size <= _SHORT) & ~F.contains("word", F.lit(BAR * 2))
+        scored = lambda: F.map_from_entries(F.transform("edges", lambda e: F.struct(
+            (_start(e) * _SPAN + _length(e)).alias("k"), F.struct(
+                (-F.shiftright(e, _START + _LENGTH)).alias("score"), _length(e).alias("len")).alias("v"))))
+        borders = F.when(short, _rank_fold(F.array_sort("edges"), size)).otherwise(_merge_fold(scored(), size))
+    else:
+        edges = subs.join(table, "piece", "left").where("rank IS NOT NULL OR len = 1").groupBy("h").agg(
+            F.first("word").alias("word"), F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.when(
+                F.col("rank").isNotNull(), F.struct((F.col("at") * _SPAN + F.col("len")).alias("k"), F.struct(
+                    "score").alias("v"))))).alias("edges"))
+        borders = _viterbi_fold(F.col("edges"), size, pieces.longest, low)
+    symbols = edges.select("h", "n", "word", borders.alias("b")).select("h", "n", F.transform(
+        F.slice("b", 1, F.size("b") - 1), lambda lo, i: F.col("word").substr(
+            lo + 1, F.element_at(F.col("b"), i + 2) - lo)).alias("symbols"))
 
-    def ids(lo: Column, hi: Column) -> Column:
-        text = F.col("word").substr(lo + 1, hi - lo)
-        if pieces.bytes:
-            code = F.hex(F.encode(text, "UTF-8"))
-            other = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: (F.conv(
-                code.substr(i, F.lit(2)), 16, 10).cast("int") + pieces.first_byte))
-        else:
-            other = F.array(F.lit(pieces.unk))
-        own = F.try_element_at(F.col("edges"), lo * _SPAN + hi - lo)["id"]
-        return F.when(own.isNotNull(), F.array(own)).otherwise(other)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pieces.symbol_ids()
+        for batch in batches:
+            ids = [[i for x in word for i in known.get(x) or pieces.other_ids(x)]
+                   for word in batch.column("symbols").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), pa.array(
+                ids, pa.list_(pa.int32()))], ["h", "n", "ids"])
 
-    cut = edges.withColumn("b", borders)
-    return cut.select("h", "n", F.flatten(F.transform(F.slice("b", 1, F.size("b") - 1), lambda lo, i: ids(
-        lo, F.element_at(F.col("b"), i + 2)))).alias("ids"))
+    return symbols.mapInArrow(run, "h long, n long, ids array<int>")
 
 
 class _Table:
@@ -261,8 +332,10 @@ class _Table:
         ids = rows.column("ids").combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         self.keys = rows.column("h").to_numpy()
-        self.offsets = ids.offsets.to_numpy().astype(np.int64)
-        self.ids = np.asarray(ids.values)[:self.offsets[-1]].astype(np.int32) if len(ids) else np.zeros(0, np.int32)
+        self.offsets = ids.offsets.to_numpy().astype(np.int32)
+        self.ids = np.asarray(ids.values)[:self.offsets[-1]] if len(ids) else np.zeros(0, np.int32)
+        if self.ids.max(initial=0) < 1 << 16:
+            self.ids = self.ids.astype(np.uint16)
 
 
 def _lookup(w: Words, table: _Table, extra: list | None) -> tuple[np.ndarray, np.ndarray]:
@@ -270,6 +343,7 @@ def _lookup(w: Words, table: _Table, extra: list | None) -> tuple[np.ndarray, np
     uniq, inverse = np.unique(w.hash, return_inverse=True)
     keys, offsets, ids = table.keys, table.offsets, table.ids
     if extra:
+        ids = ids.astype(np.int32)
         more = sorted(dict(extra).items())
         keys = np.concatenate((keys, [h for h, _ in more]))
         offsets = np.concatenate((offsets, offsets[-1] + np.cumsum([len(i) for _, i in more])))
@@ -282,9 +356,9 @@ def _lookup(w: Words, table: _Table, extra: list | None) -> tuple[np.ndarray, np
     if len(uniq) and not (at < len(keys)).all() or (keys[at] != uniq).any():
         raise KeyError("a word has no segmentation")
     at = at[inverse]
-    count = offsets[at + 1] - offsets[at]
+    count = (offsets[at + 1] - offsets[at]).astype(np.int64)
     head = np.repeat(offsets[at] - np.concatenate(([0], np.cumsum(count)[:-1])), count) if len(at) else at
-    return ids[head + np.arange(count.sum())], count
+    return ids[head + np.arange(count.sum())].astype(np.int32), count
 
 
 def encode(docs: DataFrame, text: str = "text", pieces: Pieces | None = None,
@@ -320,11 +394,7 @@ def encode(docs: DataFrame, text: str = "text", pieces: Pieces | None = None,
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row").slice(lo, len(group)), lists], ["row", "ids"])
 
-    return rows.mapInArrow(run, f"row {docs_type(docs)}, ids array<int>")
-
-
-def docs_type(docs: DataFrame) -> str:
-    return docs.schema.simpleString()
+    return rows.mapInArrow(run, f"row {docs.schema.simpleString()}, ids array<int>")
 
 
 def _with_rare(rows: DataFrame, rare: DataFrame, table, options) -> DataFrame:
@@ -361,11 +431,12 @@ def decode(rows: DataFrame, ids: str = "ids", pieces: Pieces | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("ids")
-            flat, at = lists.values.to_pylist(), lists.offsets.to_pylist()
-            texts = [b"".join(map(table.__getitem__, flat[a:b]))[skip:].decode("utf-8", "replace")
-                     for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = [b"".join(map(table.__getitem__, ids or ()))[skip:].decode("utf-8", "replace")
+                         for ids in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    return kept.mapInArrow(run, f"row {docs_type(rows)}, text string").select(
+    return kept.mapInArrow(run, f"row {rows.schema.simpleString()}, text string").select(
         "row.*", F.col("text").alias(name))
