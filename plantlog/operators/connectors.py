@@ -118,11 +118,11 @@ def node_address_checks(signals: DataFrame) -> DataFrame:
 
 
 def duplicate_nodes(signals: DataFrame) -> DataFrame:
-    """Nodes declared more than once within a section of one device."""
+    """Nodes declared more than once within a section of one device, with the names that use them."""
     node = F.coalesce("node_id", "browse_path")
     return (signals.where(F.col("connector") == "opcua").withColumn("node", node)
             .where(F.col("node").isNotNull()).groupBy("asset_uuid", "section", "node")
-            .agg(F.count("*").alias("uses"), F.min("name").alias("first_name"))
+            .agg(F.count("*").alias("uses"), F.sort_array(F.collect_list("name")).alias("names"))
             .where(F.col("uses") > 1))
 
 

@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantlog import schema as S
-from plantlog.functions import parse_time
+from plantlog.functions import composite_key, parse_time
 from plantlog.operators import events as E
 from plantlog.schema import DEFAULT_VOCABULARY, Vocabulary
 
 
 # Columns of an enriched reading that may be NULL while its key is not.
 _NULLABLE = ("value", "type", "tag")
+_SIGNAL = ("asset_uuid", "id")
 
 
 def latest_state(enriched: DataFrame, ignore_nulls: bool = True,
                  strategy: str = "single_pass") -> DataFrame:
-    """Latest value of every column per composite key, by log offset.
+    """Latest value of every column per asset and signal, by log offset.
 
     With ``ignore_nulls`` each column keeps its last non-NULL value on its own. Rows without a key
-    belong to no signal. Two plans give the same rows:
+    belong to no signal. Groups are (asset_uuid, id), so that a filter on either goes below the
+    aggregation and into the scan; ``key`` is built afterwards (an asset ``a|b`` with signal ``c``
+    and an asset ``a`` with signal ``b|c`` stay apart under one key). Two plans give the same rows:
 
     ``single_pass`` aggregates ``max_by`` directly: one scan and a partial aggregation before the
-    shuffle, so a hot key costs one row per task. Columns that are never NULL share one ``max_by``.
+    shuffle, so a hot key costs one row per task. Strings make it a sort aggregation, whose sort of
+    a task's rows spills. Columns that are never NULL share one ``max_by``.
     ``two_pass`` first finds the winning offsets with a hash aggregation over longs, then fetches
     only those rows. It scans twice and never sorts the log; measure before choosing it.
     """
@@ -30,28 +34,29 @@ def latest_state(enriched: DataFrame, ignore_nulls: bool = True,
     if strategy == "two_pass":
         return _latest_two_pass(keyed, ignore_nulls)
     apart = _NULLABLE if ignore_nulls else ()
-    together = [c for c in S.STATE_COLUMNS if c not in apart]
+    together = [c for c in S.STATE_COLUMNS if c not in apart and c not in _SIGNAL]
     last = [F.expr(f"max_by({c}, offset) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in apart]
-    folded = keyed.groupBy("key").agg(F.max_by(F.struct(*together), "offset").alias("_r"), *last)
-    return folded.select("key", *[F.col(f"_r.{c}").alias(c) if c in together else F.col(c)
-                                  for c in S.STATE_COLUMNS])
+    folded = keyed.groupBy(*_SIGNAL).agg(F.max_by(F.struct(*together), "offset").alias("_r"), *last)
+    return folded.select(composite_key().alias("key"), *[
+        F.col(f"_r.{c}").alias(c) if c in together else F.col(c) for c in S.STATE_COLUMNS])
 
 
 def _latest_two_pass(keyed: DataFrame, ignore_nulls: bool) -> DataFrame:
     apart = _NULLABLE if ignore_nulls else ()
-    winners = keyed.groupBy("key").agg(F.max("offset").alias("_at"), *[
+    winners = keyed.groupBy(*_SIGNAL).agg(F.max("offset").alias("_at"), *[
         F.max(F.when(F.col(c).isNotNull(), F.col("offset"))).alias(f"_at_{c}") for c in apart])
     # the few offsets that hold a latest value of some column, with the columns they hold
-    held = winners.select("key", F.explode(F.array_distinct(F.array_compact(
+    held = winners.select(*_SIGNAL, F.explode(F.array_distinct(F.array_compact(
         F.array("_at", *[f"_at_{c}" for c in apart])))).alias("offset"),
         "_at", *[f"_at_{c}" for c in apart])
-    rows = keyed.join(held, ["key", "offset"])
+    rows = keyed.join(held, [*_SIGNAL, "offset"])
 
     def at(column: str, position: str) -> Column:
         return F.max_by(column, F.when(F.col("offset") == F.col(position), 1)).alias(column)
 
-    return rows.groupBy("key").agg(*[
-        at(c, f"_at_{c}" if c in apart else "_at") for c in S.STATE_COLUMNS])
+    folded = rows.groupBy(*_SIGNAL).agg(*[
+        at(c, f"_at_{c}" if c in apart else "_at") for c in S.STATE_COLUMNS if c not in _SIGNAL])
+    return folded.select(composite_key().alias("key"), *S.STATE_COLUMNS)
 
 
 def latest_signals(events: DataFrame, signals: list[str], **kwargs) -> DataFrame:
@@ -76,16 +81,25 @@ def latest_by_timestamp(enriched: DataFrame) -> DataFrame:
     """
     order = F.struct(F.coalesce(parse_time(F.col("timestamp")),
                                 F.lit("0001-01-01 00:00:00").cast("timestamp")), F.col("offset"))
-    last = F.max_by(F.struct(*S.STATE_COLUMNS), order)
-    return (enriched.where(F.col("key").isNotNull()).groupBy("key").agg(last.alias("s"))
-            .select("key", "s.*"))
+    rest = [c for c in S.STATE_COLUMNS if c not in _SIGNAL]
+    folded = enriched.where(F.col("key").isNotNull()).groupBy(*_SIGNAL).agg(
+        F.max_by(F.struct(*rest), order).alias("s"))
+    return folded.select(composite_key().alias("key"), *_SIGNAL, "s.*")
 
 
-def state_as_of(enriched: DataFrame, offset: int | None = None,
+def state_as_of(enriched: DataFrame, offset: int | dict[int, int] | None = None,
                 log_time: str | None = None, **kwargs) -> DataFrame:
-    """The state a reader would have seen at a past offset and/or log time."""
+    """The state a reader would have seen at a past position and/or log time.
+
+    Offsets of different partitions are unrelated: a log of several partitions takes a dict of
+    partition to last offset (partitions without one count in full), or a log time.
+    """
     past = enriched
-    if offset is not None:
+    if isinstance(offset, dict):
+        last = F.create_map(*[F.lit(int(x)) for item in offset.items() for x in item])
+        past = past.where(F.col("offset") <= F.coalesce(
+            F.try_element_at(last, F.col("partition").cast("int")), F.lit(2**63 - 1)))
+    elif offset is not None:
         past = past.where(F.col("offset") <= offset)
     if log_time is not None:
         past = past.where(F.col("log_time") <= F.lit(log_time).cast("timestamp"))
@@ -123,16 +137,31 @@ def _current(changes: DataFrame, column: str) -> DataFrame:
     return last_change(changes, column).where(F.col(column).isNotNull())
 
 
-def assets_type(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    return _current(E.type_changes(events, vocab), "type")
+def with_removals(changes: DataFrame, removals: DataFrame | None, target: str) -> DataFrame:
+    """``changes`` (asset, value, offset) and the tombstones of ``removals`` (``asset_uuid, target,
+    offset``) that go to one table; offsets of both count on one axis."""
+    if removals is None:
+        return changes
+    gone = removals.where(F.col("target") == target)
+    return changes.unionByName(gone.select("asset_uuid", "offset", *[
+        F.lit(None).cast(f.dataType).alias(f.name) for f in changes.schema.fields
+        if f.name not in ("asset_uuid", "offset")]))
+
+
+def assets_type(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY,
+                removals: DataFrame | None = None) -> DataFrame:
+    return _current(with_removals(E.type_changes(events, vocab), removals, "assets_type"), "type")
 
 
-def assets_avail(events: DataFrame) -> DataFrame:
-    return _current(E.availability_changes(events), "availability")
+def assets_avail(events: DataFrame, removals: DataFrame | None = None) -> DataFrame:
+    return _current(with_removals(E.availability_changes(events), removals, "assets_avail"),
+                    "availability")
 
 
-def docker_services(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    return _current(E.service_changes(events, vocab), "docker_service")
+def docker_services(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY,
+                    removals: DataFrame | None = None) -> DataFrame:
+    return _current(with_removals(E.service_changes(events, vocab), removals, "docker_services"),
+                    "docker_service")
 
 
 def uns_map(changelog: DataFrame) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plantlog.functions import asof_join, broadcast_if_bounded, lag_in_order
+from plantlog.functions import asof_join, broadcast_if_bounded
+from plantlog.functions.ordered import version_intervals
 
 ANY = "ANY"
 
@@ -22,19 +28,14 @@ class Namespace:
     fields: tuple[str, ...] = field(init=False)
 
     def __post_init__(self) -> None:
-        found = re.search(r"\W", self.template)
-        if found is None:
-            raise ValueError("the template has no separator")
-        parts = tuple(self.template.split(found.group()))
-        unknown = set(parts) - set(self.levels)
-        if parts[-1] != "attribute":
-            raise ValueError("the template must end with 'attribute'")
-        if unknown:
-            raise ValueError(f"template levels without a constraint: {sorted(unknown)}")
-        if list(parts) != [n for n in self.levels if n in parts]:
-            raise ValueError("template levels are not in the order of the declared levels")
-        object.__setattr__(self, "separator", found.group())
-        object.__setattr__(self, "fields", parts[:-1])
+        # A template is a way through the declared levels, in their order, down to the attribute.
+        marks = re.findall(r"\W", self.template)
+        *path, leaf = self.template.split(marks[0]) if marks else ["", ""]
+        ahead = iter(self.levels)
+        if leaf != "attribute" or not all(step in ahead for step in [*path, leaf]):
+            raise ValueError(f"{self.template!r} is no path through {list(self.levels)} to 'attribute'")
+        object.__setattr__(self, "separator", marks[0])
+        object.__setattr__(self, "fields", tuple(path))
 
     def constant(self, name: str) -> str | None:
         rule = self.levels[name]
@@ -74,20 +75,20 @@ def constant_violation(ns: Namespace) -> Column:
 
 
 def prefix_violation(ns: Namespace) -> Column:
-    """``last_not_asset`` or ``gap`` when the given levels are no prefix ending in the asset."""
-    given = F.array_compact(F.array(*[
-        F.when(_provided(n).isNotNull(), F.lit(n)) for n in ns.free]))
-    if "asset" in ns.fields:
-        has_asset = _provided("asset").isNotNull()
-    else:
-        has_asset = F.lit(False)
-    given = F.when(has_asset, given).otherwise(F.array_append(given, F.lit("asset")))
-    count = F.size(given) - 1
-    expected = F.array(*[F.lit(n) for n in ns.free[:-1]]) if ns.free[:-1] else F.array().cast(
-        "array<string>")
-    gap = (count > F.size(expected)) | (F.slice(given, F.lit(1), count)
-                                        != F.slice(expected, F.lit(1), count))
-    return F.when(F.element_at(given, -1) != "asset", "last_not_asset").when(gap, "gap")
+    """``last_not_asset`` when a level below the asset is given with it; ``gap`` when a level is given
+    below one that is not. The last place of the name belongs to the asset."""
+    free = ns.free
+    has = [_provided(n).isNotNull() for n in free]
+    none = F.lit(False)
+    below, holes = none, none
+    if "asset" in free:
+        at = free.index("asset")
+        below = has[at] & reduce(or_, has[at + 1:], none)
+    for upper, lower in zip(has[:-2], has[1:-1]):
+        holes = holes | (~upper & lower)
+    if free and free[-1] != "asset":
+        holes = holes | has[-1]
+    return F.when(below, "last_not_asset").when(holes, "gap")
 
 
 def enum_violation(ns: Namespace) -> Column:
@@ -115,10 +116,11 @@ def attach_uns(assets: DataFrame, ns: Namespace) -> DataFrame:
 
 
 def duplicate_uuids(devices: DataFrame) -> DataFrame:
-    """Uuids claimed by several devices, with the first and the last name in name order."""
+    """Uuids claimed by several devices, with all claimants' names in order. The array is bounded by
+    the claims of one uuid."""
     return devices.groupBy("uuid").agg(
-        F.count("*").alias("claims"), F.min("name").alias("first_name"),
-        F.max("name").alias("last_name")).where(F.col("claims") > 1)
+        F.count("*").alias("claims"), F.sort_array(F.collect_list("name")).alias("names")).where(
+        F.col("claims") > 1)
 
 
 # ---- Re-keying by name -------------------------------------------------------------------
@@ -156,13 +158,66 @@ def resolve_uns(requested: DataFrame, map_changelog: DataFrame) -> DataFrame:
         "uns_id", "asset_uuid", F.coalesce("claims", F.lit(0)).cast("bigint").alias("claims"))
 
 
-def remap_changes(map_changelog: DataFrame, **kwargs) -> DataFrame:
-    """Moments at which a name starts to point to another asset."""
-    named = map_changelog.where(F.col("uns_id").isNotNull()).select(
-        "uns_id", "asset_uuid", "offset")
-    moved = lag_in_order(named, ["uns_id"], ["offset", "asset_uuid"], "asset_uuid",
-                         "previous_asset", **kwargs)
-    return moved.where(F.col("previous_asset") != F.col("asset_uuid"))
+def remap_changes(map_changelog: DataFrame) -> DataFrame:
+    """Moments at which a name starts to point to another asset, by the rule of :func:`resolve_uns`.
+
+    A mapping holds its name from its offset to the asset's next mapping, so a name also moves when
+    its owner is unmapped or renamed. Starts and ends of all mappings are walked per name in offset
+    order; a task keeps only the mappings in force, so a name's history streams through whatever its
+    length. A name that nobody holds for a while moves from its last owner.
+    """
+    held = version_intervals(map_changelog.where(F.col("asset_uuid").isNotNull()).select(
+        "asset_uuid", "offset", "uns_id"), ["asset_uuid"], "offset", ["uns_id"]).where(
+        F.col("uns_id").isNotNull())
+    events = held.select("uns_id", "asset_uuid", F.explode(F.array(
+        F.struct(F.col("_from").alias("offset"), F.lit(True).alias("on"), F.col("_from").alias("since")),
+        F.struct(F.col("_to").alias("offset"), F.lit(False).alias("on"), F.col("_from").alias("since"))
+    )).alias("e")).select("uns_id", "asset_uuid", "e.*").where(F.col("offset") < 2**63 - 1)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, owner, at, heap, gone = None, None, None, [], set()
+
+        def settle() -> tuple | None:
+            """The owner after all changes at one offset."""
+            nonlocal owner
+            while heap and heap[0] in gone:
+                gone.discard(heapq.heappop(heap))
+            top = heap[0][1].text if heap else None
+            before, owner = owner, top or owner
+            return (name, owner, at, before) if before and owner != before else None
+
+        for batch in batches:
+            out = []
+            for uns_id, asset, offset, on, since in batch[
+                    ["uns_id", "asset_uuid", "offset", "on", "since"]].itertuples(index=False):
+                if (uns_id, offset) != (name, at):
+                    out.append(settle())
+                    if uns_id != name:
+                        owner, heap, gone = None, [], set()
+                    name, at = uns_id, offset
+                entry = (-since, _Last(asset))
+                if on:
+                    heapq.heappush(heap, entry)
+                else:
+                    gone.add(entry)
+            yield pd.DataFrame([r for r in out if r], columns=_REMAP)
+        yield pd.DataFrame([r for r in [settle()] if r], columns=_REMAP)
+
+    return events.repartition("uns_id").sortWithinPartitions("uns_id", "offset", "on").mapInPandas(
+        walk, "uns_id string, asset_uuid string, offset long, previous_asset string")
+
+
+_REMAP = ["uns_id", "asset_uuid", "offset", "previous_asset"]
+
+
+@dataclass(frozen=True)
+class _Last:
+    """Orders texts backwards."""
+
+    text: str
+
+    def __lt__(self, other: _Last) -> bool:
+        return self.text > other.text
 
 
 def uns_rollup(state: DataFrame, current_map: DataFrame, levels: list[str]) -> DataFrame:

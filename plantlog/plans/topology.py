@@ -50,10 +50,12 @@ class Catalog:
 def build_topology(spark: SparkSession, events: DataFrame, map_changelog: DataFrame | None = None,
                    source: str = "", vocab: Vocabulary = DEFAULT_VOCABULARY,
                    connector_changelog: DataFrame | None = None,
-                   metrics_changelog: DataFrame | None = None) -> Catalog:
-    """Register every derived stream and table. Nothing runs until a query asks for it, and a
-    query only computes what it names. Changelogs have the columns ``k, v, offset``, the name map
-    ``asset_uuid, uns_id, uns_levels, offset``."""
+                   metrics_changelog: DataFrame | None = None,
+                   removals: DataFrame | None = None) -> Catalog:
+    """Register every derived stream and table; a query only computes what it names. Changelogs have
+    the columns ``k, v, offset``, the name map ``asset_uuid, uns_id, uns_levels, offset``, and
+    ``removals`` (tombstones of deregistered assets) ``asset_uuid, target, offset``. With a name map,
+    registration measures its versions once to choose the plan of ``assets_stream_uns``."""
     catalog = Catalog(spark)
     enriched = E.enrich(events)
     assets = St.latest_state(enriched)
@@ -64,18 +66,21 @@ def build_topology(spark: SparkSession, events: DataFrame, map_changelog: DataFr
                      "assets")
     catalog.register("docker_services_stream", STREAM, E.service_changes(events, vocab),
                      "assets_stream")
-    catalog.register("docker_services", TABLE, St.docker_services(events, vocab),
+    catalog.register("docker_services", TABLE, St.docker_services(events, vocab, removals),
                      "docker_services_stream")
     catalog.register("assets_type_stream", STREAM, E.type_changes(events, vocab), "assets_stream")
     catalog.register("assets_type_tombstones", STREAM, E.type_tombstones(events, vocab),
                      "assets_stream")
-    catalog.register("assets_type", TABLE, St.assets_type(events, vocab), "assets_type_stream")
+    catalog.register("assets_type", TABLE, St.assets_type(events, vocab, removals),
+                     "assets_type_stream")
     catalog.register("assets_avail_stream", STREAM, E.availability_changes(events),
                      "assets_stream")
     catalog.register("assets_avail_tombstones", STREAM, E.availability_tombstones(events),
                      "assets_stream")
-    catalog.register("assets_avail", TABLE, St.assets_avail(events), "assets_avail_stream")
+    catalog.register("assets_avail", TABLE, St.assets_avail(events, removals),
+                     "assets_avail_stream")
     if map_changelog is not None:
+        map_changelog = St.with_removals(map_changelog, removals, "asset_to_uns_map")
         current = St.uns_map(map_changelog)
         catalog.register("asset_to_uns_map_raw", TABLE, map_changelog, "map changelog")
         catalog.register("asset_to_uns_map", TABLE, current, "asset_to_uns_map_raw")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the cluster's shared ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only when the session names none (single-machine tests).
+    A machine-local folder serves only a local master; on a cluster every executor would write to
+    its own disk, so a missing setting is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir")
     if not root:
         app = spark.sparkContext.applicationId
-        root = _FALLBACK.setdefault(app, tempfile.mkdtemp(prefix="plantlog-"))
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if app not in _FALLBACK:
+            _FALLBACK[app] = tempfile.mkdtemp(prefix="plantlog-")
+        root = _FALLBACK[app]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -8,8 +8,8 @@ from plantlog.streaming.jobs import (
     stream_table,
     upsert_sink,
 )
-from plantlog.streaming.stateful import stream_deadband, stream_wait_until
-from plantlog.streaming.subscriptions import message_routes, wait_until
+from plantlog.streaming.stateful import stream_deadband
+from plantlog.streaming.subscriptions import message_routes, stream_wait_until, wait_until
 
 __all__ = [
     "compact_upserts", "deliver_by_uns", "for_each_row_batch", "message_routes", "push_query",

@@ -29,41 +29,3 @@ def stream_deadband(readings: DataFrame, band: float) -> DataFrame:
     return rows.groupBy(*_SERIES).applyInPandasWithState(
         step, "asset_uuid string, id string, offset bigint, value_num double",
         "last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_wait_until(events: DataFrame, requests_match, timeout_seconds: int = 30) -> DataFrame:
-    """Streaming wait: one row per asset, ``matched`` true at the first matching reading or false
-    once event time passes the asset's first reading by the timeout.
-
-    ``requests_match`` is the boolean Column to wait for; it is evaluated before the state, so
-    Python only sees flags and times. ``log_time`` drives the watermark.
-    """
-    def step(key: tuple, batches: Iterator[pd.DataFrame],
-             state: GroupState) -> Iterator[pd.DataFrame]:
-        done = state.exists and state.get[0]
-        if state.hasTimedOut:
-            state.update((True,))
-            yield pd.DataFrame({"asset_uuid": [key[0]], "matched": [False]})
-            return
-        matched, first = False, None
-        for pdf in batches:
-            if pdf["hit"].any():
-                matched = True
-            low = int(pdf["at"].min())
-            first = low if first is None else min(first, low)
-        if done:
-            return
-        if matched:
-            state.update((True,))
-            yield pd.DataFrame({"asset_uuid": [key[0]], "matched": [True]})
-        elif not state.exists:
-            state.update((False,))
-            state.setTimeoutTimestamp(first + timeout_seconds * 1000)
-
-    rows = (events.where(F.col("asset_uuid").isNotNull())
-            .withWatermark("log_time", "0 seconds")
-            .select("asset_uuid", "log_time", F.coalesce(requests_match, F.lit(False)).alias("hit"),
-                    F.unix_millis("log_time").alias("at")))
-    return rows.groupBy("asset_uuid").applyInPandasWithState(
-        step, "asset_uuid string, matched boolean", "done boolean", "append",
-        GroupStateTimeout.EventTimeTimeout)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plantlog import schema as S
 from plantlog.functions import numeric_or_null
 from plantlog.schema import DEFAULT_VOCABULARY, Vocabulary
+from plantlog.streaming.jobs import stream_table
 
 
 def message_routes(messages: DataFrame, attributes: list[str],
@@ -63,3 +64,13 @@ def wait_until(events: DataFrame, signal: str, reference: object,
         "asset_uuid", (initial | F.col("_later").isNotNull()).alias("matched"),
         initial.alias("initial"),
         F.when(initial, F.col("_now.offset")).otherwise(F.col("_later")).alias("offset"))
+
+
+def stream_wait_until(events: DataFrame, *args, location: str, checkpoint: str, **kwargs):
+    """Continuous :func:`wait_until`: a table with one row per asset, updated as readings arrive.
+
+    The answer is a fold with one small state row per asset (value in force, first hit in time), so no
+    watermark is needed and a reading from a lagging partition still counts. A row that says
+    ``matched = false`` is final once every partition's log time has passed the deadline.
+    """
+    return stream_table(wait_until(events, *args, **kwargs), location, checkpoint)

@@ -62,7 +62,7 @@ def test_cross_checks(spark):
     cfg = {**OPCUA, "constants": {"temp": {"node_id": "ns=1;i=1", "tag": "a"}, "b": {"node_id": "ns=1;i=1", "tag": "b"},
                                   "none": {"tag": "c"}, "both": {"node_id": "ns=1;i=9", "browse_path": "0:Root", "tag": "d"}}}
     s = C.connector_signals(parsed(spark, cfg))
-    assert rows(C.duplicate_nodes(s)) == [("D0", "constants", "ns=1;i=1", 2, "b")]
+    assert rows(C.duplicate_nodes(s)) == [("D0", "constants", "ns=1;i=1", 2, ["b", "temp"])]
     assert rows(C.name_conflicts(s)) == [("D0", "temp", "constants,variables", 2)]
     assert rows(C.node_address_checks(s).where("error IS NOT NULL").select("name", "error")) == [
         ("both", "both"), ("none", "neither")]

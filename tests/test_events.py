@@ -122,3 +122,30 @@ def test_consumer_filter(spark):
     df = spark.createDataFrame([("A", "1"), ("A", "2"), ("B", "1")], "asset_uuid string, value string")
     assert E.for_consumer(df, "A", predicate=F.col("value") == "1").count() == 1
     assert E.for_consumer(df, transform=lambda d: d.where("value = '1'")).count() == 2
+
+
+def test_malformed_changelog_record_keeps_its_key(spark):
+    from plantlog.operators.state import changelog_snapshot
+    from plantlog.sources import changelog_errors, parse_changelog
+    log = spark.createDataFrame([("k", '{"X":"1"}', 1), ("k", "{broken", 2), ("g", '{"x":"2"}', 3), ("g", None, 4),
+                                 ("n", "null", 5), ("l", "[1]", 6)], "key string, value string, offset long")
+    assert rows(changelog_snapshot(parse_changelog(log, {"x": "string"}))) == [("k", "1")]
+    assert rows(changelog_errors(log).select("k", "offset")) == [("k", 2), ("l", 6), ("n", 5)]
+
+
+def test_positions(spark):
+    import pytest
+    from plantlog.sources import from_position, starting_offsets
+    log = spark.createDataFrame([(0, 5), (0, 9), (1, 2), (2, 1)], "partition int, offset long")
+    assert rows(from_position(log, {0: 9, 1: 3})) == [(0, 9), (2, 1)]
+    assert starting_offsets("t", {1: 7, 0: 3}, False) == '{"t": {"0": 3, "1": 7}}'
+    assert starting_offsets("t", "latest", True) == "latest"
+    for start, streaming in (("latest", False), (500, True)):
+        with pytest.raises(ValueError):
+            starting_offsets("t", start, streaming)
+
+
+def test_broadcast_bound_counts_bytes(spark):
+    from plantlog.functions.sizing import bounded_rows
+    wide = spark.range(100).selectExpr("id", "repeat('x', 1000) AS text")
+    assert bounded_rows(wide) and not bounded_rows(wide, max_bytes=50_000) and not bounded_rows(wide, limit=99)

@@ -95,8 +95,28 @@ def test_resolution_and_remaps(spark):
     asked = spark.createDataFrame([("n",), ("c",)], "uns_id string")
     assert rows(uns.resolve_uns(asked, m)) == [("c", None, 0), ("n", "B", 2)]
     assert rows(uns.remap_changes(m)) == [("n", "B", 2, "A")]
+    back = spark.createDataFrame([("B", 5, "N"), ("A", 10, "N"), ("A", 20, "M"), ("B", 30, None), ("C", 40, "N")],
+                                 "asset_uuid string, offset long, uns_id string")
+    assert rows(uns.remap_changes(back)) == [("N", "A", 10, "B"), ("N", "B", 20, "A"), ("N", "C", 40, "B")]
+
+
+def test_remaps_against_brute_force(spark):
+    rnd = random.Random(8)
+    log = [(f"a{rnd.randrange(6)}", o, rnd.choice(["n", "n", "m", None])) for o in rnd.sample(range(999), 200)]
+    m = spark.createDataFrame(log, "asset_uuid string, offset long, uns_id string").repartition(4)
+    now, owner, want = {}, {}, []
+    for a, o, u in sorted(log, key=lambda r: r[1]):
+        now[a] = (u, o)
+        for name in ("n", "m"):
+            held = [(at, x) for x, (v, at) in now.items() if v == name]
+            new = max(held)[1] if held else owner.get(name)
+            if name in owner and new != owner[name]:
+                want.append((name, new, o, owner[name]))
+            if new:
+                owner[name] = new
+    assert rows(uns.remap_changes(m)) == sorted(want, key=repr)
 
 
 def test_duplicate_uuids(spark):
-    df = spark.createDataFrame([("u", "a"), ("u", "b"), ("v", "c")], "uuid string, name string")
-    assert rows(uns.duplicate_uuids(df)) == [("u", 2, "a", "b")]
+    df = spark.createDataFrame([("u", "a"), ("u", "c"), ("u", "b"), ("v", "c")], "uuid string, name string")
+    assert rows(uns.duplicate_uuids(df)) == [("u", 3, ["a", "b", "c"])]

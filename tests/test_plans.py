@@ -64,3 +64,34 @@ def test_filters_reach_the_scan(t, spark, tmp_path):
 def test_written_intermediates_go_to_the_shared_folder(spark):
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert shared and work_dir(spark, "x").startswith(f"{shared}/x-")
+
+
+def test_filters_on_asset_and_signal_reach_the_scan(spark, tmp_path):
+    from plantlog.operators import events as E, state as St
+    from workload.adapters import Tables
+    log = Tables(spark, "/root/testdata/sf0.001").events
+    log.write.parquet(str(tmp_path / "log"))
+    stored = spark.read.schema(log.schema).parquet(str(tmp_path / "log"))
+    for fold in (St.latest_state, St.latest_by_timestamp):
+        state = fold(E.enrich(stored)).where("asset_uuid = 'ASSET-1' AND id = 'view'")
+        plan = state._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(asset_uuid,ASSET-1)" in plan and "EqualTo(id,view)" in plan
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    import pytest
+    from plantlog.session import work_dir
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+            getConf = staticmethod(lambda: Session.conf)
+
+    with pytest.raises(ValueError):
+        work_dir(Session, "x")
+    for master in ("local", "local[8]", "local[*]"):
+        Session.sparkContext.master = master
+        assert work_dir(Session, "x")

@@ -79,6 +79,7 @@ def test_late_reading_by_timestamp(spark):
     assert St.latest_by_timestamp(df).first()["value"] == "new"
     assert St.latest_state(df).first()["value"] == "untimed"
     assert St.state_as_of(df, offset=1).first()["value"] == "late"
+    assert St.state_as_of(df, offset={0: 0}).first()["value"] == "new"
 
 
 def test_resync_keeps_unknown_entries(spark):

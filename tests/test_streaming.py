@@ -135,12 +135,33 @@ def test_wait_until_stream(spark, log, tmp_path):
     folder, add_last, batch = log
     add_last()
     out = str(tmp_path / "waits")
-    match = (F.col("id") == "temp") & (F.expr("try_cast(value as double)") > 38)
-    push_query(stream_wait_until(stream(spark, folder), match, 60), out, str(tmp_path / "c")).awaitTermination()
-    got = dict(rows(spark.read.parquet(out)))
-    ever = {r[0] for r in batch.where(match).select("asset_uuid").distinct().collect()}
-    assert set(got) == {r[0] for r in batch.select("asset_uuid").distinct().collect()}
-    assert all(a in ever for a, hit in got.items() if hit)
+    since = batch.agg(F.expr("min(log_time) + INTERVAL 30 SECONDS")).first()[0]
+    args = "temp", 38, operator.gt, since, 60
+    stream_wait_until(stream(spark, folder), *args, location=out, checkpoint=str(tmp_path / "c")).awaitTermination()
+    want = rows(wait_until(batch, *args))
+    assert want and rows(read_upserts(spark, out, ["asset_uuid"]).select(*wait_until(batch, *args).columns)) == want
+
+
+def test_late_partition_still_counts(spark, tmp_path):
+    folder, out = str(tmp_path / "log"), str(tmp_path / "waits")
+    one = lambda a, v, o, s: (a, "x", v, "T", "Events", None, 0, o, T0 + timedelta(seconds=s))
+    spark.createDataFrame([one("A", "go", 1, 500), one("B", "on", 2, -1)], ASSET_EVENT).write.parquet(f"{folder}/a")
+    spark.createDataFrame([one("B", "go", 3, 9), one("C", "go", 4, -50), one("B", "go", 5, 400)], ASSET_EVENT
+                          ).write.parquet(f"{folder}/b")
+    log = spark.readStream.schema(ASSET_EVENT).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    stream_wait_until(log, "x", "go", operator.eq, T0, 30, location=out, checkpoint=str(tmp_path / "c")).awaitTermination()
+    got = rows(read_upserts(spark, out, ["asset_uuid"]).select("asset_uuid", "matched", "offset"))
+    assert got == [("B", True, 3), ("C", True, 4)]
+
+
+def test_folder_tables_stream_every_row(spark, tmp_path):
+    from workload.adapters import Tables
+    whole = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    whole.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for place in (str(tmp_path), "/root/testdata/sf0.001"):
+        out = str(tmp_path / f"out{len(place)}")
+        push_query(Tables(spark, place).stream_events().select("offset"), out, f"{out}-c").awaitTermination()
+        assert spark.read.parquet(out).count() == whole.count()
 
 
 READINGS = [("A", "Execution", "READY", "Events", 0), ("A", "Execution", "ACTIVE", "Events", 10),

@@ -361,10 +361,11 @@ class Tables:
         return self._events(self._adapt("ctl"))
 
     def stream(self, name: str) -> DataFrame:
-        """An adapter read as a file stream."""
+        """An adapter read as a file stream. The pattern names the table, be it one file or a folder
+        of part files; a stream refuses the path of a single file."""
         source = ADAPTERS[name][0]
-        base = (self.spark.readStream.schema(SCHEMAS[source])
-                .option("pathGlobFilter", f"{source}.parquet").parquet(self.dir))
+        base = self.spark.readStream.schema(SCHEMAS[source]).parquet(
+            f"{self.dir}/{source}.parquet*")
         return self._adapt(name, base)
 
     def stream_events(self, name: str = "ev") -> DataFrame:
@@ -470,7 +471,8 @@ class Tables:
         return self.outcomes(label == "cluster").select(label, "ts", *[
             F.sum(F.expr(e)).over(w).alias(n) for n, e in counted.items()])
 
-    def topology(self, events: DataFrame | None = None) -> Catalog:
+    def topology(self, events: DataFrame | None = None,
+                 removals: DataFrame | None = None) -> Catalog:
         apps = self.adapter("app")
         configs = self.adapter("cfg").select(
             F.col("asset_uuid").alias("k"), F.struct("connector_config").alias("v"), "offset")
@@ -478,4 +480,4 @@ class Tables:
             F.lower("uuid").alias("host"), "port", "path").alias("v"), "offset")
         return build_topology(self.spark, self.events if events is None else events,
                               self.map_changelog, source="events", connector_changelog=configs,
-                              metrics_changelog=targets)
+                              metrics_changelog=targets, removals=removals)

@@ -79,11 +79,11 @@ def _(t: Tables):
 
 
 @query("config_duplicate_nodes", f"""
-SELECT asset_uuid, section, coalesce(node_id, browse_path) AS node, count(*) AS uses, min(name) AS first_name
+SELECT asset_uuid, section, coalesce(node_id, browse_path) AS node, count(*) AS uses, string_agg(name, ',' ORDER BY name) AS names
 FROM ({SIGNALS}) WHERE kind = 'opcua' AND coalesce(node_id, browse_path) IS NOT NULL
 GROUP BY ALL HAVING count(*) > 1""")
 def _(t: Tables):
-    return C.duplicate_nodes(signals(t))
+    return C.duplicate_nodes(signals(t)).withColumn("names", F.array_join("names", ","))
 
 
 @query("config_name_conflicts", f"""

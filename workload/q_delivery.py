@@ -78,11 +78,18 @@ def _(t: Tables):
 
 
 @query("uns_remap_changes", """
-SELECT uns_id, asset_uuid, off, previous_asset FROM (SELECT uns_id, asset_uuid, off,
-  lag(asset_uuid) OVER (PARTITION BY uns_id ORDER BY off, asset_uuid) AS previous_asset
-  FROM linemap WHERE uns_id IS NOT NULL) WHERE previous_asset <> asset_uuid""")
+WITH iv AS (SELECT uns_id, asset_uuid, off AS lo, coalesce(lead(off) OVER (
+    PARTITION BY asset_uuid ORDER BY off), 9223372036854775807) AS hi FROM linemap),
+  held AS (SELECT * FROM iv WHERE uns_id IS NOT NULL),
+  points AS (SELECT uns_id, lo AS off FROM held UNION SELECT uns_id, hi FROM held
+         WHERE hi < 9223372036854775807),
+  own AS (SELECT p.uns_id, p.off, arg_max(asset_uuid, (lo, asset_uuid)) AS asset_uuid
+    FROM points p LEFT JOIN held ON held.uns_id = p.uns_id AND lo <= p.off AND p.off < hi GROUP BY 1, 2)
+SELECT uns_id, asset_uuid, off, previous_asset FROM (SELECT *, lag(asset_uuid IGNORE NULLS) OVER (
+  PARTITION BY uns_id ORDER BY off) AS previous_asset FROM own)
+WHERE asset_uuid <> previous_asset""")
 def _(t: Tables):
-    return uns.remap_changes(t.line_map, bucket_width=2000).withColumnRenamed("offset", "off")
+    return uns.remap_changes(t.line_map).withColumnRenamed("offset", "off")
 
 
 _SEG = ", ".join(f"'{s}'" for s in SEGMENTS)
@@ -131,13 +138,14 @@ def _(t: Tables):
 
 
 @query("duplicate_uuid", """
-SELECT uuid, count(*) AS claims, min(name) AS first_name, max(name) AS last_name FROM (
+SELECT uuid, count(*) AS claims, string_agg(name, ',' ORDER BY name) AS names FROM (
   SELECT p_brand || p_type AS uuid, p_name || CAST(p_partkey AS VARCHAR) AS name FROM part)
 GROUP BY 1 HAVING count(*) > 1""")
 def _(t: Tables):
     return uns.duplicate_uuids(t.table("part").select(
         F.concat("p_brand", "p_type").alias("uuid"),
-        F.concat("p_name", F.col("p_partkey").cast("string")).alias("name")))
+        F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"))).withColumn(
+        "names", F.array_join("names", ","))
 
 
 @query("uns_rollup", """

@@ -12,6 +12,7 @@ from plantlog.schema import DEFAULT_VOCABULARY as V
 from plantlog.sources import (
     append_rows,
     as_records,
+    changelog_errors,
     from_position,
     parse_asset_events,
     parse_changelog,
@@ -58,6 +59,22 @@ def _(t: Tables):
         *[level[n].alias(n) for n in ("area", "workcenter", "station")])
 
 
+# every 11th mapping is followed by a record cut in half: it is reported and changes nothing
+@query("changelog_errors", """
+SELECT asset_uuid AS k, '{"UNS_ID":"cut' AS value, off + 1 AS off, 'undecodable' AS error, true AS kept
+FROM mapc WHERE off % 11 = 0""")
+def _(t: Tables):
+    records = t.map_changelog.select(
+        F.col("asset_uuid").alias("key"), "offset", F.to_json(F.struct("uns_id")).alias("value"))
+    cut = records.where(F.col("offset") % 11 == 0).select(
+        "key", (F.col("offset") + 1).alias("offset"), F.lit('{"UNS_ID":"cut').alias("value"))
+    broken = records.unionByName(cut)
+    table = St.changelog_snapshot(parse_changelog(broken, {"uns_id": "string"}))
+    bad = changelog_errors(broken)
+    return bad.join(table.select("k"), "k", "left_semi").select(
+        "k", "value", F.col("offset").alias("off"), "error", F.lit(True).alias("kept"))
+
+
 def _connector_log(t: Tables):
     cfg = t.adapter("cfg")
     puts = cfg.select("asset_uuid", "connector_config", (F.col("key") * 2).alias("offset"))

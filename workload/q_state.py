@@ -89,19 +89,24 @@ def _(t: Tables):
 
 @query("state_as_of", """
 SELECT asset_uuid || '|' || id AS key, arg_max(value, off) AS value, arg_max(type, off) AS type
-FROM ev WHERE off <= 800 GROUP BY 1""")
+FROM ev WHERE off <= (SELECT max(off) * 4 // 5 FROM ev) GROUP BY 1""")
 def _(t: Tables):
-    return St.state_as_of(E.enrich(t.events), offset=800).select("key", "value", "type")
+    return St.state_as_of(E.enrich(t.events), offset=four_fifths(t)).select("key", "value", "type")
+
+
+def four_fifths(t: Tables) -> int:
+    """A past position that keeps its share of the log at every size."""
+    return t.events.agg(F.expr("max(offset) * 4 div 5")).first()[0] or 0
 
 
 @query("merge_resync", """
 WITH cache AS (SELECT asset_uuid || '|' || id AS key, arg_max(value, off) AS value FROM ev
-    WHERE off <= 800 GROUP BY 1),
+    WHERE off <= (SELECT max(off) * 4 // 5 FROM ev) GROUP BY 1),
   snap AS (SELECT key, value FROM state WHERE type <> 'Condition')
 SELECT key, CASE WHEN snap.key IS NOT NULL THEN snap.value ELSE cache.value END AS value
 FROM cache FULL JOIN snap USING (key)""")
 def _(t: Tables):
-    cache = St.state_as_of(E.enrich(t.events), offset=800).select("key", "value")
+    cache = St.state_as_of(E.enrich(t.events), offset=four_fifths(t)).select("key", "value")
     snap = state(t).where(F.col("type") != S.CONDITION).select("key", "value")
     return St.merge_resync(cache, snap, ["key"])
 
@@ -357,6 +362,34 @@ def _(t: Tables):
     return R.register_uns_map(requests(t), F.timestamp_millis(F.lit(1761338400000)))
 
 
+@query("deregister_roundtrip", """
+WITH stay AS (SELECT asset_uuid FROM place WHERE custkey % 5 <> 0)
+SELECT 'assets_type' AS name, asset_uuid, type AS current FROM types JOIN stay USING (asset_uuid)
+UNION ALL SELECT 'assets_avail', asset_uuid, availability FROM avail JOIN stay USING (asset_uuid)
+UNION ALL SELECT 'docker_services', asset_uuid, docker_service FROM services JOIN stay USING (asset_uuid)
+UNION ALL SELECT 'asset_to_uns_map', asset_uuid, uns_id FROM curmap JOIN stay USING (asset_uuid)
+  WHERE uns_id IS NOT NULL
+UNION ALL SELECT 'assets', asset_uuid, CAST(count(*) AS VARCHAR) FROM (
+  SELECT DISTINCT asset_uuid, id FROM ctl WHERE asset_uuid IS NOT NULL AND id IS NOT NULL) GROUP BY 2""")
+def _(t: Tables):
+    place = t.adapter("place")
+    gone = R.deregister_events(place.where(F.col("custkey") % 5 == 0)).where(
+        F.col("target") != "assets_stream").select(
+        "asset_uuid", "target", F.lit(2**62).alias("offset"))
+    # only assets of the name table take part in the comparison of the three tables
+    place.select("asset_uuid").createOrReplaceTempView("known_assets")
+    return t.topology(t.control, gone).query("""
+        SELECT 'assets_type' AS name, asset_uuid, type AS current FROM assets_type
+          LEFT SEMI JOIN known_assets USING (asset_uuid)
+        UNION ALL SELECT 'assets_avail', asset_uuid, availability FROM assets_avail
+          LEFT SEMI JOIN known_assets USING (asset_uuid)
+        UNION ALL SELECT 'docker_services', asset_uuid, docker_service FROM docker_services
+          LEFT SEMI JOIN known_assets USING (asset_uuid)
+        UNION ALL SELECT 'asset_to_uns_map', asset_uuid, uns_id FROM asset_to_uns_map
+          WHERE uns_id IS NOT NULL
+        UNION ALL SELECT 'assets', asset_uuid, CAST(count(*) AS STRING) FROM assets GROUP BY asset_uuid""")
+
+
 @query("deregister_events", """
 SELECT asset_uuid, target, id, value, tag FROM place, (VALUES
   ('assets_stream', 'references_below', '', 'AssetsReferences'),

@@ -20,6 +20,7 @@ from plantlog.streaming import (
     stream_deadband,
     stream_latest_state,
     stream_table,
+    stream_wait_until,
     upsert_sink,
     wait_until,
 )
@@ -86,6 +87,14 @@ def _(t: Tables):
                       86400).withColumnRenamed("offset", "off")
 
 
+@query("stream_wait_until", _WAIT.format(id="click", hit="value = 'UNAVAILABLE'"))
+def _(t: Tables):
+    out, ckpt = _places(t, "waits")
+    stream_wait_until(t.stream_events(), "click", S.UNAVAILABLE, operator.eq, datetime(2024, 1, 10), 86400,
+                      location=out, checkpoint=ckpt).awaitTermination()
+    return read_upserts(t.spark, out, ["asset_uuid"]).withColumnRenamed("offset", "off")
+
+
 @query("user_comparison", _WAIT.format(
     id="purchase", hit="coalesce(TRY_CAST(value AS DOUBLE) >= 150, false)"))
 def _(t: Tables):
