@@ -46,3 +46,20 @@ def without_field(text: Column, name: str) -> Column:
     kept = F.map_filter(
         F.from_json(text, "map<string,variant>"), lambda k, _: F.lower(k) != name.lower())
     return F.to_json(kept)
+
+
+def with_attributes(text: Column, extra: Column) -> Column:
+    """The object as JSON text with the entries of a string map set in its ``attributes`` (the last
+    spelling of which counts); all other values keep their types."""
+    whole = F.from_json(text, "map<string,variant>")
+    is_own = lambda k: F.lower(k) == "attributes"
+    own = F.element_at(F.map_values(F.map_filter(whole, lambda k, _: is_own(k))), -1)
+    has = F.size(F.map_filter(whole, lambda k, _: is_own(k))) > 0
+    kept = F.map_filter(F.from_json(F.when(has, F.to_json(own)), "map<string,variant>"),
+                        lambda k, _: ~F.map_contains_key(extra, k))
+    added = F.transform_values(extra, lambda _, v: v.cast("variant"))
+    all_ = F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,variant>")), added)
+    rest = F.map_filter(whole, lambda k, _: ~is_own(k))
+    return F.to_json(F.map_concat(rest, F.when(has | (F.size(extra) > 0), F.create_map(
+        F.lit("attributes"), F.to_variant_object(all_))).otherwise(
+        F.create_map().cast("map<string,variant>"))))

@@ -13,7 +13,7 @@ from plantlog.functions import (
     iso_ms,
     samples_numeric,
 )
-from plantlog.functions.jsonfields import without_field
+from plantlog.functions.jsonfields import with_attributes, without_field
 from plantlog.schema import DEFAULT_VOCABULARY, Vocabulary
 
 
@@ -127,6 +127,10 @@ def split_invalid(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # ---- Delivery ----------------------------------------------------------------------------
 
+# Attribute names that consumers of delivered messages read.
+STAMPS = ("asset_forwarder_timestamp", "kafka_timestamp", "kafka_timestamp_type")
+
+
 def delivery_timestamps(messages: DataFrame, forwarded_at: Column) -> DataFrame:
     """Stamp attributes with forwarding time, log time and who set the log time.
 
@@ -134,7 +138,7 @@ def delivery_timestamps(messages: DataFrame, forwarded_at: Column) -> DataFrame:
     """
     kind = (F.when(F.col("log_time_type") == 0, "producer")
             .when(F.col("log_time_type") == 1, "broker").otherwise("unknown"))
-    names = ("asset_forwarder_timestamp", "kafka_timestamp", "kafka_timestamp_type")
+    names = STAMPS
     own = F.map_filter(
         F.coalesce(F.col("attributes"), F.create_map().cast("map<string,string>")),
         lambda k, _: ~(k.isin(names[0]) | (F.col("log_time").isNotNull() & k.isin(*names[1:]))))
@@ -147,7 +151,11 @@ def delivery_timestamps(messages: DataFrame, forwarded_at: Column) -> DataFrame:
 
 
 def subject_and_payload(messages: DataFrame) -> DataFrame:
-    """``subject`` = asset.signal and ``payload`` = the message without its id field."""
+    """``subject`` = asset.signal and ``payload`` = the message without its id field (all spellings;
+    the last one is the id) and with the stamps of :func:`delivery_timestamps` in its attributes.
+    Attributes and fields keep their JSON types."""
+    stamps = F.map_filter(F.coalesce("attributes", F.create_map().cast("map<string,string>")),
+                          lambda k, _: k.isin(*STAMPS))
     return (messages
             .withColumn("subject", F.concat_ws(".", "asset_uuid", "id"))
-            .withColumn("payload", without_field(F.col("payload"), "id")))
+            .withColumn("payload", with_attributes(without_field(F.col("payload"), "id"), stamps)))

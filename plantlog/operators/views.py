@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plantlog import schema as S
 from plantlog.functions import clean_tag, samples_numeric
-from plantlog.operators.references import reference_edges
+from plantlog.operators.references import reference_list
 from plantlog.schema import DEFAULT_VOCABULARY, Vocabulary
 
 
@@ -145,19 +145,15 @@ def asset_listing(types: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def device_listing(types: DataFrame, state: DataFrame) -> DataFrame:
-    """Devices with the helper of each role found among their references below."""
-    devices = _listed(types.where(F.col("type") == "Device"), state, ["avail"])
-    below = reference_edges(state).where(F.col("direction") == "below")
-    # only edges that name a helper of their own source survive: at most one per role
-    helpers = below.select(
-        F.col("src").alias("asset_uuid"), "dst",
-        *[(F.col("dst") == F.concat("src", F.lit(f"-{r}"))).alias(r) for r in S.DEVICE_ROLES])
-    helpers = helpers.where(" OR ".join(S.DEVICE_ROLES)).groupBy("asset_uuid").agg(
-        *[F.bool_or(r).alias(r) for r in S.DEVICE_ROLES])
-    return devices.join(helpers, "asset_uuid", "left").select(
-        "asset_uuid", F.upper("avail").alias("availability"),
-        *[F.when(F.col(r), F.concat("asset_uuid", F.lit(f"-{r}"))).otherwise(S.NOT_DEPLOYED)
-          .alias(r.lower()) for r in S.DEVICE_ROLES])
+    """Devices with the helper of each role found among their references below. The list is searched
+    where the device's signals meet; no reference becomes a row."""
+    below = S.REFERENCE_IDS[0]
+    rows = _listed(types.where(F.col("type") == "Device"), state, ["avail", below])
+    names = reference_list(F.col(below))
+    helper = {r: F.concat("asset_uuid", F.lit(f"-{r}")) for r in S.DEVICE_ROLES}
+    return rows.select("asset_uuid", F.upper("avail").alias("availability"), *[
+        F.when(F.array_contains(names, h), h).otherwise(S.NOT_DEPLOYED).alias(r.lower())
+        for r, h in helper.items()])
 
 
 def app_listing(types: DataFrame, state: DataFrame,
