@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plantlog.functions.sizing import bounded_rows
 
@@ -15,16 +15,28 @@ from plantlog.functions.sizing import bounded_rows
 CHUNK_ROWS = 200_000
 
 
-def sample_interval(readings: DataFrame, interval_seconds: float, keys: list[str],
+def sample_interval(readings: DataFrame, interval_seconds: float | Column, keys: list[str],
                     ts: str = "log_time", order: str = "offset") -> DataFrame:
-    """Last reading per signal and sampling interval; interval 0 keeps every change."""
-    if not interval_seconds:
-        return readings
-    slot = F.window(ts, f"{int(interval_seconds * 1000)} milliseconds")["start"]
+    """Last reading per signal and sampling interval; interval 0 keeps every change.
+
+    The interval is one number, or a column with the setting of each reading's signal (see
+    ``connectors.with_subscription``); a signal without a setting, or with 0, keeps every change in
+    a slot of its own time.
+    """
     rest = [c for c in readings.columns if c not in keys]
-    kept = readings.withColumn("slot", slot).groupBy(*keys, "slot").agg(
-        F.max_by(F.struct(*rest), order).alias("r"))
-    return kept.select(*keys, "slot", "r.*")
+    if not isinstance(interval_seconds, Column):
+        if not interval_seconds:
+            return readings
+        slot = F.window(ts, f"{int(interval_seconds * 1000)} milliseconds")["start"]
+        kept = readings.withColumn("slot", slot).groupBy(*keys, "slot")
+    else:
+        width = (interval_seconds * 1_000_000).cast("bigint")
+        at = F.unix_micros(ts)
+        thin = F.coalesce(width > 0, F.lit(False))
+        slot = F.when(thin, F.timestamp_micros(at - F.pmod(at, width))).otherwise(F.col(ts))
+        kept = readings.withColumn("_each", F.when(~thin, F.col(order))).withColumn(
+            "slot", slot).groupBy(*keys, "slot", "_each")
+    return kept.agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "slot", "r.*")
 
 
 def _walk(values: np.ndarray, band: float, last: float) -> list[int]:
@@ -107,10 +119,14 @@ def _chunks_of_hot_series(rows: DataFrame, keys: list[str], order: str,
         F.coalesce(F.sum("n").over(before), F.lit(0)) / chunk_rows).cast("bigint").alias("_chunk"))
 
 
-def deadband_filter(readings: DataFrame, band: float, keys: list[str], value: str = "value_num",
-                    order: str = "offset", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def deadband_filter(readings: DataFrame, band: float | str, keys: list[str],
+                    value: str = "value_num", order: str = "offset",
+                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Drop readings that differ from the last *kept* one of their signal by less than ``band``.
 
+    ``band`` is one number, or the name of a column that holds each signal's setting (see
+    ``connectors.with_subscription``); a signal with NULL, 0 or less keeps all its readings.
+
     The rule is sequential. A long series is cut into chunks: each is summarised on its own, the
     short summaries are folded in order to find the value every chunk starts from, and then all
     chunks (a short series being one) are filtered independently. A hot signal thus spreads over as
@@ -118,35 +134,41 @@ def deadband_filter(readings: DataFrame, band: float, keys: list[str], value: st
     without a numeric value or a signal are no samples and drop out.
     """
     rows = readings.dropna(subset=[value, *keys])
-    if band <= 0:
+    if isinstance(band, str):
+        on = F.coalesce(F.col(band) > 0, F.lit(False))
+        free, rows = rows.where(~on), rows.where(on).withColumn("_band", F.col(band).cast("double"))
+    elif band <= 0:
         return rows
+    else:
+        free, rows = None, rows.withColumn("_band", F.lit(float(band)))
     columns = readings.columns
     rows = rows.withColumn("_bucket", F.expr(f"`{order}` div {int(chunk_rows)}"))
     chunks = _chunks_of_hot_series(rows, keys, order, chunk_rows)
     group = [*keys, "_chunk"]
-    cut = rows.select(*group[:-1], "_bucket", order, value).join(chunks, [*keys, "_bucket"])
+    cut = rows.select(*group[:-1], "_bucket", order, value, "_band").join(chunks, [*keys, "_bucket"])
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                         for f in cut.select(*group).schema.fields)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        up, down = _summary(pdf[value].to_numpy(dtype=float), band)
+        own = float(pdf["_band"].iloc[0])
+        up, down = _summary(pdf[value].to_numpy(dtype=float), own)
         head = {k: [pdf[k].iloc[0]] for k in group}
-        return pd.DataFrame({**head, "_up": [up], "_down": [down]})
+        return pd.DataFrame({**head, "_band": [own], "_up": [up], "_down": [down]})
 
     summaries = cut.groupBy(*group).applyInPandas(
-        summarise, f"{key_ddl}, _up array<double>, _down array<double>")
+        summarise, f"{key_ddl}, _band double, _up array<double>, _down array<double>")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         series, last = None, float("nan")
         for pdf in batches:
             entry = []
-            for key, up, down in zip(pdf[keys].itertuples(index=False, name=None),
-                                     pdf["_up"], pdf["_down"]):
+            for key, own, up, down in zip(pdf[keys].itertuples(index=False, name=None),
+                                          pdf["_band"], pdf["_up"], pdf["_down"]):
                 if key != series:
                     series, last = key, float("nan")
                 entry.append(last)
-                last = _outgoing(last, np.asarray(up), np.asarray(down), band)
+                last = _outgoing(last, np.asarray(up), np.asarray(down), own)
             yield pdf[group].assign(_last=entry)
 
     # one pass over sorted summaries; only the current batch of them is in memory
@@ -165,11 +187,12 @@ def deadband_filter(readings: DataFrame, band: float, keys: list[str], value: st
             fresh[0] = tuple(pdf[group].iloc[0]) != current
             current = tuple(pdf[group].iloc[-1])
             kept = []
-            for i, (v, new, start) in enumerate(zip(
-                    pdf[value].tolist(), fresh.tolist(), pdf["_last"].astype(float).tolist())):
+            for i, (v, new, start, own) in enumerate(zip(
+                    pdf[value].tolist(), fresh.tolist(), pdf["_last"].astype(float).tolist(),
+                    pdf["_band"].tolist())):
                 if new:
                     last = start
-                if not abs(v - last) < band:
+                if not abs(v - last) < own:
                     kept.append(i)
                     last = v
             yield pdf.iloc[kept][columns]
@@ -180,5 +203,5 @@ def deadband_filter(readings: DataFrame, band: float, keys: list[str], value: st
         starts = F.broadcast(starts)
     placed = rows.join(starts, [*keys, "_bucket"], "left").withColumn(
         "_chunk", F.coalesce("_chunk", F.lit(0)))
-    return (placed.repartition(*group).sortWithinPartitions(*group, order)
-            .mapInPandas(walk, out_ddl))
+    thinned = placed.repartition(*group).sortWithinPartitions(*group, order).mapInPandas(walk, out_ddl)
+    return thinned if free is None else thinned.union(free.select(*columns))

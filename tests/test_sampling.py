@@ -55,3 +55,23 @@ def test_sample_interval(spark):
     df = df.withColumn("log_time", df.t.cast("timestamp"))
     assert rows(sampling.sample_interval(df, 10, ["k"]).select("offset")) == [(2,), (3,)]
     assert sampling.sample_interval(df, 0, ["k"]).count() == 3
+
+
+def test_each_signal_has_its_own_settings(spark):
+    rng = np.random.default_rng(3)
+    data = [(k, i, float(round(v, 2)), b) for k, b in (("a", 1.0), ("b", 5.0), ("c", None), ("d", 0.0))
+            for i, v in enumerate(np.cumsum(rng.normal(0, 1, 200)))]
+    df = spark.createDataFrame(data, "k string, offset long, value_num double, band double").repartition(3)
+    want = []
+    for k, b in (("a", 1.0), ("b", 5.0), ("c", None), ("d", 0.0)):
+        own = [r for r in data if r[0] == k]
+        keep = brute([r[2] for r in own], b) if b else range(len(own))
+        want += [own[i] for i in keep]
+    for chunk_rows in (50, 200_000):
+        assert rows(sampling.deadband_filter(df, "band", ["k"], chunk_rows=chunk_rows)) == sorted(want, key=repr)
+
+    from pyspark.sql import functions as F
+    timed = df.withColumn("log_time", F.timestamp_seconds("offset")).withColumn(
+        "every", F.expr("map('a', 10, 'b', 60, 'd', 0)[k]"))
+    got = rows(sampling.sample_interval(timed, F.col("every"), ["k"]).groupBy("k").count())
+    assert got == [("a", 20), ("b", 4), ("c", 200), ("d", 200)]
