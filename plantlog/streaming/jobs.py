@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plantlog.operators import state as St
+from plantlog.operators import events as E, state as St
 from plantlog.operators.events import enrich
+from plantlog.operators.routing import route
 from plantlog.operators.uns import stream_by_uns
+from plantlog.sources import parse_asset_events
+
+DEAD_LETTERS = "dead_letters"
 
 
 def upsert_sink(location: str) -> Callable[[DataFrame, int], None]:
@@ -89,3 +93,31 @@ def deliver_by_uns(events: DataFrame, read_map: Callable[[], DataFrame], locatio
         named = stream_by_uns(batch, read_map(), **kwargs)
         named.write.mode("overwrite").parquet(f"{location}/batch_id={batch_id}")
     return for_each_row_batch(events, write, checkpoint, trigger)
+
+
+def delivery(records: DataFrame, nodes: list[str], forwarded_at: Column) -> DataFrame:
+    """Raw log records as messages for their clusters: checked, stamped, given a subject and the
+    payload without the id, routed. A record that cannot be delivered keeps its payload, has an
+    ``error`` and goes to ``DEAD_LETTERS``. One pass, no shuffle."""
+    checked = E.with_message_error(parse_asset_events(records, keep_payload=True))
+    sent = route(E.subject_and_payload(E.delivery_timestamps(
+        checked.withColumn("_raw", F.col("payload")), forwarded_at)), nodes)
+    bad = F.col("error").isNotNull()
+    return sent.select(
+        F.when(bad, DEAD_LETTERS).otherwise(F.col("cluster")).alias("cluster"),
+        F.when(~bad, F.col("subject")).alias("subject"),
+        F.when(bad, F.col("_raw")).otherwise(F.col("payload")).alias("payload"),
+        "partition", "offset", "error")
+
+
+def deliver_to_clusters(records: DataFrame, nodes: list[str], location: str, checkpoint: str,
+                        forwarded_at: Column | None = None,
+                        trigger: dict | None = None) -> StreamingQuery:
+    """The delivery job: each micro-batch owns ``batch_id=N`` with a folder per cluster and one for dead
+    letters, and replaces it when it is delivered again."""
+    at = F.current_timestamp() if forwarded_at is None else forwarded_at
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        delivery(batch, nodes, at).write.mode("overwrite").partitionBy("cluster").parquet(
+            f"{location}/batch_id={batch_id}")
+    return for_each_row_batch(records, write, checkpoint, trigger)

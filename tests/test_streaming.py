@@ -195,3 +195,20 @@ def test_routes(spark):
                                "id string, type string")
     assert rows(message_routes(df, ["x"]).select("id", "route")) == [
         ("m", "contract"), ("x", "Samples"), ("x", "any"), ("x", "attribute"), ("y", "any")]
+
+
+def test_delivery_retries_replace_their_batch(spark, tmp_path):
+    from plantlog.schema import RAW_RECORD
+    from plantlog.streaming import deliver_to_clusters
+    folder, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    good = [(f"A{i}", f'{{"ID":"x","VALUE":{i}}}', 0, i, T0, 0) for i in range(20)]
+    bad = [("A1", "{cut", 0, 20, T0, 0), (None, '{"ID":"x"}', 0, 21, T0, 0), ("A1", '{"VALUE":1}', 0, 22, T0, 0)]
+    spark.createDataFrame(good + bad, RAW_RECORD).write.parquet(folder)
+    for attempt in ("c1", "c2"):  # a second checkpoint delivers batch 0 once more
+        deliver_to_clusters(spark.readStream.schema(RAW_RECORD).parquet(folder), ["C1", "C2"], out,
+                            str(tmp_path / attempt)).awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == 23 and {r[0] for r in got.select("cluster").distinct().collect()} <= {"C1", "C2", "dead_letters"}
+    assert rows(got.where("cluster = 'dead_letters'").select("offset", "error")) == [
+        (20, "bad_json"), (21, "missing_key"), (22, "missing_id")]
+    assert got.where("error IS NULL AND payload NOT LIKE '%asset_forwarder_timestamp%'").count() == 0

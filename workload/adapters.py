@@ -382,6 +382,9 @@ class Tables:
     def records(self) -> DataFrame:
         return self._records(self._adapt("raw"))
 
+    def stream_records(self) -> DataFrame:
+        return self._records(self.stream("raw"))
+
     def adapter(self, name: str) -> DataFrame:
         df = self._adapt(name)
         return df.withColumnRenamed("off", "offset") if "off" in df.columns else df

@@ -13,6 +13,7 @@ from plantlog.operators import commands, events as E, state as St
 from plantlog.schema import DEFAULT_VOCABULARY as V
 from plantlog.streaming import (
     deliver_by_uns,
+    deliver_to_clusters,
     for_each_row_batch,
     message_routes,
     push_query,
@@ -24,10 +25,10 @@ from plantlog.streaming import (
     upsert_sink,
     wait_until,
 )
-from workload.adapters import Tables
+from workload.adapters import CLUSTERS, Tables
 from workload.q_config import DEADBAND
 from workload.q_delivery import _ASOF
-from workload.q_events import BOUND, bound_columns, method_parameters
+from workload.q_events import _RAW_ID, BOUND, bound_columns, method_parameters
 from workload.registry import query
 
 
@@ -146,6 +147,24 @@ def _(t: Tables):
                                             F.col("offset").alias("off"))
 
 
+@query("deliver_to_clusters", f"""
+WITH m AS (SELECT *, {_RAW_ID} AS id, CASE WHEN value IS NULL THEN 'null_payload'
+  WHEN NOT json_valid(value) THEN 'bad_json' WHEN key IS NULL THEN 'missing_key'
+  WHEN coalesce({_RAW_ID}, '') = '' THEN 'missing_id' END AS error FROM raw)
+SELECT off, error, CASE WHEN error IS NULL THEN cluster ELSE 'dead_letters' END AS cluster,
+  CASE WHEN error IS NULL THEN key || '.' || id END AS subject,
+  CASE WHEN error IS NULL THEN '2024-06-01T00:00:00.000Z' END AS stamped
+FROM m LEFT JOIN owner ON key = asset_uuid""")
+def _(t: Tables):
+    out, ckpt = _places(t, "delivered")
+    deliver_to_clusters(t.stream_records(), CLUSTERS, out, ckpt, F.lit("2024-06-01").cast("timestamp")
+                        ).awaitTermination()
+    return t.spark.read.parquet(out).select(
+        F.col("offset").alias("off"), "error", "cluster", "subject", F.when(
+            F.col("error").isNull(), F.get_json_object(
+                "payload", "$.attributes.asset_forwarder_timestamp")).alias("stamped"))
+
+
 @query("backpressure", "SELECT type, count(*) AS n FROM ev GROUP BY 1")
 def _(t: Tables):
     from plantlog.sources import log_records, parse_asset_events, write_records
