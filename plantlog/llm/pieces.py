@@ -284,7 +284,8 @@ def _length(e: Column) -> Column:
 
 
 def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(``h``, ``n``, ``ids``) of (``h``, ``word``, ``n``), one row per word."""
+    """(``h``, ``n``, ``ids``) of (``h``, ``word``, ``n``), one row per word. Grouped by the columns that
+    ``distinct_words`` groups by, so that the edges of a word are already where they are needed."""
     table = F.broadcast(pieces.table(words.sparkSession))
     size = F.length("word")
     subs = words.withColumn("at", F.explode(F.sequence(F.lit(0), size - 1))).withColumn(
@@ -296,16 +297,15 @@ def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
         edge = F.col("rank").cast("long") * (1 << _START + _LENGTH) + place
         wanted = (F.col("len") > 1) & F.col("rank").isNotNull()
         edges = subs.join(table, "piece", "left").where(wanted | (F.col("len") == 1) & (F.col("at") == 0)).groupBy(
-            "h").agg(F.first("word").alias("word"), F.first("n").alias("n"),
-                     F.collect_list(F.when(wanted, edge)).alias("edges"))
+            "h", "word").agg(F.max("n").alias("n"), F.collect_list(F.when(wanted, edge)).alias("edges"))
         short = (size <= _SHORT) & ~F.contains("word", F.lit(BAR * 2))
         scored = lambda: F.map_from_entries(F.transform("edges", lambda e: F.struct(
             (_start(e) * _SPAN + _length(e)).alias("k"), F.struct(
                 (-F.shiftright(e, _START + _LENGTH)).alias("score"), _length(e).alias("len")).alias("v"))))
         borders = F.when(short, _rank_fold(F.array_sort("edges"), size)).otherwise(_merge_fold(scored(), size))
     else:
-        edges = subs.join(table, "piece", "left").where("rank IS NOT NULL OR len = 1").groupBy("h").agg(
-            F.first("word").alias("word"), F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.when(
+        edges = subs.join(table, "piece", "left").where("rank IS NOT NULL OR len = 1").groupBy("h", "word").agg(
+            F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.when(
                 F.col("rank").isNotNull(), F.struct((F.col("at") * _SPAN + F.col("len")).alias("k"), F.struct(
                     "score").alias("v"))))).alias("edges"))
         borders = _viterbi_fold(F.col("edges"), size, pieces.longest, low)
@@ -428,15 +428,33 @@ def decode(rows: DataFrame, ids: str = "ids", pieces: Pieces | None = None) -> D
     table[pieces.unk] = " ⁇ ".encode()
     skip, name = int(pieces.prefix), free_name(rows, "decoded")
     kept = rows.select(F.struct("*").alias("row"), F.col(ids).alias("ids"))
+    size = np.array([len(b) for b in table], np.int64)
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    letters = np.frombuffer(b"".join(table), np.uint8)
+
+    def texts(lists: pa.ListArray) -> pa.Array:
+        lists = lists.fill_null([]) if lists.null_count else lists
+        flat = lists.flatten().to_numpy()
+        count = size[flat]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        data = letters[np.repeat(begin[flat] - ends[:-1], count) + np.arange(ends[-1])]
+        at = ends[np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))]
+        keep = np.ones(len(data), bool)
+        # The first byte of a text is the space that encoding put there.
+        keep[at[:-1][np.diff(at) > 0]] = not skip
+        at = np.concatenate(([0], np.cumsum(keep)))[at].astype(np.int32)
+        raw = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at), pa.py_buffer(data[keep])])
+        try:
+            return raw.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = [b"".join(map(table.__getitem__, ids or ()))[skip:].decode("utf-8", "replace")
-                         for ids in part.column("ids").to_pylist()]
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+                    [part.column("row"), texts(part.column("ids"))], ["row", "text"])
 
     return kept.mapInArrow(run, f"row {rows.schema.simpleString()}, text string").select(
         "row.*", F.col("text").alias(name))
