@@ -100,10 +100,28 @@ def digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(``digest``, ``names``) of the known texts."""
+    """(``digest``, ``names``, ``word``) of the known texts; ``word`` is a word that every spelling of the
+    text must contain: the longest one that no equal spelling touches, null if there is none."""
     rows = spark.createDataFrame(list((texts or KNOWN).items()), "name string, text string")
-    return rows.select("name", digest(F.col("text")).alias("digest")).where("digest IS NOT NULL").groupBy(
-        "digest").agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("names"))
+    touched = sorted({w for pair in EQUAL_SPELLINGS for side in pair for w in side.split()})
+    plain = F.filter(F.split(canonical(F.col("text")), " "), lambda w: ~w.isin(*touched))
+    longest = F.array_max(F.transform(plain, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    return rows.select("name", digest(F.col("text")).alias("digest"), longest.alias("word")).where(
+        "digest IS NOT NULL").groupBy("digest").agg(
+        F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("names"), F.min("word").alias("word"))
+
+
+def _possible(line: Column, table: DataFrame, most: int = 200) -> Column:
+    """Whether a line can be one of the known texts: it holds the word of one of them. True where a text
+    has no such word, or the table is too large for the words to be tested one by one."""
+    words = [r["word"] for r in table.select("word").distinct().limit(most + 1).collect()] if (
+        "word" in table.columns) else [None]
+    if None in words or len(words) > most:
+        return F.lit(True)
+    low, test = F.lower(line), F.lit(False)
+    for w in words:
+        test = test | F.contains(low, F.lit(w))
+    return test
 
 
 def scan(docs: DataFrame, text: str = "text", table: DataFrame | None = None) -> DataFrame:
@@ -125,7 +143,7 @@ def scan_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text_digest", "licence")
     lines = rows.select(row_key(F.col("doc_id"), F.col("text")).alias("key"),
                         F.explode(F.split("text", "\n")).alias("line"))
-    found = lines.select("key", digest(F.col("line")).alias("digest")).join(
+    found = lines.where(_possible(F.col("line"), table)).select("key", digest(F.col("line")).alias("digest")).join(
         broadcast_if_bounded(table), "digest").groupBy("key").agg(
         F.array_join(F.sort_array(F.collect_set("names")), ", ").alias("notices"))
     return whole.join(found, "key", "left").select(
