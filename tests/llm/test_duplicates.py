@@ -120,6 +120,45 @@ def test_passages_show_all_verbatim_ones(spark):
     assert ps.passages(empty(spark)).count() == 0
 
 
+def spans_of(rows):
+    return {r.doc_id: {i for p in r.passages for i in range(p.start, p.end)} for r in rows}
+
+
+def hold(got, want):
+    """All words; at the ends, stretches with up to five foreign shingles are near too."""
+    assert got.keys() == want.keys()
+    for d, w in want.items():
+        assert w <= got[d] <= {i + j for i in w for j in range(-5, 6)}, d
+
+
+def made(r, n):
+    return [f"{r.choice('bcdfg')}{r.randrange(10 ** 6)}" for _ in range(n)]
+
+
+def test_passages_do_not_depend_on_the_shortest_text(spark):
+    """Every word of every verbatim passage, also where the group's shortest text has a part of it only."""
+    r = random.Random(8)
+    rows, want = [], {}
+    for g in range(12):
+        shared = made(r, 60)
+        rows.append((1000 + g, " ".join(made(r, 12) + shared[15:45] + made(r, 12))))
+        rows.append((2000 + g, " ".join(made(r, 5) + shared[:52] + made(r, 5))))
+        for i in range(3):
+            rows.append((10 * g + i, " ".join(made(r, 70 + i) + shared + made(r, 70))))
+            want[10 * g + i] = set(range(70 + i, 130 + i))
+        want[2000 + g], want[1000 + g] = set(range(5, 57)), set()
+    hold(spans_of(ps.passages(frame(spark, rows)).collect()), want)
+
+
+def test_passages_at_several_places_of_one_text(spark):
+    r = random.Random(9)
+    shared = made(r, 60)
+    rows = [(1, " ".join(shared + made(r, 9) + shared)), (2, " ".join(made(r, 90) + shared + made(r, 90))),
+            (3, " ".join(made(r, 95) + shared + made(r, 9) + shared + made(r, 90)))]
+    hold(spans_of(ps.passages(frame(spark, rows)).collect()), {
+        1: {*range(60), *range(69, 129)}, 2: {*range(90, 150)}, 3: {*range(95, 155), *range(164, 224)}})
+
+
 @pytest.mark.parametrize("buckets", [0, 1024])
 def test_suffix_array_against_sorting(monkeypatch, buckets):
     monkeypatch.setattr(sa, "BUCKETS", buckets)
