@@ -13,6 +13,9 @@ through. All work is DataFrame expressions.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plantlog.functions.sizing import broadcast_if_bounded
@@ -77,6 +80,28 @@ WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "MPL-2.0 notice": "This work is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+#: Whole licences kept as files of ``licence_texts``, by the names their projects use.
+FILES = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0",
+         "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
+         "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+#: Lines before a text that carries no title of its own.
+TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"),
+          "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+          "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License")}
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(name, text) of the known texts, once for each title, each with and without "All rights reserved."."""
+    folder = resources.files("plantlog.llm") / "licence_texts"
+    texts = KNOWN | {name: (folder / f"{f}.txt").read_text("utf-8") for f, name in FILES.items()}
+    out = list(texts.items())
+    for name, titles in TITLES.items():
+        body = re.sub(r"(?im)^(copyright .*|all rights reserved\.?)$", "", texts[name])
+        out += [(name, f"{title}\n{rights}\n{body}") for title in ("", *titles)
+                for rights in ("", "All rights reserved.")]
+    return out
+
+
 COPYRIGHT_LINE = (r"(^|\n)[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9<\[{(])|\(c\)[ \t]*[0-9<\[{]|©)"
                   r"[^\n]*")
 PUNCTUATION = r"[^\p{L}\p{N}]+"
@@ -102,7 +127,7 @@ def digest(text: Column) -> Column:
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(``digest``, ``names``, ``word``) of the known texts; ``word`` is a word that every spelling of the
     text must contain: the longest one that no equal spelling touches, null if there is none."""
-    rows = spark.createDataFrame(list((texts or KNOWN).items()), "name string, text string")
+    rows = spark.createDataFrame(list(texts.items()) if texts else known_texts(), "name string, text string")
     touched = sorted({w for pair in EQUAL_SPELLINGS for side in pair for w in side.split()})
     plain = F.filter(F.split(canonical(F.col("text")), " "), lambda w: ~w.isin(*touched))
     longest = F.array_max(F.transform(plain, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]

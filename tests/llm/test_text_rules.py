@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import pytest
 
@@ -127,6 +128,21 @@ def test_licence_variants(spark):
     assert licences.scan_lines(empty(spark)).count() == 0
 
 
+def test_whole_licence_files(spark):
+    mit, isc = licences.KNOWN["MIT"], licences.KNOWN["ISC"]
+    folder = Path(licences.__file__).parent / "licence_texts"
+    files = sorted(licences.FILES.items())
+    bsd = (folder / "BSD.txt").read_text()
+    rows = [(i, (folder / f"{f}.txt").read_text()) for i, (f, _) in enumerate(files)]
+    rows += [(100, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit),
+             (101, "The MIT License (MIT)\n\nCopyright (c) 2020 Some One\nAll rights reserved.\n\n" + mit),
+             (102, "ISC License\n\nCopyright 2020 Some One\n\n" + isc),
+             (103, "BSD 3-Clause License\n\n" + bsd), (104, "My License\n" + mit)]
+    got = {r.doc_id: r.licence for r in licences.scan(frame(spark, rows)).collect()}
+    assert got == {i: name for i, (_, name) in enumerate(files)} | {
+        100: "MIT", 101: "MIT", 102: "ISC", 103: "BSD-3-Clause", 104: None}
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
