@@ -159,6 +159,41 @@ def test_passages_at_several_places_of_one_text(spark):
         1: {*range(60), *range(69, 129)}, 2: {*range(90, 150)}, 3: {*range(95, 155), *range(164, 224)}})
 
 
+def test_near_passages_are_all_found(spark):
+    """One changed, left out or added word in 50, at every place, and two at the ends."""
+    r = random.Random(10)
+    rows, n = [], 0
+    for at in range(50):
+        for kind in range(4):
+            one = made(r, 50)
+            two = list(one)
+            if kind == 0:
+                two[at] = "changed"
+            elif kind == 1:
+                two.insert(at, "added")
+            elif kind == 2:
+                del two[at]
+            else:
+                two[0], two[-2] = "first", "last"
+            rows += [(2 * n, " ".join(made(r, 30) + one + made(r, 30))), (2 * n + 1, " ".join(made(r, 41) + two + made(r, 30)))]
+            n += 1
+    got = {x.doc_id: x.partner for x in ps.passages(frame(spark, rows)).collect()}
+    assert got == {i: i ^ 1 for i in range(2 * n)}
+
+
+def test_stretches_that_repeat_use_all_bands(spark):
+    r = random.Random(11)
+    rows = []
+    for n in range(60):
+        part = made(r, 12)
+        one = made(r, 8) + part + made(r, 9) + part[:4] + made(r, 17)
+        two = list(one)
+        two[23] = "changed"
+        rows += [(2 * n, " ".join(made(r, 30) + one + made(r, 30))), (2 * n + 1, " ".join(made(r, 41) + two + made(r, 30)))]
+    got = {x.doc_id: x.partner for x in ps.passages(frame(spark, rows)).collect()}
+    assert got == {i: i ^ 1 for i in range(120)}
+
+
 @pytest.mark.parametrize("buckets", [0, 1024])
 def test_suffix_array_against_sorting(monkeypatch, buckets):
     monkeypatch.setattr(sa, "BUCKETS", buckets)
