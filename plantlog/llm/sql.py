@@ -112,3 +112,59 @@ n AS (SELECT rid, string_agg(names, ', ' ORDER BY names) AS notices FROM l GROUP
 SELECT doc_id, CASE WHEN w.c <> '' THEN sha256(w.c) END AS text_digest, k.names AS licence,
        coalesce(notices, '') AS notices
 FROM w LEFT JOIN k ON w.c = k.c AND w.c <> '' LEFT JOIN n USING (rid)"""
+
+_CRC_STEP = "xor(a >> 1, 3988292384 * (a & 1))"
+MERKLE = f"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+         lambda a, b: {_CRC_STEP})) AS tab),
+f AS MATERIALIZED (
+  SELECT row_number() OVER () AS uid, doc_id, lang, n_chars IS NOT NULL AND doc_id IS NOT NULL AND xor(4294967295,
+         list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+         lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]))) % 7 = 0 AS touched,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS own,
+         strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) AS more,
+         coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents, crc),
+l AS MATERIALIZED (
+  SELECT uid, doc_id, lang, sha256(head || own || tail) AS leaf,
+         sha256(head || CASE WHEN touched THEN more ELSE own END || tail) AS seen FROM f),
+p AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n FROM l),
+t(lang, level, pos, n, hash) AS (
+  SELECT lang, 0, pos, n, leaf FROM p
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(hash, '' ORDER BY pos))
+  FROM t WHERE n > 1 GROUP BY lang, level, pos // 2),
+nodes AS MATERIALIZED (SELECT * FROM t),
+s AS MATERIALIZED (
+  SELECT lang, hash AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+u(level, pos, n, hash) AS (
+  SELECT 0, pos, n, subroot FROM s
+  UNION ALL
+  SELECT level + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(hash, '' ORDER BY pos))
+  FROM u WHERE n > 1 GROUP BY level, pos // 2),
+tops AS MATERIALIZED (SELECT * FROM u),
+w(uid, lang, level, pos, n, value, proof) AS (
+  SELECT uid, lang, 0, pos, n, seen, '' FROM p
+  UNION ALL
+  SELECT w.uid, w.lang, w.level + 1, w.pos // 2, (w.n + 1) // 2,
+         sha256(CASE WHEN w.pos % 2 = 1 THEN coalesce(o.hash, '') || value ELSE value || coalesce(o.hash, '') END),
+         proof || coalesce(o.hash, '')
+  FROM w LEFT JOIN nodes o ON o.lang IS NOT DISTINCT FROM w.lang AND o.level = w.level AND o.pos = xor(w.pos, 1)
+  WHERE w.n > 1),
+x(uid, lang, level, pos, n, value, proof) AS (
+  SELECT uid, w.lang, 0, s.pos, s.n, value, proof FROM w JOIN s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL
+  SELECT x.uid, x.lang, x.level + 1, x.pos // 2, (x.n + 1) // 2,
+         sha256(CASE WHEN x.pos % 2 = 1 THEN coalesce(o.hash, '') || value ELSE value || coalesce(o.hash, '') END),
+         proof || coalesce(o.hash, '')
+  FROM x LEFT JOIN tops o ON o.level = x.level AND o.pos = xor(x.pos, 1)
+  WHERE x.n > 1)
+SELECT p.doc_id, leaf, subroot, hash AS root, sha256(proof) AS proof_sha256, value AS folded_root, value = hash AS verified
+FROM p JOIN x USING (uid) JOIN s ON s.lang IS NOT DISTINCT FROM p.lang JOIN tops ON tops.n = 1
+WHERE x.n = 1"""
