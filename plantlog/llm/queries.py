@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plantlog.llm import exact_substrings, licences, manifest, mixing, passages, pieces, pii, sql, topk, toxicity
+from plantlog.llm import exact_substrings, licences, manifest, mixing, packing, passages, pieces, pii, sql, topk, toxicity
 from plantlog.llm.common import documents
 from plantlog.llm.near_join import near_join
 from plantlog.llm.quality_rules import apply_rules
@@ -97,3 +97,9 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     touched = F.col("n_chars").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
     return manifest.manifest(documents(spark, sf_dir), changed=touched, changes={
         "n_chars": F.col("n_chars").cast("decimal(20,0)") + 1})
+
+
+@query()
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
