@@ -9,8 +9,8 @@ To fold a replaced child, the state before its slot is copied and takes the repl
 on its right only; what lies on the left is in the state.
 
 Scale: rows shrink to digests where they are read. Positions come from a range sort with per-partition
-counts. A tree is cut into tiles of ``TILE`` = ``ARITY ** LEVELS`` consecutive nodes; a task builds whole
-tiles, so a group of any size spreads over tasks and one pass shrinks the nodes ``TILE``-fold. The way up
+counts. A tree is cut into tiles of ``ARITY ** LEVELS`` consecutive nodes; a task builds whole tiles, so a
+group of any size spreads over tasks and one pass shrinks the nodes by that factor. The way up
 goes tile by tile to the roots; the way down hands each tile its path (a few nodes per level), and leaves
 fold through the states of their own tile and of that path. Texts are read once, and no pass sorts or
 collects a whole group.
@@ -33,7 +33,6 @@ from plantlog.functions.sizing import broadcast_if_bounded
 from plantlog.llm.common import saved
 
 ARITY, LEVELS = 2, 12
-TILE = ARITY ** LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _STEP = "array<struct<left:string,right:string>>"
 _PATH = f"grp string, tile long, path {_STEP}, subroot string, root string"
@@ -120,36 +119,43 @@ def positions(rows: DataFrame, *order: str) -> DataFrame:
         *rows.columns, (F.col("before") + F.col("idx")).alias("pos"), "n")
 
 
-def _tiled(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("tile", F.floor(F.col("pos") / TILE).cast("long"))
+def _tiled(nodes: DataFrame, deep: int) -> DataFrame:
+    return nodes.withColumn("tile", F.floor(F.col("pos") / ARITY ** deep).cast("long"))
 
 
-def _height(table: pa.Table) -> int | None:
+def _height(deep: int, table: pa.Table) -> int | None:
     """A tile of several has all levels, even where its nodes are few; a lone one ends at its root."""
-    return LEVELS if table.column("n")[0].as_py() > TILE else None
+    return deep if table.column("n")[0].as_py() > ARITY ** deep else None
 
 
 def _hashes(table: pa.Table) -> list[bytes]:
     return [h.encode() for h in table.column("hash").to_pylist()]
 
 
-def _shrink(table: pa.Table) -> pa.Table:
+def _shrink(deep: int, table: pa.Table) -> pa.Table:
     table = table.sort_by("pos")
     nodes = _hashes(table)
-    tree = levels(nodes, _height(table))
+    tree = levels(nodes, _height(deep, table))
     root = tree[-1][0].digest if tree else nodes[0]
     n = table.column("n")[0].as_py()
-    return pa.table({"grp": table.column("grp")[:1], "pos": table.column("tile")[:1], "n": [-(-n // TILE)],
+    return pa.table({"grp": table.column("grp")[:1], "pos": table.column("tile")[:1], "n": [-(-n // ARITY ** deep)],
                      "hash": [root.decode()]})
 
 
-def _up(nodes: DataFrame) -> list[DataFrame]:
+def _task(fn: Callable, deep: int) -> Callable:
+    """``fn`` with its depth, under the plain signature that the grouped calls look at."""
+    if fn is _shrink:
+        return lambda table: fn(deep, table)
+    return lambda nodes, above: fn(deep, nodes, above)
+
+
+def _up(nodes: DataFrame, deep: int) -> list[DataFrame]:
     """``nodes`` and the tables above it, down to one node per group."""
     out, top = [nodes], nodes.agg(F.max("n")).first()[0] or 0
     while top > 1:
-        out.append(saved(_tiled(out[-1]).select("grp", "tile", "pos", "n", "hash").groupBy("grp", "tile").applyInArrow(
-            _shrink, "grp string, pos long, n long, hash string"), "manifest-nodes"))
-        top = -(-top // TILE)
+        out.append(saved(_tiled(out[-1], deep).select("grp", "tile", "pos", "n", "hash").groupBy("grp", "tile").applyInArrow(
+            _task(_shrink, deep), "grp string, pos long, n long, hash string"), "manifest-nodes"))
+        top = -(-top // ARITY ** deep)
     return out
 
 
@@ -159,10 +165,10 @@ def _way(tree: list[list[Parent]], place: int) -> Iterator[tuple[Parent, int]]:
         place //= ARITY
 
 
-def _hand_down(nodes: pa.Table, above: pa.Table) -> pa.Table:
+def _hand_down(deep: int, nodes: pa.Table, above: pa.Table) -> pa.Table:
     """Path of every node of a tile: its siblings in the tile, then the path of the tile."""
     nodes = nodes.sort_by("pos")
-    tree, rest = levels(_hashes(nodes), _height(nodes)), above.column("path")[0].as_py()
+    tree, rest = levels(_hashes(nodes), _height(deep, nodes)), above.column("path")[0].as_py()
     paths = [[dict(zip(("left", "right"), (s.decode() for s in p.siblings(slot)))) for p, slot in _way(tree, i)] + rest
              for i in range(len(nodes))]
     same = lambda c: [above.column(c)[0].as_py()] * len(nodes)
@@ -171,18 +177,19 @@ def _hand_down(nodes: pa.Table, above: pa.Table) -> pa.Table:
                      "subroot": pa.array(same("subroot"), pa.string()), "root": pa.array(same("root"), pa.string())})
 
 
-def _down(tables: list[DataFrame], path: DataFrame, last: Callable, schema: str) -> DataFrame:
+def _down(tables: list[DataFrame], path: DataFrame, last: Callable, schema: str, deep: int) -> DataFrame:
     """Hands ``path`` (of the root tile) down to the lowest of ``tables``, which ``last`` turns into rows."""
     for i, nodes in reversed(list(enumerate(tables[:-1]))):
-        step = _tiled(nodes).groupBy("grp", "tile").cogroup(path.groupBy("grp", "tile"))
-        path = step.applyInArrow(last, schema) if i == 0 else saved(step.applyInArrow(_hand_down, _PATH), "manifest-paths")
+        step = _tiled(nodes, deep).groupBy("grp", "tile").cogroup(path.groupBy("grp", "tile"))
+        path = step.applyInArrow(_task(last, deep), schema) if i == 0 else saved(
+            step.applyInArrow(_task(_hand_down, deep), _PATH), "manifest-paths")
     return path
 
 
-def _prove(leaves: pa.Table, above: pa.Table) -> pa.Table:
+def _prove(deep: int, leaves: pa.Table, above: pa.Table) -> pa.Table:
     leaves = leaves.sort_by("pos")
     nodes = _hashes(leaves)
-    tree = levels(nodes, _height(leaves))
+    tree = levels(nodes, _height(deep, leaves))
     steps = [Step(s["left"].encode(), s["right"].encode()) for s in above.column("path")[0].as_py()]
     upper = b"".join(s.left + s.right for s in steps)
     subroot, root = above.column("subroot")[0].as_py(), above.column("root")[0].as_py()
@@ -206,10 +213,11 @@ def _prove(leaves: pa.Table, above: pa.Table) -> pa.Table:
 
 
 def manifest(docs: DataFrame, group: str = "lang", doc_id: str = "doc_id", fields: tuple[str, ...] = FIELDS,
-             changes: dict[str, Column] | None = None, changed: Column | None = None) -> DataFrame:
+             changes: dict[str, Column] | None = None, changed: Column | None = None, deep: int = LEVELS) -> DataFrame:
     """One row per row of ``docs``: its id, ``leaf``, ``subroot``, ``root``, ``proof_sha256`` (H of its
     siblings up to the root), ``folded_root`` and ``verified``. Rows where ``changed`` holds are folded with
-    the fields of ``changes`` in place of their own, as a reader of a tampered table would."""
+    the fields of ``changes`` in place of their own, as a reader of a tampered table would. ``deep`` is the
+    number of levels of a tile."""
     own = leaf_digest([F.col(f) for f in fields])
     new = leaf_digest([(changes or {}).get(f, F.col(f)) for f in fields])
     # A prefix keeps the null group apart from every text and before them all.
@@ -218,26 +226,26 @@ def manifest(docs: DataFrame, group: str = "lang", doc_id: str = "doc_id", field
         changed if changed is not None else F.lit(False), new).alias("changed"))
     rows = saved(rows, "manifest-leaves").withColumn("uid", F.monotonically_increasing_id())
     leaves = saved(positions(rows, "id", "hash", "uid").drop("uid"), "manifest-positions")
-    up = _up(leaves)
+    up = _up(leaves, deep)
     if len(up) == 1:
         # Groups of one row each: the leaf is the subroot; one pass through lone tiles keeps one form.
         up.append(leaves.select("grp", "pos", "n", "hash"))
     roots = saved(positions(up[-1].select(F.lit("").alias("grp"), F.col("grp").alias("name"), "hash"), "name"),
                   "manifest-roots")
-    above = _up(roots)
+    above = _up(roots, deep)
     if len(above) == 1:
         above.append(roots.select("grp", "pos", "n", "hash"))
     start = above[-1].select("grp", F.lit(0).cast("long").alias("tile"), F.array().cast(_STEP).alias("path"), F.lit(
         "").alias("subroot"), F.col("hash").alias("root"))
-    tops = saved(_down(above, start, _named, _PATH), "manifest-tops")
+    tops = saved(_down(above, start, _named, _PATH, deep), "manifest-tops")
     identity = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[doc_id]
     return _down(up, tops, _prove, f"id {identity}, leaf string, subroot string, root string, proof_sha256 string, "
-                 "folded_root string, verified boolean").withColumnRenamed("id", doc_id)
+                 "folded_root string, verified boolean", deep).withColumnRenamed("id", doc_id)
 
 
-def _named(nodes: pa.Table, above: pa.Table) -> pa.Table:
+def _named(deep: int, nodes: pa.Table, above: pa.Table) -> pa.Table:
     """Paths of the group roots, under the names of their groups."""
     nodes = nodes.sort_by("pos")
-    out = _hand_down(nodes, above)
+    out = _hand_down(deep, nodes, above)
     return out.set_column(0, "grp", nodes.column("name")).set_column(1, "tile", pa.array([0] * len(nodes), pa.int64())
                                                                      ).set_column(3, "subroot", nodes.column("hash"))

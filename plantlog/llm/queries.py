@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plantlog.llm import exact_substrings, licences, manifest, mixing, packing, passages, pieces, pii, sql, topk, toxicity
+from plantlog.llm import exact_substrings, licences, manifest, mixing, packing, passages, pieces, pii, sql, topk, toxicity, whitening
 from plantlog.llm.common import documents
 from plantlog.llm.near_join import near_join
 from plantlog.llm.quality_rules import apply_rules
@@ -103,3 +103,8 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
