@@ -8,23 +8,26 @@ table mixes them. Only the distinct words of the corpus are segmented:
   (broadcast: its size is the model's vocabulary, not the data's);
 * the edges are grouped by word and folded with the higher-order ``aggregate``. For a unigram model
   the fold is Viterbi over end positions. The scores of a BPE model are merge ranks, for which the best
-  path is not the model's segmentation; there the fold keeps the lattice and merges, round by round,
-  every leftmost occurrence of the best-ranked edge over two neighbouring symbols;
+  path is not the model's segmentation; there the fold keeps the lattice and takes its edges in rank
+  order, left to right, each where it covers two neighbouring symbols;
+* words of over ``_SHORT`` characters, and runs of spaces, have the same lattice, made from blocks of the
+  word so that a row stays small; their edges are folded in a task, along linked symbols with a queue by
+  rank, at n log n for n characters;
 * characters without a piece become their UTF-8 byte pieces.
 
 Documents are then encoded by looking up word hashes (64 bit) in a broadcast table of at most
-``TABLE_WORDS`` words, the most frequent ones. If the corpus has more, the rare words of a document are
+``TABLE_BYTES``, the most frequent words. If the corpus has more, the rare words of a document are
 joined to their segmentation by word and gathered per document first; every word is encoded alike.
 
 Defined results: a null or empty text has no pieces; repeated rows are encoded one by one; other
-columns pass through. Words without a break (runs of one script's letters) of thousands of characters
-are folded whole, at a cost that grows faster than their length. Decoding gives back the text, except
-that ``▁`` in a text becomes a space, as in any such model.
+columns pass through; a text of one unbroken run of letters is one word, whatever its length. Decoding
+gives back the text, except that ``▁`` in a text becomes a space, as in any such model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plantlog.llm.common import free_name, mix, saved
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-TABLE_WORDS = 4_000_000
+TABLE_BYTES = 64 << 20
 BAR = "▁"
 _SPAN = 64  # edge key: start * _SPAN + length
 _BASE, _POW = 0x9E3779B97F4A7C15, {}
@@ -202,37 +205,6 @@ def _one(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _merge_fold(edges: Column, n: Column) -> Column:
-    """Symbol borders (from 0) of the merge segmentation of one word of ``n`` characters."""
-    start = F.sequence(F.lit(0), n)
-
-    def pair(b: Column, k: Column) -> Column:
-        lo = F.element_at(b, k)
-        return F.try_element_at(edges, lo * _SPAN + F.element_at(b, k + 2) - lo)
-
-    def merged(b: Column, found: Column) -> Column:
-        best = F.array_max(F.transform(found, lambda e: F.when(e.isNotNull(), e["score"])))
-        first = F.element_at(F.filter(found, lambda e: e["score"] == best), 1)["len"]
-        # Border k + 1 goes when the pair of symbols k, k + 1 is the piece and border k stayed.
-        drop = _one(first, lambda p: F.aggregate(
-            found, F.array().cast("array<boolean>"),
-            lambda acc, e: F.concat(acc, F.array(
-                F.coalesce((e["score"] == best) & (e["len"] == p), F.lit(False))
-                & ~F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(False))))))
-        return _one(drop, lambda d: F.filter(
-            b, lambda x, i: (i == 0) | (i == F.size(b) - 1) | ~F.element_at(d, F.greatest(i, F.lit(1)))))
-
-    def round_(acc: Column, _: Column) -> Column:
-        b = acc["b"]
-        found = F.transform(F.sequence(F.lit(1), F.size(b) - 2), lambda k: pair(b, k))
-        next_ = _one(found, lambda f: F.when(F.exists(f, lambda e: e.isNotNull()), merged(b, f)))
-        return F.when(acc["done"] | (F.size(b) < 3), F.struct(b.alias("b"), F.lit(True).alias("done"))).otherwise(
-            _one(next_, lambda x: F.struct(F.coalesce(x, b).alias("b"), x.isNull().alias("done"))))
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-                       F.struct(start.alias("b"), (n < 2).alias("done")), round_, lambda acc: acc["b"])
-
-
 def _viterbi_fold(edges: Column, n: Column, longest: int, floor: float) -> Column:
     """Borders of the best path. State per end position: score, start of the last edge (ties: the
     longest last edge). A character without a piece may be passed at ``floor``."""
@@ -273,6 +245,8 @@ def _rank_fold(ordered: Column, n: Column) -> Column:
 
 #: An edge in one long: rank, start, length.
 _START, _LENGTH, _SHORT = 24, 6, 60
+#: Starts of a long word in one row.
+_BLOCK = 256
 
 
 def _start(e: Column) -> Column:
@@ -283,13 +257,89 @@ def _length(e: Column) -> Column:
     return e.bitwiseAND(F.lit((1 << _LENGTH) - 1).cast("long")).cast("int")
 
 
+def _folded(edges: dict[int, int], n: int) -> list[int]:
+    """Symbol borders of the merge segmentation of a word of ``n`` characters; ``edges``: rank by start and
+    length. Neighbours merge by best rank, then leftmost; a queued pair is stale once a side has grown."""
+    ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    queue = [(rank, at // _SPAN, at % _SPAN) for at, rank in edges.items() if at % _SPAN == 2]
+    heapq.heapify(queue)
+    alive = bytearray(b"\1") * n
+
+    def offer(left: int) -> None:
+        middle = ends[left]
+        if middle < n:
+            size = ends[middle] - left
+            if size < _SPAN and (rank := edges.get(left * _SPAN + size)) is not None:
+                heapq.heappush(queue, (rank, left, size))
+
+    while queue:
+        _, left, size = heapq.heappop(queue)
+        middle = ends[left]
+        if not alive[left] or middle >= n or ends[middle] - left != size:
+            continue
+        alive[middle] = 0
+        ends[left] = end = ends[middle]
+        if end < n:
+            before[end] = left
+        offer(left)
+        if before[left] >= 0:
+            offer(before[left])
+    return [i for i in range(n) if alive[i]] + [n]
+
+
+def _best_path(edges: dict[int, float], n: int, longest: int, floor: float) -> list[int]:
+    """Borders of the best path, as ``_viterbi_fold`` finds it."""
+    score, back = [0.0] + [0.0] * n, [0] * (n + 1)
+    for j in range(1, n + 1):
+        score[j], i = max((score[i] + edges.get(i * _SPAN + j - i, floor), -i) for i in range(max(0, j - longest), j)
+                          if j - i == 1 or i * _SPAN + j - i in edges)
+        back[j] = -i
+    borders = [n]
+    while borders[-1]:
+        borders.append(back[borders[-1]])
+    return borders[::-1]
+
+
+def _long_words(longs: DataFrame, table: DataFrame, pieces: Pieces, low: float) -> DataFrame:
+    """(``h``, ``n``, ``ids``) of long words: the lattice from blocks, folded in tasks."""
+    blocks = longs.select("h", F.explode(F.transform(F.sequence(F.lit(0), F.length("word") - 1, F.lit(_BLOCK)), lambda b: F.struct(
+        b.alias("base"), F.col("word").substr(b + 1, F.lit(_BLOCK + pieces.longest - 1)).alias("part")))).alias("block")).select(
+        "h", "block.*")
+    starts = blocks.withColumn("at", F.explode(F.sequence(F.lit(0), F.least(F.lit(_BLOCK), F.length("part")) - 1)))
+    subs = starts.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("part") - F.col("at")))))
+    subs = subs.select("h", ((F.col("base") + F.col("at")).cast("long") * _SPAN + F.col("len")).alias("at"),
+                       F.col("part").substr(F.col("at") + 1, F.col("len")).alias("piece"))
+    edges = subs.join(table, "piece").groupBy("h").agg(F.collect_list(F.struct("at", "rank", "score")).alias("edges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pieces.symbol_ids()
+        for batch in batches:
+            out = []
+            for word, found in zip(batch.column("word").to_pylist(), batch.column("edges")):
+                found = found.values
+                at = found.field("at").to_pylist() if found is not None else []
+                if pieces.bpe:
+                    borders = _folded(dict(zip(at, found.field("rank").to_pylist() if at else [])), len(word))
+                else:
+                    borders = _best_path(dict(zip(at, found.field("score").to_pylist() if at else [])), len(word), pieces.longest, low)
+                symbols = (word[a:b] for a, b in zip(borders[:-1], borders[1:]))
+                out.append([i for x in symbols for i in known.get(x) or pieces.other_ids(x)])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), pa.array(
+                out, pa.list_(pa.int32()))], ["h", "n", "ids"])
+
+    return longs.join(edges, "h", "left").select("h", "n", "word", "edges").mapInArrow(run, "h long, n long, ids array<int>")
+
+
 def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(``h``, ``n``, ``ids``) of (``h``, ``word``, ``n``), one row per word. Grouped by the columns that
-    ``distinct_words`` groups by, so that the edges of a word are already where they are needed."""
+    ``distinct_words`` groups by, so that the edges of a word are already where they are needed. Long words
+    pass as one row and are segmented apart."""
     table = F.broadcast(pieces.table(words.sparkSession))
-    size = F.length("word")
-    subs = words.withColumn("at", F.explode(F.sequence(F.lit(0), size - 1))).withColumn(
-        "len", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), size - F.col("at")))))
+    size, double = F.length("word"), F.contains("word", F.lit(BAR * 2))
+    long_ = (size > _SHORT) | double if pieces.bpe else size > _SHORT
+    subs = words.withColumn("at", F.explode(F.when(long_, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), size - 1)))).withColumn(
+        "len", F.explode(F.when(long_, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.least(
+            F.lit(pieces.longest), size - F.col("at"))))))
     subs = subs.withColumn("piece", F.col("word").substr(F.col("at") + 1, F.col("len")))
     place = F.col("at").cast("long") * (1 << _LENGTH) + F.col("len")
     low = min((s for _, _, s in pieces.rows), default=0.0) - 10.0
@@ -298,30 +348,31 @@ def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
         wanted = (F.col("len") > 1) & F.col("rank").isNotNull()
         edges = subs.join(table, "piece", "left").where(wanted | (F.col("len") == 1) & (F.col("at") == 0)).groupBy(
             "h", "word").agg(F.max("n").alias("n"), F.collect_list(F.when(wanted, edge)).alias("edges"))
-        short = (size <= _SHORT) & ~F.contains("word", F.lit(BAR * 2))
-        scored = lambda: F.map_from_entries(F.transform("edges", lambda e: F.struct(
-            (_start(e) * _SPAN + _length(e)).alias("k"), F.struct(
-                (-F.shiftright(e, _START + _LENGTH)).alias("score"), _length(e).alias("len")).alias("v"))))
-        borders = F.when(short, _rank_fold(F.array_sort("edges"), size)).otherwise(_merge_fold(scored(), size))
+        borders = _rank_fold(F.array_sort("edges"), size)
     else:
         edges = subs.join(table, "piece", "left").where("rank IS NOT NULL OR len = 1").groupBy("h", "word").agg(
             F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.when(
                 F.col("rank").isNotNull(), F.struct((F.col("at") * _SPAN + F.col("len")).alias("k"), F.struct(
                     "score").alias("v"))))).alias("edges"))
         borders = _viterbi_fold(F.col("edges"), size, pieces.longest, low)
-    symbols = edges.select("h", "n", "word", borders.alias("b")).select("h", "n", F.transform(
+    symbols = edges.select("h", "n", "word", F.when(~long_, borders).alias("b")).select("h", "n", F.transform(
         F.slice("b", 1, F.size("b") - 1), lambda lo, i: F.col("word").substr(
-            lo + 1, F.element_at(F.col("b"), i + 2) - lo)).alias("symbols"))
+            lo + 1, F.element_at(F.col("b"), i + 2) - lo)).alias("symbols"), F.when(long_, F.col("word")).alias("word"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces.symbol_ids()
         for batch in batches:
-            ids = [[i for x in word for i in known.get(x) or pieces.other_ids(x)]
+            ids = [None if word is None else [i for x in word for i in known.get(x) or pieces.other_ids(x)]
                    for word in batch.column("symbols").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), pa.array(
-                ids, pa.list_(pa.int32()))], ["h", "n", "ids"])
+                ids, pa.list_(pa.int32())), batch.column("word")], ["h", "n", "ids", "word"])
 
-    return symbols.mapInArrow(run, "h long, n long, ids array<int>")
+    done = saved(symbols.mapInArrow(run, "h long, n long, ids array<int>, word string"), "piece-words")
+    longs = done.where("word IS NOT NULL").select("h", "n", "word")
+    short = done.where("word IS NULL").select("h", "n", "ids")
+    if not longs.limit(1).count():
+        return short
+    return short.union(saved(_long_words(longs, table, pieces, low), "piece-long"))
 
 
 class _Table:
@@ -362,14 +413,14 @@ def _lookup(w: Words, table: _Table, extra: list | None) -> tuple[np.ndarray, np
 
 
 def encode(docs: DataFrame, text: str = "text", pieces: Pieces | None = None,
-           table_words: int = TABLE_WORDS) -> DataFrame:
-    """``row`` (all columns of ``docs``) and ``ids``."""
+           table_bytes: int = TABLE_BYTES, decoded: str | None = None) -> DataFrame:
+    """``row`` (all columns of ``docs``) and ``ids``; with ``decoded``, what they decode to under that name."""
     spark, pieces = docs.sparkSession, pieces or Pieces()
     texts = docs.select(F.col(text).alias("text"))
-    words = saved(segment(distinct_words(texts, pieces), pieces), "piece-words")
-    ranks = dict(words.groupBy(F.floor(F.log2("n")).cast("int").alias("g")).count().collect())
+    words = segment(distinct_words(texts, pieces), pieces)
+    ranks = dict(words.groupBy(F.floor(F.log2("n")).cast("int").alias("g")).agg(F.sum(F.lit(12) + 2 * F.size("ids"))).collect())
     total, floor = 0, 63
-    while floor and total + ranks.get(floor - 1, 0) <= table_words and floor > 0:
+    while floor > 0 and total + ranks.get(floor - 1, 0) <= table_bytes:
         floor -= 1
         total += ranks.get(floor, 0)
     frequent = F.floor(F.log2("n")) >= floor
@@ -380,6 +431,7 @@ def encode(docs: DataFrame, text: str = "text", pieces: Pieces | None = None,
         rows = _with_rare(rows, words.where(~frequent).select("h", "ids"), table, options)
     else:
         rows = rows.withColumn("extra", F.lit(None).cast("array<struct<h:bigint,ids:array<int>>>"))
+    back = _decoder(pieces) if decoded else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,10 +443,14 @@ def encode(docs: DataFrame, text: str = "text", pieces: Pieces | None = None,
                 ids, count = _lookup(w, table.value, extra)
                 ends = np.concatenate(([0], np.cumsum(count)))[w.first]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                more = [back(lists)] if back else []
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").slice(lo, len(group)), lists], ["row", "ids"])
+                    [batch.column("row").slice(lo, len(group)), lists, *more], ["row", "ids", "decoded"][:2 + len(more)])
 
-    return rows.mapInArrow(run, f"row {docs.schema.simpleString()}, ids array<int>")
+    schema = f"row {docs.schema.simpleString()}, ids array<int>"
+    if not decoded:
+        return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"{schema}, decoded string").withColumnRenamed("decoded", decoded)
 
 
 def _with_rare(rows: DataFrame, rare: DataFrame, table, options) -> DataFrame:
@@ -416,9 +472,8 @@ def _with_rare(rows: DataFrame, rare: DataFrame, table, options) -> DataFrame:
     return keyed.join(extra, "key", "left").select("row", "text", "extra")
 
 
-def decode(rows: DataFrame, ids: str = "ids", pieces: Pieces | None = None) -> DataFrame:
-    """``rows`` with ``decoded``; bytes that form no character become U+FFFD."""
-    pieces = pieces or Pieces()
+def _decoder(pieces: Pieces) -> Callable[[pa.ListArray], pa.Array]:
+    """Texts of lists of ids; bytes that form no character become U+FFFD."""
     top = max([i for _, i, _ in pieces.rows] + list(pieces.bytes.values()) + [pieces.unk]) + 1
     table: list[bytes] = [b""] * top
     for p, i, _ in pieces.rows:
@@ -426,8 +481,7 @@ def decode(rows: DataFrame, ids: str = "ids", pieces: Pieces | None = None) -> D
     for b, i in pieces.bytes.items():
         table[i] = bytes([b])
     table[pieces.unk] = " ⁇ ".encode()
-    skip, name = int(pieces.prefix), free_name(rows, "decoded")
-    kept = rows.select(F.struct("*").alias("row"), F.col(ids).alias("ids"))
+    skip = int(pieces.prefix)
     size = np.array([len(b) for b in table], np.int64)
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
     letters = np.frombuffer(b"".join(table), np.uint8)
@@ -449,6 +503,15 @@ def decode(rows: DataFrame, ids: str = "ids", pieces: Pieces | None = None) -> D
         except pa.ArrowInvalid:
             return pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
 
+    return texts
+
+
+def decode(rows: DataFrame, ids: str = "ids", pieces: Pieces | None = None) -> DataFrame:
+    """``rows`` with ``decoded``."""
+    texts = _decoder(pieces or Pieces())
+    name = free_name(rows, "decoded")
+    kept = rows.select(F.struct("*").alias("row"), F.col(ids).alias("ids"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):

@@ -56,8 +56,8 @@ def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = pieces.encode(documents(spark, sf_dir).select("doc_id", "text"))
-    return pieces.decode(coded).select(
+    coded = pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), decoded="decoded")
+    return coded.select(
         "row.doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
         (F.col("decoded") == F.coalesce("row.text", F.lit(""))).alias("round_trip"))
 

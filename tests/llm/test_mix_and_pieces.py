@@ -1,6 +1,8 @@
 """Mixing, pieces, the pipeline."""
 
 import itertools
+import random
+import time
 
 import pytest
 
@@ -48,11 +50,11 @@ ODD = ([(1, None), (2, ""), (3, " "), (5, " " * 47 + "漢"), (6, "a" * 300), (7,
        + [(100 + i, " " * i + ("the" if i % 2 else "(")) for i in range(36)])
 
 
-@pytest.mark.parametrize("limit", [pieces.TABLE_WORDS, 20])
+@pytest.mark.parametrize("limit", [pieces.TABLE_BYTES, 400])
 def test_pieces_equal_the_library(spark, model, limit):
     docs = frame(spark, ODD).unionByName(documents(spark, SF).limit(60).select(
         "doc_id", "text", "lang", "source", "n_chars").selectExpr("*", "'r' row", "'k' key", "'p' pii"))
-    got = pieces.decode(pieces.encode(docs, pieces=model, table_words=limit), pieces=model).collect()
+    got = pieces.decode(pieces.encode(docs, pieces=model, table_bytes=limit), pieces=model).collect()
     assert len(got) == len(ODD) + 60
     for r in got:
         assert r.ids == model.processor.encode(r.row.text or "")
@@ -60,10 +62,42 @@ def test_pieces_equal_the_library(spark, model, limit):
     assert pieces.encode(empty(spark), pieces=model).count() == 0
 
 
+def test_long_runs_equal_the_library_in_seconds(spark, model):
+    r = random.Random(6)
+    runs = ["a" * 100_000, "".join(r.choice("acgt") for _ in range(100_000)), "".join(r.choice("etaoinshrdlu") for _ in range(30_000)),
+            "é漢" * 4000, " " * 5000 + "x" * 61, "".join(r.choice("abc ") for _ in range(20_000)).replace(" ", "   "), "==" * 3000, "x" * 61]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    began = time.time()
+    got = pieces.encode(docs, pieces=model, decoded="back").collect()
+    assert time.time() - began < 90
+    for x in got:
+        assert x.ids == model.processor.encode(runs[x.row.doc_id]) and x.back == runs[x.row.doc_id]
+
+
+def test_queue_fold_and_best_path_against_definitions():
+    r = random.Random(4)
+    for _ in range(300):
+        n = r.randrange(1, 14)
+        edges = {i * 64 + size: r.randrange(6) for i in range(n) for size in range(2, 5) if i + size <= n and r.random() < .6}
+        borders = list(range(n + 1))
+        while True:
+            pairs = [(edges[borders[k] * 64 + borders[k + 2] - borders[k]], k) for k in range(len(borders) - 2)
+                     if borders[k] * 64 + borders[k + 2] - borders[k] in edges]
+            if not pairs:
+                break
+            del borders[min(pairs)[1] + 1]
+        assert pieces._folded(edges, n) == borders
+        scores = {e: -float(v) - 1 for e, v in edges.items()}
+        value = lambda b: sum(scores.get(x * 64 + y - x, -20.0) for x, y in zip(b[:-1], b[1:]))
+        top = max(value([0, *cut, n]) for k in range(n) for cut in itertools.combinations(range(1, n), k)
+                  if all(y - x == 1 or x * 64 + y - x in scores for x, y in zip([0, *cut], [*cut, n])))
+        assert value(pieces._best_path(scores, n, 4, -20.0)) == top
+
+
 def test_viterbi_of_a_unigram_table(spark):
     rows = [("▁", 1, -2.0), ("a", 2, -1.5), ("b", 3, -1.6), ("ab", 4, -2.0), ("▁a", 5, -2.2), ("ba", 6, -2.5), ("aba", 7, -4.9)]
     table = pieces.Pieces.of(rows, unk=0, bpe=False)
-    texts = ["".join(t) for n in range(1, 6) for t in itertools.product("abc", repeat=n)][:150]
+    texts = ["".join(t) for n in range(1, 6) for t in itertools.product("abc", repeat=n)][:150] + ["abca" * 20]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     score = {p: s for p, _, s in rows}
     ids = {i: p for p, i, _ in rows}
