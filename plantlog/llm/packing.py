@@ -20,7 +20,8 @@ pattern, is joined by length and place. No document is shuffled while the counts
 a checked broadcast, none ever meets another one, and sequences exist as numbers only.
 
 Texts are cut where a non-space meets a space, which no token of the byte-level pattern spans, and each
-distinct stretch of a batch is tokenised once. The ids are those of the whole text.
+distinct stretch of a batch is tokenised once; a worker remembers up to ``KNOWN`` of them, as arrays. The ids
+are those of the whole text.
 
 Defined results: null and empty texts are one end token; a document without id keeps its row, repeated rows
 are packed each for itself; long texts are tokenised by stretches; an empty table gives an empty
@@ -31,16 +32,17 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plantlog.functions.sizing import broadcast_if_bounded
-from plantlog.llm.common import chunks, saved
+from plantlog.llm.common import ByteTexts, chunks, saved
 
 WINDOW, END = 1024, 0
-TEXT_BYTES, ENCODE_WORDS = 16 << 20, 1 << 14
+TEXT_BYTES, JOINED_BYTES, KNOWN = 4 << 20, 1 << 15, 1_200_000
 # Bytes after which a space starts a new stretch: no white space, nor the last byte of any.
 _SOLID = np.zeros(256, bool)
 _SOLID[0x21:0x7F] = _SOLID[0x80:] = True
@@ -50,43 +52,125 @@ _PLAN = "length int, low long, high long, start int, size int, first long, per i
 
 
 class Encoder:
-    """Token ids of the texts of a batch, equal stretches once."""
+    """Token ids of the texts of a batch, equal stretches once.
+
+    A stretch that begins with a space and ends solid keeps its ids in any company of such stretches, so
+    these are tokenised joined; the bytes of the tokens tell where each one ends."""
 
     def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
+        # Byte-level tokens are written with one character per byte.
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        # Hashes in order, the stretches as they came, their ids, and where each one's ids begin.
+        none = np.zeros(0, np.int64)
+        self.known = none.view(np.uint64), ByteTexts.of([]), np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self.order = none
+
+    def _ids(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _flat(self, lists: list[list[int]]) -> np.ndarray:
+        return np.fromiter((v for ids in lists for v in ids), self.kind, sum(map(len, lists)))
+
+    def _stretches(self, t: ByteTexts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of ``t``, one after the other, and where each text's begin."""
+        size = np.diff(t.offsets)
+        edges = t.data[np.minimum(t.offsets[:-1], len(t.data) - 1)], t.data[np.maximum(t.offsets[1:] - 1, 0)]
+        joined = (size > 0) & (edges[0] == 32) & _SOLID[edges[1]]
+        ends = np.cumsum(size[joined])
+        company = t.data[np.repeat(joined, size)]
+        cuts = ends[np.unique(np.searchsorted(ends, np.arange(JOINED_BYTES, len(company), JOINED_BYTES)))]
+        cuts = np.unique(np.concatenate(([0], cuts, [len(company)])))
+        together = self._flat(self._ids([company[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]))
+        reached = np.concatenate(([0], np.cumsum(self.bytes[together])))
+        at = np.searchsorted(reached, ends)
+        if not np.array_equal(reached[np.minimum(at, len(reached) - 1)], ends):
+            raise ValueError("a token spans two stretches: the tokenizer is not the byte-level kind")
+        alone = self._ids([t.text(i) for i in np.flatnonzero(~joined).tolist()])
+        many = np.zeros(len(size), np.int64)
+        many[joined], many[~joined] = np.diff(at, prepend=0), [len(x) for x in alone]
+        out, owner = np.zeros(many.sum(), self.kind), np.repeat(joined, many)
+        out[owner], out[~owner] = together, self._flat(alone)
+        return out, np.concatenate(([0], np.cumsum(many)))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        if not len(data):
+            return [np.zeros(0, self.kind)] * (len(offsets) - 1)
         cut = np.zeros(len(data) + 1, bool)
         cut[offsets] = True
-        if len(data) > 1:
-            cut[1:-1] |= (data[1:] == 32) & _SOLID[data[:-1]]
+        cut[1:-1] |= (data[1:] == 32) & _SOLID[data[:-1]]
         at = np.flatnonzero(cut)
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [
-            None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        pieces, sizes = [np.zeros(0, self.kind)], []
-        for lo in range(0, len(words.dictionary), ENCODE_WORDS):
-            part = [w.decode() for w in words.dictionary[lo:lo + ENCODE_WORDS].to_pylist()]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            size = np.fromiter(map(len, coded), np.int64, len(coded))
-            pieces.append(np.fromiter((v for ids in coded for v in ids), self.kind, size.sum()))
-            sizes.append(size)
-        flat = np.concatenate(pieces)
-        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        index = words.indices.to_numpy()
-        many = size[index]
+        size, start = np.diff(at), at[:-1]
+        h, first, same = np.unique(ByteTexts(data, at).hashes(start, at[1:]), return_index=True, return_inverse=True)
+        if not np.array_equal(size, size[first][same]) or not np.array_equal(
+                data, data[_ranges(start[first][same], size)]):
+            # Two stretches share a hash: each stands for itself.
+            h, first, same = None, np.arange(len(size)), np.arange(len(size))
+        flat, begin = self._remembered(h, _picked(data, start[first], size[first]))
+        many = np.diff(begin)[same]
         ends = np.concatenate(([0], np.cumsum(many)))
-        places = np.arange(ends[-1]) - np.repeat(ends[:-1] - (np.cumsum(size) - size)[index], many)
-        return np.split(flat[places], ends[np.searchsorted(at, offsets[1:-1])])
+        return np.split(flat[_ranges(begin[:-1][same], many)], ends[np.searchsorted(at, offsets[1:-1])])
+
+    def _remembered(self, h: np.ndarray | None, t: ByteTexts) -> tuple[np.ndarray, np.ndarray]:
+        """``_stretches`` of different texts with hashes ``h``, those of earlier calls without the tokenizer."""
+        keys, texts, ids, begin = self.known
+        if h is None or not len(keys):
+            found, at = np.zeros(len(t), bool), np.zeros(len(t), np.int64)
+        else:
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            at = np.where(keys[at] == h, self.order[at], 0)
+            size = np.diff(t.offsets)
+            found = (keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h) & (np.diff(texts.offsets)[at] == size)
+            # Equal hashes are taken for equal texts only where the bytes are equal too.
+            same = t.data[np.repeat(found, size)] == texts.data[_ranges(texts.offsets[at[found]], size[found])]
+            if not same.all():
+                found[:] = False
+        new = _picked(t.data, t.offsets[:-1][~found], np.diff(t.offsets)[~found])
+        fresh, cut = self._stretches(new)
+        many = np.zeros(len(t), np.int64)
+        many[found], many[~found] = np.diff(begin)[at[found]], np.diff(cut)
+        out, owner = np.zeros(many.sum(), self.kind), np.repeat(found, many)
+        out[owner], out[~owner] = ids[_ranges(begin[at[found]], many[found])], fresh
+        if h is not None:
+            self._remember(h[~found], new, fresh, cut)
+        return out, np.concatenate(([0], np.cumsum(many)))
+
+    def _remember(self, h: np.ndarray, t: ByteTexts, ids: np.ndarray, begin: np.ndarray) -> None:
+        keys, texts, old, at = self.known
+        if len(keys) + len(h) <= KNOWN and len(keys):
+            h = np.concatenate((keys[np.argsort(self.order)], h))
+            t = ByteTexts(np.concatenate((texts.data, t.data)), np.concatenate((texts.offsets, texts.offsets[-1] + t.offsets[1:])))
+            ids, begin = np.concatenate((old, ids)), np.concatenate((at, at[-1] + begin[1:]))
+        self.order = np.argsort(h, kind="stable")
+        self.known = h[self.order], t, ids, begin
+
+
+@cache
+def _encoder(path: str) -> Encoder:
+    """One per worker, with what it remembers."""
+    return Encoder(path)
+
+
+def _picked(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> ByteTexts:
+    return ByteTexts(data[_ranges(start, size)], np.concatenate(([0], np.cumsum(size))))
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., ``size[0]`` numbers, then those of the next range."""
+    before = np.cumsum(size) - size
+    return np.arange(size.sum(), dtype=np.int32) + np.repeat((start - before).astype(np.int32), size)
 
 
 def _encode(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        encoder, part, windows = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, windows = _encoder(path), TaskContext.get().partitionId(), 0
         seen = np.zeros(window, np.int64)
         for batch in batches:
             for lo, hi, t in chunks(batch.column("text"), TEXT_BYTES):
