@@ -30,7 +30,7 @@ from plantlog.llm.common import saved
 
 #: Chain order: name and condition over the label columns.
 CATEGORIES = (("spam", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_spam", "toxic = 1 AND quality = 0"))
-TRAIN_ROWS, FOLDS, FEATURES, PREFIXES = 2500, 3, 400, (4, 5, 6)
+TRAIN_ROWS, FOLDS, FEATURES, PREFIXES, RECALL = 2500, 5, 400, (3, 4, 5, 6), 1.5
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
 
@@ -95,6 +95,22 @@ def fit_linear(x: np.ndarray, y: np.ndarray, rows: np.ndarray, steps: int = 150,
     return w, b
 
 
+def operating_point(odds: np.ndarray, y: np.ndarray, rows: np.ndarray) -> float:
+    """The log odds above which rows are best taken for positive: the best F score, with recall counting
+    ``RECALL`` times as much as precision, over the out-of-fold odds; half way to the next lower row. Few
+    positive labels leave a model's odds low, their order is what it learned."""
+    if not 0 < y.sum() < len(y):
+        return 0.0
+    order = np.argsort(-odds, kind="stable")
+    hit, all_ = np.cumsum((rows * y)[order]), np.cumsum(rows[order])
+    score = (1 + RECALL ** 2) * hit / (RECALL ** 2 * hit[-1] + all_)
+    # A cut between equal odds is none.
+    score[:-1][odds[order][1:] == odds[order][:-1]] = 0
+    best = int(np.argmax(score))
+    low = odds[order[best + 1]] if best + 1 < len(y) else odds[order[best]] - 1
+    return float((odds[order[best]] + low) / 2)
+
+
 def _select(sample: DataFrame, names: list[str]) -> list[str]:
     """The features whose document shares differ most between a category's classes."""
     n = len(names)
@@ -170,9 +186,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple = CATEGORIES, do
                 w, b = fit_linear(xj[train_], y[train_, j], rows[train_])
                 own[test] = np.clip(xj[test] @ w + b, -30, 30)
         w, b = fit_linear(xj, y[:, j], rows)
+        edge = operating_point(own, y[:, j], rows)
         weights.append(w)
-        biases.append(b)
-        odds = np.hstack((odds, own[:, None]))
+        biases.append(b - edge)
+        odds = np.hstack((odds, own[:, None] - edge))
     return Chain(tuple(names), vocabulary, tuple(weights), tuple(biases))
 
 

@@ -4,10 +4,11 @@ import itertools
 import random
 import time
 
+import duckdb
 import pytest
 
 import corpus_pipeline
-from plantlog.llm import mixing, pieces
+from plantlog.llm import mixing, pieces, sql
 from plantlog.llm.common import documents
 from tests.llm.texts import SF, corpus, empty, frame, words
 
@@ -32,6 +33,28 @@ def test_mix_meets_targets(spark):
     assert mixing.plan(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("few", [100_000, 3])
+def test_mix_takes_parts_of_ties_as_sql_does(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "EDGE_ROWS", few)
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(None, text(10), s) for s in ("a", "b", None) for _ in range(100)] + [(i, text(1 + i % 7), "c") for i in range(90)]
+    rows += [(5, text(4), "a")] * 7 + [(None, None, "b")] * 5 + [(None, text(3), "b")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = [(r.row.doc_id, r.row.source, r.size, r.source_size, r.target, r.size * r.repeats) for r in mixing.plan(docs).collect()]
+    assert len(got) == len(rows)
+    for source in ("a", "b", "c", None):
+        mine = [r for r in got if r[1] == source]
+        assert abs(sum(r[5] for r in mine) - mine[0][4]) <= max(r[2] for r in mine) / 2 + 1e-6
+        assert all(r[5] <= 3 * r[2] for r in mine)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = con.execute(sql.MIXING).fetchall()
+    key = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
+    assert sorted(((r[0], r[2], r[3], round(r[4], 6), r[5]) for r in got), key=key) == sorted(
+        ((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in want), key=key)
+
+
 def test_water_filling_caps(spark):
     sources = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 5), ("d", 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sources).collect()}
