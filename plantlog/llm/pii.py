@@ -38,20 +38,20 @@ class Kind:
     base: bool = True
 
 
-#: A local part starts where a run of its characters starts (or where the last match ended): from
-#: any later character of the run the pattern would end, or fail, at the same place.
+#: A local part, and the first number of an address, starts where a run of its characters starts (or where
+#: the last match ended): from any later character of the run the pattern would end, or fail, at the same place.
 KINDS = (
     Kind("email", rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
-    Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]"),
+    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]"),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", r"[0-9][ -]?[0-9]"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]"),
-    Kind("secret", r"(?<![A-Za-z0-9+/_])[A-Za-z0-9+/_]{24,128}+(?![A-Za-z0-9+/_])",
+    Kind("secret", r"(?<![A-Za-z0-9+/_])[A-Za-z0-9+/_]{24,}+(?![A-Za-z0-9+/_])",
          "[A-Za-z0-9+/_]{24}", False),
     Kind("tel", r"(?<![0-9+)] ?)(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
          r"[0-9]{3}[ .-][0-9]{4}", False),
-    Kind("account", rf"{_DIGIT}[0-9](?:[ -]?[0-9]){{11,18}}+(?![0-9])", r"[0-9][0-9 -]{10}[0-9]",
+    Kind("account", rf"{_DIGIT}[0-9](?:[ -]?[0-9]){{11,18}}+(?![0-9])", r"[0-9](?:[ -]?[0-9]){11}",
          False),
-    Kind("handle", r"(?<![A-Za-z0-9._%+-])@[A-Za-z][A-Za-z0-9_]{2,30}+(?![A-Za-z0-9_.@])", "@", False),
+    Kind("handle", r"(?<![A-Za-z0-9._%+-])@[A-Za-z][A-Za-z0-9_]{2,}+(?![A-Za-z0-9_.@])", "@", False),
 )
 NAMES = [k.name for k in KINDS]
 BASE = [i for i, k in enumerate(KINDS) if k.base]
@@ -62,7 +62,7 @@ PERSONAL = ("mail", "contact", "call", "tel", "phone", "mobile", "fax", "card",
             "iban", "token", "key", "secret", "password", "login", "user", "host", "address", "write")
 OTHER = ("version", "isbn", "issn", "page", "order", "item", "article", "section", "figure", "table",
          "commit", "build", "revision", "checksum", "digest")
-CONTEXT = 24
+CONTEXT, BLOCK = 24, 128
 LABELERS = 5
 
 
@@ -105,25 +105,53 @@ def _rule(kind: int, match: Column) -> Column:
     }[NAMES[kind]]
 
 
+_SPAN = "struct<kind:int,start:int,end:int,match:string,ok:boolean,before:string,after:string>"
+
+
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _spans(text: Column, kind: int) -> Column:
-    """Matches of one kind: kind, start, end (code points, end exclusive), match, ok."""
+    """Matches of one kind: kind, start, end (code points, end exclusive), match, ok, and the characters
+    around. The text is split at its matches, and places are summed up ``BLOCK`` matches at a time, so that
+    the cost stays in proportion to the text however many matches it has."""
     pattern = KINDS[kind].pattern
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    span = ("struct<kind:int,start:int,end:int,match:string,ok:boolean>")
-    empty = F.array().cast(f"array<{span}>")
-    step = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(
-        F.length(g).alias("gap"), h.alias("match")))
+    empty = F.array().cast(f"array<{_SPAN}>")
+
+    def steps(hits: Column, gaps: Column) -> Column:
+        nexts = F.zip_with(F.slice(gaps, F.lit(2), F.size(hits)), F.slice(hits, F.lit(2), F.size(hits)), lambda g, h: F.substring(
+            F.concat(g, F.coalesce(h, F.lit(""))), 1, 1))
+        return F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(
+            g.alias("gap"), h.alias("match"))), nexts, lambda s, n: F.struct(
+            s["gap"].alias("gap"), s["match"].alias("match"), n.alias("after")))
 
     def add(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
-        end = start + F.length(s["match"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(
-            F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"),
-            s["match"].alias("match"), F.coalesce(_rule(kind, s["match"]), F.lit(False)).alias("ok"),
-        ))).cast(f"array<{span}>").alias("spans"))
-
-    found = F.aggregate(step, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add)["spans"]
+        start = acc["at"] + F.length(s["gap"])
+        before = F.right(F.concat(acc["tail"], s["gap"]), F.lit(CONTEXT))
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(s["match"])).alias("end"), s[
+            "match"].alias("match"), F.coalesce(_rule(kind, s["match"]), F.lit(False)).alias("ok"), before.alias("before"),
+            s["after"].alias("after"))
+        return F.struct((start + F.length(s["match"])).alias("at"), F.right(F.concat(before, s["match"]), F.lit(CONTEXT)).alias(
+            "tail"), F.concat(acc["spans"], F.array(span).cast(f"array<{_SPAN}>")).alias("spans"))
+
+    def placed(all_: Column) -> Column:
+        begins = F.sequence(F.lit(0), F.size(all_) - 1, F.lit(BLOCK))
+        size = lambda b: F.aggregate(F.slice(all_, b + 1, F.lit(BLOCK)), F.lit(0), lambda n, s: n + F.length(
+            s["gap"]) + F.length(s["match"]))
+        starts = F.aggregate(F.transform(begins, size), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(
+            F.element_at(acc, -1) + n)))
+        # Each match has a character at least, so that many before a block hold its context.
+        tail = lambda b: F.right(F.array_join(F.transform(F.slice(
+            all_, F.greatest(b - CONTEXT, F.lit(0)) + 1, F.least(b, F.lit(CONTEXT))), lambda s: F.concat(
+            s["gap"], s["match"])), ""), F.lit(CONTEXT))
+        return _bound(starts, lambda at: F.flatten(F.transform(begins, lambda b, k: F.aggregate(
+            F.slice(all_, b + 1, F.lit(BLOCK)), F.struct(F.element_at(at, k + 1).alias("at"), tail(b).alias("tail"), empty.alias(
+                "spans")), add, lambda acc: acc["spans"]))))
+
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = _bound(hits, lambda h: F.when(F.size(h) > 0, _bound(steps(h, F.split(text, pattern, -1)), placed)).otherwise(empty))
     return F.when(text.rlike(KINDS[kind].hint), found).otherwise(empty)
 
 
@@ -136,8 +164,9 @@ def _candidates(docs: DataFrame, text: str, into: str) -> DataFrame:
         F.concat(*[_spans(t, i) for i in BASE]).alias("base"),
         F.concat(*[_spans(t, i) for i in range(len(KINDS)) if i not in BASE]).alias("more")))
     kept = F.filter(F.col(hold)["base"], lambda s: s["ok"])
-    more = F.filter(F.col(hold)["more"], lambda s: s["ok"] & ~F.exists(
-        F.col(hold)["base"], lambda b: b["ok"] & (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    # The spans that pass are bound once: the others are compared with these few alone.
+    more = F.flatten(F.transform(F.array(kept), lambda base: F.filter(F.col(hold)["more"], lambda s: s["ok"] & ~F.exists(
+        base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))))
     return found.withColumn(into, F.struct(
         kept.alias("base"), more.alias("more"),
         F.filter(F.col(hold)["base"], lambda s: ~s["ok"]).alias("failed"))).drop(hold)
@@ -147,13 +176,10 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _evidence(text: Column, s: Column) -> Column:
+def _evidence(s: Column) -> Column:
     """Votes ``v0..v4`` and features of a span: ``kind``, length class, border classes."""
-    kind, match = s["kind"], s["match"]
-    before = F.lower(text.substr(F.greatest(s["start"] + 1 - CONTEXT, F.lit(1)),
-                                 F.least(s["start"], F.lit(CONTEXT))))
-    prev = F.when(s["start"] == 0, "").otherwise(text.substr(s["start"], F.lit(1)))
-    after = text.substr(s["end"] + 1, F.lit(1))
+    kind, match, after = s["kind"], s["match"], s["after"]
+    before, prev = F.lower(s["before"]), F.right(s["before"], F.lit(1))
     name = F.element_at(F.array(*[F.lit(n) for n in NAMES]), kind + 1)
     length = F.length(match)
     gazetteer = F.when(name == "email", _vote(
@@ -252,9 +278,9 @@ def fit(patterns: list[dict], steps: int = 300) -> Model:
 def train(docs: DataFrame, text: str = "text") -> Model:
     t = F.coalesce(F.col(text), F.lit(""))
     found = _candidates(docs.select(t.alias("text")), "text", "found")
-    each = found.select("text", F.explode(F.concat(
+    each = found.select(F.explode(F.concat(
         "found.base", "found.more", "found.failed")).alias("s")).select(
-        _evidence(F.col("text"), F.col("s")).alias("e")).select("e.*")
+        _evidence(F.col("s")).alias("e")).select("e.*")
     return fit([r.asDict() for r in each.groupBy(*_PATTERN).count().collect()])
 
 
@@ -276,10 +302,9 @@ def find(docs: DataFrame, text: str = "text", model: Model | None = None) -> Dat
     of ``docs`` named ``pii`` is replaced."""
     model = model or train(docs, text)
     found = _candidates(docs, text, into := free_name(docs, "_spans"))
-    t = F.coalesce(F.col(text), F.lit(""))
     plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"),
                                s["end"].alias("end"))
-    added = F.filter(F.col(into)["more"], lambda s: _probable(model, _evidence(t, s)))
+    added = F.filter(F.col(into)["more"], lambda s: _probable(model, _evidence(s)))
     base = F.transform(F.col(into)["base"], plain)
     return found.withColumn("pii", F.struct(base.alias("base"), F.concat(
         base, F.transform(added, plain)).alias("spans"))).drop(into)

@@ -1,9 +1,12 @@
 """Quality rules, personal data, licences, toxicity."""
 
 import hashlib
+import random
 import re
+import time
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from plantlog.llm import licences, pii, queries, toxicity
@@ -143,6 +146,65 @@ def test_whole_licence_files(spark):
         100: "MIT", 101: "MIT", 102: "ISC", 103: "BSD-3-Clause", 104: None}
 
 
+def test_pii_of_long_and_crowded_texts(spark):
+    """No cap on secrets and handles, spaced account numbers, and a cost in proportion to the text."""
+    token, name = "aB3" * 60, "n" + "4x" * 40
+    rows = [(1, f"key {token} end"), (2, f"by @{name} now"), (3, "acct 1 2 3 4 5 6 7 8 9 0 1 2 end"),
+            (4, "1" * 300_000), (5, " ".join(str(i % 97) for i in range(60_000))), (6, " ".join(f"a{i}@b.com" for i in range(3000))),
+            (7, "1." * 50_000), (8, "+1 " * 30_000)]
+    docs = frame(spark, rows)
+    found = {r.doc_id: {x.match for x in r.more} for r in pii._candidates(docs, "text", "c").selectExpr("doc_id", "c.more").collect()}
+    assert found[1] >= {token} and found[2] >= {"@" + name} and found[3] >= {"1 2 3 4 5 6 7 8 9 0 1 2"}
+    began = time.time()
+    got = {r.doc_id: r.pii.base for r in pii.find(docs).select("doc_id", "pii").collect()}
+    assert time.time() - began < 60
+    assert len(got[6]) == 3000 and [s.start for s in got[6][:2]] == [0, 9] and len(got[7]) == 12500 and not got[8]
+
+
+def test_pii_context_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    text = " ".join(f"é{i} call {i}@x{i}.org," for i in range(20))
+    spans = pii._candidates(frame(spark, [(1, text)]), "text", "c").selectExpr("c.base").first().base
+    assert len(spans) == 20
+    for s in spans:
+        assert text[s.start:s.end] == s.match and s.before == text[max(0, s.start - 24):s.start] and s.after == text[s.end:s.end + 1]
+
+
+def test_operating_point_against_all_cuts():
+    r = random.Random(5)
+    for _ in range(100):
+        n = r.randrange(2, 12)
+        odds, y = [r.randrange(6) - 3.0 for _ in range(n)], [r.randrange(2) for _ in range(n)]
+        w = [r.choice([1.0, 3.0]) for _ in range(n)]
+        at = toxicity.operating_point(np.array(odds), np.array(y, float), np.array(w))
+        if not 0 < sum(y) < n:
+            assert at == 0
+            continue
+
+        def score(cut):
+            taken = [o > cut for o in odds]
+            hit = sum(b for t, a, b in zip(taken, y, w) if t and a)
+            return (1 + toxicity.RECALL ** 2) * hit / (toxicity.RECALL ** 2 * sum(b for a, b in zip(y, w) if a) + sum(
+                b for t, b in zip(taken, w) if t) or 1)
+        assert score(at) == pytest.approx(max(score(c) for c in [o - .25 for o in odds]))
+
+
+def test_chain_feeds_earlier_odds_to_later_models():
+    chain = toxicity.Chain(("a", "b"), {"x": 0}, (np.array([2.0]), np.array([1.0, -3.0])), (0.5, 0.25))
+    p = chain.predict(np.array([[1.0]]))[0]
+    first = 2.0 + 0.5
+    assert p == pytest.approx([1 / (1 + np.exp(-first)), 1 / (1 + np.exp(-(1.0 - 3 * first + 0.25)))])
+
+
+def test_linear_model_reaches_its_optimum():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(200, 3))
+    y = (x[:, 0] + r.normal(size=200) > 0).astype(float)
+    w, b = toxicity.fit_linear(x, y, np.ones(200), steps=3000)
+    d = (1 / (1 + np.exp(-(x @ w + b))) - y) / 200
+    assert np.abs(x.T @ d + 2e-4 * w).max() < 1e-4 and abs(d.sum()) < 1e-4
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
