@@ -6,7 +6,7 @@ neither side is broadcast and no pair of rows exists outside a matrix product. E
 ``k`` best per query by partial selection, tiles of one shelf are merged while they pass, and the lists
 of all shelves are merged in a tree of fan-in ``FAN``, so no task sees more than ``FAN * k`` rows a query.
 
-Products are exact: float64 while every sum is below 2**53, else 64-bit or unbounded integers
+Entries are exact at any size of the double. Products are exact: float64 while every sum is below 2**53, else 64-bit or unbounded integers
 (scores beyond 64 bits are held at its ends). Only vectors of the query's own length are compared.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component, and rows without
@@ -30,10 +30,11 @@ _TILES = "tile long, dim int, uids binary, ids binary, matrix binary"
 
 def quantise(x: np.ndarray) -> np.ndarray:
     """floor(256 * x) as integers, of unbounded size where 64 bits are too few."""
-    y = np.floor(256 * x.astype(np.float64))
-    if y.size and np.abs(y).max() >= 2.0 ** 62:
-        return np.array([int(v) for v in y.ravel()], object).reshape(y.shape)
-    return y.astype(np.int64)
+    x = x.astype(np.float64)
+    if x.size and np.abs(x).max() >= 2.0 ** 54:
+        # From 2**53 on a double is an integer; 256 times it may be no double any more.
+        return np.array([256 * int(v) if abs(v) >= 2.0 ** 53 else int(np.floor(256 * v)) for v in x.ravel()], object).reshape(x.shape)
+    return np.floor(256 * x).astype(np.int64)
 
 
 def _pack(matrix: np.ndarray) -> bytes:

@@ -362,6 +362,14 @@ def test_topk_ties_repeats_and_odd_rows(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_of_the_largest_doubles(spark):
+    rows = [(50, [1e307, 1.0]), (1, [1.7e308, -1.0]), (2, [-1e300, 0.0]), (3, [2.0 ** -1060, 3.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    top = (1 << 63) - 1
+    assert [tuple(r) for r in sorted(got, key=lambda r: r.rank)] == [(50, 1, 1, top), (50, 2, 3, 196608), (50, 3, 2, -top)]
+    assert topk.quantise(np.array([1e307, -0.3]))[0] == 256 * int(1e307) and topk.quantise(np.array([-0.3]))[0] == -77
+
+
 def test_topk_small_tiles(spark, monkeypatch):
     r = np.random.default_rng(2)
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(400, 4)))],
