@@ -39,7 +39,8 @@ LENGTH, GRAM = 400, 200
 SPAN = LENGTH - GRAM + 1
 WIDE, STEP, HOT = 64, 32, 4096
 SHARD_BYTES = 400_000
-_PIECE = 4 << 20
+#: Bytes that a task holds as arrays at a time: some fifteen of eight bytes each.
+_PIECE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -77,7 +78,7 @@ def anchors(t: ByteTexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _parts(column: pa.Array) -> Iterator[tuple[int, int, ByteTexts, int]]:
     """(first row, end row, texts, byte offset in the row): chunks of rows, longer rows in pieces that
     overlap by one window less a byte."""
-    for lo, hi, t in chunks(column):
+    for lo, hi, t in chunks(column, _PIECE):
         if len(t.data) <= _PIECE:
             yield lo, hi, t, 0
             continue
