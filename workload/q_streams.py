@@ -5,7 +5,6 @@ from __future__ import annotations
 import operator
 from datetime import datetime
 
-from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from plantlog import schema as S, work_dir
@@ -103,27 +102,6 @@ def _(t: Tables):
                       86400).withColumnRenamed("offset", "off")
 
 
-@query("at_least_once", "SELECT asset_uuid, id, off FROM ev")
-def _(t: Tables):
-    out, ckpt = _places(t, "at-least-once")
-    write = upsert_sink(out)
-    attempts = []
-
-    def fails_once(batch, batch_id):
-        """Delivers, then fails before the batch is committed: it must come again, once."""
-        write(batch, batch_id)
-        attempts.append(batch_id)
-        if len(attempts) == 1:
-            raise RuntimeError("delivery interrupted")
-
-    rows = t.stream_events().select("asset_uuid", "id", F.col("offset").alias("off"))
-    try:
-        for_each_row_batch(rows, fails_once, ckpt).awaitTermination()
-    except StreamingQueryException:
-        for_each_row_batch(rows, fails_once, ckpt).awaitTermination()
-    return t.spark.read.parquet(out).drop("batch_id")
-
-
 @query("replay_rebuild", "SELECT key, asset_uuid, id, value, type, tag, timestamp FROM state")
 def _(t: Tables):
     out, ckpt = _places(t, "rebuilt")
@@ -165,20 +143,6 @@ def _(t: Tables):
                 "payload", "$.attributes.asset_forwarder_timestamp")).alias("stamped"))
 
 
-@query("backpressure", "SELECT type, count(*) AS n FROM ev GROUP BY 1")
-def _(t: Tables):
-    from plantlog.sources import log_records, parse_asset_events, write_records
-    log, ckpt = _places(t, "log")
-    write_records(t.records.select("key", "value", "partition", "offset", "timestamp",
-                                   "timestampType"), log)
-    out, out_ckpt = _places(t, "bounded")
-    stream = log_records(t.spark, log, streaming=True, per_trigger=4)
-    by_offset = parse_asset_events(stream, keep_payload=True).select("offset")
-    push_query(by_offset, out, out_ckpt).awaitTermination()
-    seen = t.spark.read.parquet(out)
-    return t.events.join(seen, "offset").groupBy("type").agg(F.count("*").alias("n"))
-
-
 @query("watch_command_stream", BOUND)
 def _(t: Tables):
     out, ckpt = _places(t, "commands")
