@@ -39,6 +39,12 @@ def sample_interval(readings: DataFrame, interval_seconds: float | Column, keys:
     return kept.agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "slot", "r.*")
 
 
+def finite(rows: DataFrame, value: str) -> DataFrame:
+    """Rows whose ``value`` is a finite number."""
+    x = F.col(value).cast("double")
+    return rows.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def _walk(values: np.ndarray, band: float, last: float) -> list[int]:
     """Positions kept after ``last`` (NaN: nothing kept so far, the first one is)."""
     kept = []
@@ -131,9 +137,10 @@ def deadband_filter(readings: DataFrame, band: float | str, keys: list[str],
     short summaries are folded in order to find the value every chunk starts from, and then all
     chunks (a short series being one) are filtered independently. A hot signal thus spreads over as
     many tasks as it has chunks. ``order`` is a BIGINT position, unique within a signal. Readings
-    without a numeric value or a signal are no samples and drop out.
+    without a numeric value or a signal are no samples and drop out; so do NaN and infinite values, which
+    are at no distance from anything.
     """
-    rows = readings.dropna(subset=[value, *keys])
+    rows = finite(readings.dropna(subset=[value, *keys]), value)
     if isinstance(band, str):
         on = F.coalesce(F.col(band) > 0, F.lit(False))
         free, rows = rows.where(~on), rows.where(on).withColumn("_band", F.col(band).cast("double"))

@@ -8,24 +8,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plantlog.operators.sampling import _walk
+from plantlog.operators.sampling import _walk, finite
 
 _SERIES = ["asset_uuid", "id"]
 
 
-def stream_deadband(readings: DataFrame, band: float) -> DataFrame:
-    """Streaming form of the deadband filter: the state is the last kept value of each signal."""
+def stream_deadband(readings: DataFrame, band: float | str) -> DataFrame:
+    """Streaming form of the deadband filter: the state is the last kept value of each signal.
+
+    ``band`` is one number, or the name of a column with each signal's setting; NULL, 0 or less keeps all
+    readings of a signal. NaN and infinite values are no samples.
+    """
     def step(key: tuple, batches: Iterator[pd.DataFrame],
              state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else float("nan")
         # order across the arrow batches of one micro-batch is restored before the walk
         rows = pd.concat(list(batches)).sort_values("offset", kind="stable")
-        kept = rows.iloc[_walk(rows["value_num"].to_numpy(dtype=float), band, last)]
+        # The setting of the newest reading holds for the batch.
+        own = float(rows["_band"].iloc[-1])
+        kept = rows.iloc[_walk(rows["value_num"].to_numpy(dtype=float), own, last)] if own > 0 else rows
         if len(kept):
             state.update((float(kept["value_num"].iloc[-1]),))
         yield kept[["asset_uuid", "id", "offset", "value_num"]]
 
-    rows = readings.where(F.col("value_num").isNotNull()).select(*_SERIES, "offset", "value_num")
+    setting = F.col(band).cast("double") if isinstance(band, str) else F.lit(float(band))
+    rows = finite(readings, "value_num").select(*_SERIES, "offset", "value_num", F.coalesce(setting, F.lit(0.0)).alias("_band"))
     return rows.groupBy(*_SERIES).applyInPandasWithState(
         step, "asset_uuid string, id string, offset bigint, value_num double",
         "last double", "append", GroupStateTimeout.NoTimeout)

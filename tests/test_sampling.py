@@ -44,6 +44,18 @@ def test_deadband_with_a_hot_signal(spark, chunk_rows):
     assert sorted(r[0] for r in got.select("offset").collect()) == want
 
 
+@pytest.mark.parametrize("chunk_rows", [40, 200_000])
+def test_deadband_without_nan_and_infinite_values(spark, chunk_rows):
+    rng = np.random.default_rng(2)
+    v = np.round(np.cumsum(rng.normal(0, 1, 600)), 2)
+    v[rng.integers(0, 600, 60)], v[rng.integers(0, 600, 20)] = np.nan, np.inf
+    pdf = pd.DataFrame({"k": "a", "offset": np.arange(600), "value_num": v})
+    got = sampling.deadband_filter(spark.createDataFrame(pdf).repartition(3), 3.0, ["k"], chunk_rows=chunk_rows)
+    good = pdf[np.isfinite(pdf["value_num"])]
+    want = [int(good["offset"].iloc[i]) for i in brute(good["value_num"].tolist(), 3.0)]
+    assert sorted(r[0] for r in got.select("offset").collect()) == want
+
+
 def test_no_deadband_keeps_everything(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 1.0), ("a", 3, None)], "k string, offset long, value_num double")
     assert sampling.deadband_filter(df, 0, ["k"]).count() == 2

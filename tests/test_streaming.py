@@ -212,3 +212,51 @@ def test_delivery_retries_replace_their_batch(spark, tmp_path):
     assert rows(got.where("cluster = 'dead_letters'").select("offset", "error")) == [
         (20, "bad_json"), (21, "missing_key"), (22, "missing_id")]
     assert got.where("error IS NULL AND payload NOT LIKE '%asset_forwarder_timestamp%'").count() == 0
+
+
+def test_wait_results_end_with_their_deadline(spark):
+    """Equal to the batch answer, over restarts; a silent signal ends too, and no state is left."""
+    from datetime import datetime, timedelta
+    import operator
+    from plantlog import work_dir
+    from plantlog.streaming import push_query, stream_wait_result, wait_until
+
+    since = datetime(2024, 1, 1)
+    schema = "asset_uuid string, id string, value string, type string, offset long, log_time timestamp"
+    at = lambda s: since + timedelta(seconds=s)
+    parts = [[("a", "door", "open", "Events", 1, at(-50)), ("b", "door", "shut", "Events", 2, at(-40)), ("c", "door", "shut", "Events", 3, at(-30))],
+             [("b", "door", "open", "Events", 4, at(10)), ("c", "lamp", "open", "Events", 5, at(20)), ("d", "door", "open", "Events", 6, at(25))],
+             [("a", "lamp", "on", "Events", 7, at(5000)), ("c", "door", "open", "Events", 8, at(5001))],
+             [("a", "lamp", "on", "Events", 9, at(9000))]]
+    log, out, ckpt = (work_dir(spark, n) for n in ("waits-log", "waits-out", "waits-ckpt"))
+    query = None
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(log)
+        query = push_query(stream_wait_result(spark.readStream.schema(schema).parquet(log), "door", "open", operator.eq, since, 60),
+                           out, ckpt)
+        query.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("asset_uuid", "matched", "initial", "offset").collect())
+    every = spark.createDataFrame(sum(parts, []), schema)
+    want = wait_until(every, "door", "open", operator.eq, since, 60).select("asset_uuid", "matched", "initial", "offset").collect()
+    assert got == sorted(tuple(r) for r in want) == [("a", True, True, 1), ("b", True, False, 4), ("c", False, False, None)]
+    last = [p for p in query.recentProgress if p["stateOperators"]][-1]["stateOperators"][0]
+    assert last["numRowsTotal"] == 0
+
+
+def test_streaming_deadband_with_settings_per_signal(spark):
+    from plantlog import work_dir
+    from plantlog.streaming import push_query, stream_deadband
+    rows = [("a", "x", k, float(k % 7), 3.0) for k in range(40)] + [("a", "y", k, float(k % 2), None) for k in range(10)] + [
+        ("a", "x", 50, float("nan"), 3.0), ("b", "x", 60, float("inf"), 1.0)]
+    schema = "asset_uuid string, id string, offset long, value_num double, band double"
+    log, out = work_dir(spark, "band-log"), work_dir(spark, "band-out")
+    spark.createDataFrame(rows, schema).write.parquet(log)
+    push_query(stream_deadband(spark.readStream.schema(schema).parquet(log), "band"), out, work_dir(
+        spark, "band-ckpt")).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    kept, last = [], None
+    for k in range(40):
+        if last is None or abs(k % 7 - last) >= 3:
+            kept.append(k)
+            last = k % 7
+    assert sorted(r.offset for r in got if r.id == "x") == kept and sum(r.id == "y" for r in got) == 10

@@ -20,6 +20,7 @@ from plantlog.streaming import (
     stream_deadband,
     stream_latest_state,
     stream_table,
+    stream_wait_result,
     stream_wait_until,
     upsert_sink,
     wait_until,
@@ -95,6 +96,14 @@ def _(t: Tables):
     return read_upserts(t.spark, out, ["asset_uuid"]).withColumnRenamed("offset", "off")
 
 
+@query("stream_wait_result", _WAIT.format(id="click", hit="value = 'UNAVAILABLE'"))
+def _(t: Tables):
+    out, ckpt = _places(t, "wait-results")
+    push_query(stream_wait_result(t.stream_events(), "click", S.UNAVAILABLE, operator.eq, datetime(2024, 1, 10), 86400),
+               out, ckpt).awaitTermination()
+    return t.spark.read.parquet(out).withColumnRenamed("offset", "off")
+
+
 @query("user_comparison", _WAIT.format(
     id="purchase", hit="coalesce(TRY_CAST(value AS DOUBLE) >= 150, false)"))
 def _(t: Tables):
