@@ -157,3 +157,33 @@ def test_pipeline_stages(spark):
     assert ids <= kept
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert out.count() == docs.count() and out.where("n_pieces = 0").count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null ids, texts and sources, repeated rows, texts without words, and columns that clash with inner names."""
+    rows = corpus(n=12) + [(300, "mail me at a.b@example.org, call +1 212 555 0199. " * 3 + "This is a plain sentence of words. " * 4),
+                           (None, None), (None, "A good sentence stands here, it has some words. " * 5)]
+    docs = frame(spark, rows)
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        docs = corpus_pipeline.saved(stage(spark, docs, SF), "odd-stage")
+        if name != "pieces":
+            assert tuple(docs.columns) == corpus_pipeline.COLUMNS
+        if name == "quality rules":
+            assert docs.where("text IS NULL OR text = ''").count() == 0 and 0 < docs.count() <= len(rows)
+        if name == "near duplicates":
+            assert docs.count() == docs.select("doc_id", "text").distinct().count() <= before.count()
+        if name == "personal data":
+            assert docs.count() == before.count() and docs.where("text LIKE '%example.org%'").count() == 0
+        if name == "pieces":
+            assert docs.count() == before.count()
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_pipeline_stages_on_no_rows_and_null_texts(spark, name, stage):
+    none = stage(spark, empty(spark), SF)
+    assert none.count() == 0
+    nulls = frame(spark, [(1, None), (1, None), (None, None), (2, "")])
+    got = stage(spark, nulls, SF).collect()
+    # Rejected by the rules; of a class of their own; unchanged; of size 0 in the mix; no pieces.
+    assert len(got) == {"quality rules": 0, "near duplicates": 3, "personal data": 4}.get(name, len(got)) and len(got) <= 12
