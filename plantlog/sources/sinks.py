@@ -52,6 +52,12 @@ def tombstones(keys: DataFrame, key: str, like: T.StructType, offset: Column) ->
                        offset.cast("bigint").alias("offset"))
 
 
-def write_by_cluster(routed: DataFrame, location: str, fmt: str = "parquet") -> None:
-    """Deliver each message to the folder of the cluster owning its asset; no shuffle needed."""
-    routed.write.format(fmt).mode("append").partitionBy("cluster").save(location)
+def write_by_cluster(routed: DataFrame, location: str, fmt: str = "parquet", job: str | None = None) -> None:
+    """Deliver each message to the folder of the cluster owning its asset; no shuffle needed.
+
+    With ``job``, the delivery's own folder ``job=<name>`` is replaced as a whole, so a job that runs again
+    leaves no row twice; without, rows are appended. A message without a cluster goes to ``dead_letters``.
+    """
+    rows = routed.withColumn("cluster", F.coalesce("cluster", F.lit("dead_letters")))
+    out = rows.write.format(fmt).mode("append" if job is None else "overwrite").partitionBy("cluster")
+    out.save(location if job is None else f"{location}/job={job}")

@@ -75,3 +75,14 @@ def _with_manifest(spark):
     out = work_dir(spark, "none")
     D.DeliveryWriter(out).commit([D.Written()], 0)
     return out
+
+
+def test_fan_out_job_may_run_again(spark):
+    from plantlog.sources import write_by_cluster
+    out = work_dir(spark, "fan")
+    rows = spark.createDataFrame([("C1", 1), ("C2", 2), (None, 3)], "cluster string, n long")
+    for _ in range(2):
+        write_by_cluster(rows, out, job="j1")
+    write_by_cluster(rows.where("n = 1"), out, job="j2")
+    got = sorted((r.cluster, r.n) for r in spark.read.parquet(out).collect())
+    assert got == [("C1", 1), ("C1", 1), ("C2", 2), ("dead_letters", 3)]

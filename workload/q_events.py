@@ -171,7 +171,9 @@ SELECT cluster, asset_uuid || '.' || id AS subject, off FROM ev JOIN owner USING
 def _(t: Tables):
     out = work_dir(t.spark, "clusters")
     msgs = t.events.withColumn("subject", F.concat_ws(".", "asset_uuid", "id"))
-    write_by_cluster(routing.route(msgs, CLUSTERS).select("cluster", "subject", "offset"), out)
+    # The job runs twice, as after a lost driver: its folder is replaced.
+    for _ in range(2):
+        write_by_cluster(routing.route(msgs, CLUSTERS).select("cluster", "subject", "offset"), out, job="fan-out")
     return t.spark.read.parquet(out).select("cluster", "subject", F.col("offset").alias("off"))
 
 
