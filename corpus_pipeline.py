@@ -3,6 +3,12 @@
 Each stage takes ``(spark, docs, sf_dir)`` with the columns of ``documents`` and returns them again
 (the last returns token rows); ``run`` writes every stage to the cluster's shared folder as Parquet
 and reads it back as the next one's input.
+
+Defined results of every stage: an empty table gives an empty table; columns besides those of ``documents``
+are left behind, whatever their names. A null text fails the quality rules; later stages take it as empty:
+a class of its own, without personal data, of size 0 in the mix (which takes it as often as the whole
+epochs of its source), without pieces. Repeated rows are one class of near duplicates, so one of them stays;
+after the mix they are meant. Rows without an id are told apart by their text; a source may be null.
 """
 
 from __future__ import annotations
