@@ -13,10 +13,20 @@ from plantlog.functions.sizing import BROADCAST_ROWS
 
 # Order positions per bucket: bounds the rows one window group can hold.
 BUCKET_WIDTH = 1_000_000
+# Log time of records that carry none: they stand before all others.
+UNTIMED = -2**62
 # Versions per key up to which the broadcast interval join is used.
 VERSIONS_PER_KEY = 64
 
 
+def log_micros() -> Column:
+    """Place of a record among those of other logs: its log time in microseconds.
+
+    Offsets order the records of one partition and say nothing about those of another log.
+    """
+    return F.coalesce(F.unix_micros("log_time"), F.lit(UNTIMED))
+
+
 def _bucket(order: str, width: int) -> Column:
     return F.expr(f"`{order}` div {int(width)}")
 

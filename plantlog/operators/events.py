@@ -52,21 +52,23 @@ def is_availability() -> Column:
     return F.col("id").isin(*S.AVAILABILITY_IDS) & F.col("value").isNotNull()
 
 
-def service_changes(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+def service_changes(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY,
+                    also: tuple[str, ...] = ()) -> DataFrame:
     return events.where(is_service(vocab)).select(
-        "asset_uuid", F.col("value").alias("docker_service"), "offset")
+        "asset_uuid", F.col("value").alias("docker_service"), "offset", *also)
 
 
-def type_changes(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+def type_changes(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY,
+                 also: tuple[str, ...] = ()) -> DataFrame:
     """Type per asset, ``delete`` as a NULL type."""
     return events.where(is_asset_type(vocab)).select(
-        "asset_uuid", _null_on_delete().alias("type"), "offset")
+        "asset_uuid", _null_on_delete().alias("type"), "offset", *also)
 
 
-def availability_changes(events: DataFrame) -> DataFrame:
+def availability_changes(events: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Availability per asset, ``delete`` as a NULL availability."""
     return events.where(is_availability()).select(
-        "asset_uuid", _null_on_delete().alias("availability"), "offset")
+        "asset_uuid", _null_on_delete().alias("availability"), "offset", *also)
 
 
 def _null_on_delete() -> Column:

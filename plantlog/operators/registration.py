@@ -42,8 +42,10 @@ def register_uns_map(requests: DataFrame, now: Column) -> DataFrame:
         F.col("asset_uuid").alias("key"), value.alias("value"))
 
 
-def deregister_events(assets: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    """Log rows that remove assets, each with the ``target`` it goes to.
+def deregister_events(assets: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY,
+                      now: Column | None = None) -> DataFrame:
+    """Log rows that remove assets, each with the ``target`` it goes to and the ``log_time`` it takes
+    effect at: what is registered later stays.
 
     Blank reference readings go to the stream, tombstones to the three per-asset tables, and a
     NULL name to the map. Signal readings of the asset stay in the state.
@@ -58,7 +60,9 @@ def deregister_events(assets: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY)
         *[row("assets_stream", ref, "", S.REFERENCES_TAG) for ref in S.REFERENCE_IDS],
         *[row(t, None, None, None) for t in ("assets_type", "assets_avail", "docker_services")],
         row("asset_to_uns_map", "uns_id", None, None))
-    return assets.select("asset_uuid", F.explode(rows).alias("r")).select("asset_uuid", "r.*")
+    at = F.current_timestamp() if now is None else now
+    return assets.select("asset_uuid", at.alias("log_time"), F.explode(rows).alias("r")).select(
+        "asset_uuid", "log_time", "r.*")
 
 
 def connector_changes(upserts: DataFrame, deletes: DataFrame) -> DataFrame:

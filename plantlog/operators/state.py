@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantlog import schema as S
-from plantlog.functions import composite_key, parse_time
+from plantlog.functions import composite_key, log_micros, parse_time
 from plantlog.operators import events as E
 from plantlog.schema import DEFAULT_VOCABULARY, Vocabulary
 
@@ -133,40 +136,59 @@ def last_change(changes: DataFrame, column: str) -> DataFrame:
         F.max_by(F.struct(column), "offset")[column].alias(column))
 
 
-def _current(changes: DataFrame, column: str) -> DataFrame:
-    return last_change(changes, column).where(F.col(column).isNotNull())
-
-
 def with_removals(changes: DataFrame, removals: DataFrame | None, target: str) -> DataFrame:
-    """``changes`` (asset, value, offset) and the tombstones of ``removals`` (``asset_uuid, target,
-    offset``) that go to one table; offsets of both count on one axis."""
+    """``changes`` and the tombstones of ``removals`` (``asset_uuid, target, log_time``) that go to one
+    table. Tombstones have no offset in the log of ``changes``: ``log_time`` places them."""
     if removals is None:
         return changes
     gone = removals.where(F.col("target") == target)
-    return changes.unionByName(gone.select("asset_uuid", "offset", *[
+    return changes.unionByName(gone.select("asset_uuid", "log_time", *[
         F.lit(None).cast(f.dataType).alias(f.name) for f in changes.schema.fields
-        if f.name not in ("asset_uuid", "offset")]))
+        if f.name not in ("asset_uuid", "log_time")]))
+
+
+def _last(changes: DataFrame, payload: list[str], removals: DataFrame | None, target: str) -> DataFrame:
+    """``asset_uuid`` and ``m``, the last payload by offset; NULL when the asset's last removal is not
+    earlier in log time than that payload. One shuffle of one pre-aggregated row per asset and task."""
+    marked = with_removals(changes.withColumn("_own", F.lit(True)), removals, target)
+    at, own = log_micros(), F.col("_own").isNotNull()
+    folded = marked.where(F.col("asset_uuid").isNotNull()).groupBy("asset_uuid").agg(
+        F.max_by(F.struct(F.struct(*payload).alias("m"), at.alias("at")), F.when(own, F.col("offset"))).alias("l"),
+        F.max(F.when(~own, at)).alias("gone"))
+    stays = F.col("gone").isNull() | (F.col("gone") < F.col("l.at"))
+    return folded.select("asset_uuid", F.when(stays, F.col("l.m")).alias("m"))
+
+
+def _current(changes: Callable[..., DataFrame], column: str, removals: DataFrame | None) -> DataFrame:
+    """The table that ``changes(also=columns to keep)`` and the removals of the same name describe."""
+    table = _TABLES[column]
+    values = (last_change(changes(), column) if removals is None else
+              _last(changes(also=("log_time",)), [column], removals, table).select("asset_uuid", f"m.{column}"))
+    return values.where(F.col(column).isNotNull())
+
+
+_TABLES = {"type": "assets_type", "availability": "assets_avail", "docker_service": "docker_services"}
 
 
 def assets_type(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY,
                 removals: DataFrame | None = None) -> DataFrame:
-    return _current(with_removals(E.type_changes(events, vocab), removals, "assets_type"), "type")
+    return _current(partial(E.type_changes, events, vocab), "type", removals)
 
 
 def assets_avail(events: DataFrame, removals: DataFrame | None = None) -> DataFrame:
-    return _current(with_removals(E.availability_changes(events), removals, "assets_avail"),
-                    "availability")
+    return _current(partial(E.availability_changes, events), "availability", removals)
 
 
 def docker_services(events: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY,
                     removals: DataFrame | None = None) -> DataFrame:
-    return _current(with_removals(E.service_changes(events, vocab), removals, "docker_services"),
-                    "docker_service")
+    return _current(partial(E.service_changes, events, vocab), "docker_service", removals)
 
 
-def uns_map(changelog: DataFrame) -> DataFrame:
-    """Current name map; an unmapped asset stays with a NULL ``uns_id``."""
-    payload = [c for c in changelog.columns if c not in ("asset_uuid", "offset")]
+def uns_map(changelog: DataFrame, removals: DataFrame | None = None) -> DataFrame:
+    """Current name map; an unmapped or removed asset stays with a NULL ``uns_id``."""
+    payload = [c for c in changelog.columns if c not in ("asset_uuid", "offset", "log_time")]
+    if removals is not None:
+        return _last(changelog, payload, removals, "asset_to_uns_map").select("asset_uuid", "m.*")
     return (changelog.groupBy("asset_uuid")
             .agg(F.max_by(F.struct(*payload), "offset").alias("m")).select("asset_uuid", "m.*"))
 

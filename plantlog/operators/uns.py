@@ -12,8 +12,8 @@ from operator import or_
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plantlog.functions import asof_join, broadcast_if_bounded
-from plantlog.functions.ordered import version_intervals
+from plantlog.functions import asof_join, broadcast_if_bounded, log_micros
+from plantlog.functions.ordered import UNTIMED, version_intervals
 
 ANY = "ANY"
 
@@ -125,15 +125,31 @@ def duplicate_uuids(devices: DataFrame) -> DataFrame:
 
 # ---- Re-keying by name -------------------------------------------------------------------
 
+#: One task orders at most the readings of one asset in so many microseconds.
+BUCKET_MICROS = 60_000_000
+
+
+def _mappings(map_changelog: DataFrame) -> DataFrame:
+    """Mappings at their place in log time, ``(asset_uuid, _at, uns_id)``. Of several mappings of an asset at one
+    time the last by offset counts; one without an offset is not in the log yet and comes after those in it."""
+    last = F.struct(F.col("offset").isNull(), F.col("offset"))
+    return (map_changelog.where(F.col("asset_uuid").isNotNull())
+            .groupBy("asset_uuid", log_micros().alias("_at"))
+            .agg(F.max_by(F.struct("uns_id"), last)["uns_id"].alias("uns_id")))
+
+
 def stream_by_uns(events: DataFrame, map_changelog: DataFrame, strategy: str = "auto",
-                  **kwargs) -> DataFrame:
+                  bucket_width: int = BUCKET_MICROS) -> DataFrame:
     """Each reading under the name its asset had when the reading arrived; unmapped ones drop.
 
-    The frame is not shuffled by ``uns_id`` here: a keyed sink or aggregation does that itself.
+    Readings and mappings are two logs: their ``log_time`` orders them, a mapping at a reading's time
+    applies to it, and offsets only decide between mappings of an asset at one time. Records
+    without a log time stand before all others. The frame is not shuffled by ``uns_id`` here: a
+    keyed sink or aggregation does that itself.
     """
-    joined = asof_join(events, map_changelog.select("asset_uuid", "offset", "uns_id"),
-                       ["asset_uuid"], "offset", ["uns_id"], strategy=strategy, **kwargs)
-    return joined.where(F.col("uns_id").isNotNull())
+    joined = asof_join(events.withColumn("_at", log_micros()), _mappings(map_changelog),
+                       ["asset_uuid"], "_at", ["uns_id"], strategy=strategy, bucket_width=bucket_width)
+    return joined.where(F.col("uns_id").isNotNull()).drop("_at")
 
 
 def state_by_uns(state: DataFrame, current_map: DataFrame) -> DataFrame:
@@ -147,12 +163,15 @@ def state_by_uns(state: DataFrame, current_map: DataFrame) -> DataFrame:
 def resolve_uns(requested: DataFrame, map_changelog: DataFrame) -> DataFrame:
     """Asset behind each requested ``uns_id`` with how many assets carry that name now.
 
-    The latest mapping wins. A name nobody carries gives a NULL asset and 0.
+    An asset's last mapping is its last by offset; between assets, whose mappings may lie in different
+    partitions, the later log time wins (ties: the larger uuid). A name nobody carries gives a NULL
+    asset and 0.
     """
     current = map_changelog.groupBy("asset_uuid").agg(
-        F.max_by("uns_id", "offset").alias("uns_id"), F.max("offset").alias("offset"))
+        F.max_by(F.struct("uns_id", log_micros().alias("_at")), "offset").alias("_m")).select(
+        "asset_uuid", "_m.*")
     owners = current.where(F.col("uns_id").isNotNull()).groupBy("uns_id").agg(
-        F.max_by("asset_uuid", F.struct("offset", "asset_uuid")).alias("asset_uuid"),
+        F.max_by("asset_uuid", F.struct("_at", "asset_uuid")).alias("asset_uuid"),
         F.count("*").alias("claims"))
     return requested.join(owners, "uns_id", "left").select(
         "uns_id", "asset_uuid", F.coalesce("claims", F.lit(0)).cast("bigint").alias("claims"))
@@ -161,24 +180,24 @@ def resolve_uns(requested: DataFrame, map_changelog: DataFrame) -> DataFrame:
 def remap_changes(map_changelog: DataFrame) -> DataFrame:
     """Moments at which a name starts to point to another asset, by the rule of :func:`resolve_uns`.
 
-    A mapping holds its name from its offset to the asset's next mapping, so a name also moves when
-    its owner is unmapped or renamed. Starts and ends of all mappings are walked per name in offset
-    order; a task keeps only the mappings in force, so a name's history streams through whatever its
-    length. A name that nobody holds for a while moves from its last owner.
+    A mapping holds its name from its log time to the asset's next mapping, so a name also moves when
+    its owner is unmapped or renamed. Starts and ends of all mappings are walked per name in order of
+    log time; a task keeps only the mappings in force, so a name's history streams through whatever its
+    length. A name that nobody holds for a while moves from its last owner. ``log_time`` is NULL for
+    mappings without one.
     """
-    held = version_intervals(map_changelog.where(F.col("asset_uuid").isNotNull()).select(
-        "asset_uuid", "offset", "uns_id"), ["asset_uuid"], "offset", ["uns_id"]).where(
+    held = version_intervals(_mappings(map_changelog), ["asset_uuid"], "_at", ["uns_id"]).where(
         F.col("uns_id").isNotNull())
     events = held.select("uns_id", "asset_uuid", F.explode(F.array(
-        F.struct(F.col("_from").alias("offset"), F.lit(True).alias("on"), F.col("_from").alias("since")),
-        F.struct(F.col("_to").alias("offset"), F.lit(False).alias("on"), F.col("_from").alias("since"))
-    )).alias("e")).select("uns_id", "asset_uuid", "e.*").where(F.col("offset") < 2**63 - 1)
+        F.struct(F.col("_from").alias("at"), F.lit(True).alias("on"), F.col("_from").alias("since")),
+        F.struct(F.col("_to").alias("at"), F.lit(False).alias("on"), F.col("_from").alias("since"))
+    )).alias("e")).select("uns_id", "asset_uuid", "e.*").where(F.col("at") < 2**63 - 1)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, owner, at, heap, gone = None, None, None, [], set()
 
         def settle() -> tuple | None:
-            """The owner after all changes at one offset."""
+            """The owner after all changes at one time."""
             nonlocal owner
             while heap and heap[0] in gone:
                 gone.discard(heapq.heappop(heap))
@@ -188,13 +207,13 @@ def remap_changes(map_changelog: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for uns_id, asset, offset, on, since in batch[
-                    ["uns_id", "asset_uuid", "offset", "on", "since"]].itertuples(index=False):
-                if (uns_id, offset) != (name, at):
+            for uns_id, asset, time, on, since in batch[
+                    ["uns_id", "asset_uuid", "at", "on", "since"]].itertuples(index=False):
+                if (uns_id, time) != (name, at):
                     out.append(settle())
                     if uns_id != name:
                         owner, heap, gone = None, [], set()
-                    name, at = uns_id, offset
+                    name, at = uns_id, time
                 entry = (-since, _Last(asset))
                 if on:
                     heapq.heappush(heap, entry)
@@ -203,11 +222,13 @@ def remap_changes(map_changelog: DataFrame) -> DataFrame:
             yield pd.DataFrame([r for r in out if r], columns=_REMAP)
         yield pd.DataFrame([r for r in [settle()] if r], columns=_REMAP)
 
-    return events.repartition("uns_id").sortWithinPartitions("uns_id", "offset", "on").mapInPandas(
-        walk, "uns_id string, asset_uuid string, offset long, previous_asset string")
+    moved = events.repartition("uns_id").sortWithinPartitions("uns_id", "at", "on").mapInPandas(
+        walk, "uns_id string, asset_uuid string, at long, previous_asset string")
+    return moved.select("uns_id", "asset_uuid", F.when(
+        F.col("at") != UNTIMED, F.timestamp_micros("at")).alias("log_time"), "previous_asset")
 
 
-_REMAP = ["uns_id", "asset_uuid", "offset", "previous_asset"]
+_REMAP = ["uns_id", "asset_uuid", "at", "previous_asset"]
 
 
 @dataclass(frozen=True)

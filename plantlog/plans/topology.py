@@ -53,8 +53,8 @@ def build_topology(spark: SparkSession, events: DataFrame, map_changelog: DataFr
                    metrics_changelog: DataFrame | None = None,
                    removals: DataFrame | None = None) -> Catalog:
     """Register every derived stream and table; a query only computes what it names. Changelogs have
-    the columns ``k, v, offset``, the name map ``asset_uuid, uns_id, uns_levels, offset``, and
-    ``removals`` (tombstones of deregistered assets) ``asset_uuid, target, offset``. With a name map,
+    the columns ``k, v, offset``, the name map ``asset_uuid, uns_id, uns_levels, offset, log_time``,
+    and ``removals`` (tombstones of deregistered assets) ``asset_uuid, target, log_time``. With a name map,
     registration measures its versions once to choose the plan of ``assets_stream_uns``."""
     catalog = Catalog(spark)
     enriched = E.enrich(events)
@@ -80,8 +80,8 @@ def build_topology(spark: SparkSession, events: DataFrame, map_changelog: DataFr
     catalog.register("assets_avail", TABLE, St.assets_avail(events, removals),
                      "assets_avail_stream")
     if map_changelog is not None:
+        current = St.uns_map(map_changelog, removals)
         map_changelog = St.with_removals(map_changelog, removals, "asset_to_uns_map")
-        current = St.uns_map(map_changelog)
         catalog.register("asset_to_uns_map_raw", TABLE, map_changelog, "map changelog")
         catalog.register("asset_to_uns_map", TABLE, current, "asset_to_uns_map_raw")
         catalog.register("assets_stream_uns", STREAM,

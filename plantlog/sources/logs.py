@@ -90,7 +90,8 @@ def scan_asset_stream(spark: SparkSession, location: str, **kwargs) -> DataFrame
 
 
 def parse_changelog(records: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Keyed changelog ``(k, v STRUCT or NULL, offset)``; a NULL value is a tombstone.
+    """Keyed changelog ``(k, v STRUCT or NULL, offset)``, with ``log_time`` where records carry their
+    timestamp; a NULL value is a tombstone.
 
     A value that is no JSON object changes nothing: its row goes to :func:`changelog_errors`.
     ``fields`` maps the struct's field names to Spark types; a value that does not cast is NULL.
@@ -106,7 +107,8 @@ def parse_changelog(records: DataFrame, fields: dict[str, str]) -> DataFrame:
 
     value = F.struct(*[typed(n, t).alias(n) for n, t in fields.items()])
     return fold_fields(records).where(F.col("value").isNull() | is_object()).select(
-        F.col("key").alias("k"), F.when(is_object(), value).alias("v"), "offset")
+        F.col("key").alias("k"), F.when(is_object(), value).alias("v"), "offset",
+        *([F.col("timestamp").alias("log_time")] if "timestamp" in records.columns else []))
 
 
 def changelog_errors(records: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,12 @@ from plantlog.operators import state as St, uns
 from plantlog.operators.uns import ANY, Namespace
 from tests.conftest import rows
 
+
+def remaps(changelog):
+    """Remaps with their time in seconds."""
+    return rows(uns.remap_changes(changelog).select("uns_id", "asset_uuid", F.unix_seconds("log_time"), "previous_asset"))
+
+
 LEVELS = {"inc": "Plant", "area": "A1", "workcenter": ["WC1", "WC2"], "station": ["S1", "S2"],
           "asset": ANY, "attribute": ANY}
 NS = Namespace(LEVELS, "inc/area/workcenter/station/asset/attribute")
@@ -79,7 +86,8 @@ def test_asof_and_snapshot_differ(spark):
     ev = spark.createDataFrame([("A", 1), ("A", 5), ("A", 9), ("B", 5)], "asset_uuid string, offset long")
     m = spark.createDataFrame([("A", 2, "n1"), ("A", 6, "n2"), ("A", 9, None), ("B", 7, "b")],
                               "asset_uuid string, offset long, uns_id string")
-    assert rows(uns.stream_by_uns(ev, m)) == [("A", 5, "n1")]
+    ev, m = (df.withColumn("log_time", F.timestamp_seconds("offset")) for df in (ev, m))
+    assert rows(uns.stream_by_uns(ev, m).drop("log_time")) == [("A", 5, "n1")]
     current = St.uns_map(m)
     assert rows(current) == [("A", None), ("B", "b")]
     state = spark.createDataFrame([("A|x", "A", "x"), ("B|x", "B", "x")], "key string, asset_uuid string, id string")
@@ -91,19 +99,21 @@ def test_asof_and_snapshot_differ(spark):
 def test_resolution_and_remaps(spark):
     m = spark.createDataFrame(
         [("A", 1, "n"), ("B", 2, "n"), ("C", 3, "c"), ("C", 4, None), ("B", 5, "n")],
-        "asset_uuid string, offset long, uns_id string")
+        "asset_uuid string, offset long, uns_id string").withColumn("log_time", F.timestamp_seconds("offset"))
     asked = spark.createDataFrame([("n",), ("c",)], "uns_id string")
     assert rows(uns.resolve_uns(asked, m)) == [("c", None, 0), ("n", "B", 2)]
-    assert rows(uns.remap_changes(m)) == [("n", "B", 2, "A")]
+    assert remaps(m) == [("n", "B", 2, "A")]
     back = spark.createDataFrame([("B", 5, "N"), ("A", 10, "N"), ("A", 20, "M"), ("B", 30, None), ("C", 40, "N")],
-                                 "asset_uuid string, offset long, uns_id string")
-    assert rows(uns.remap_changes(back)) == [("N", "A", 10, "B"), ("N", "B", 20, "A"), ("N", "C", 40, "B")]
+                                 "asset_uuid string, offset long, uns_id string").withColumn(
+        "log_time", F.timestamp_seconds("offset"))
+    assert remaps(back) == [("N", "A", 10, "B"), ("N", "B", 20, "A"), ("N", "C", 40, "B")]
 
 
 def test_remaps_against_brute_force(spark):
     rnd = random.Random(8)
     log = [(f"a{rnd.randrange(6)}", o, rnd.choice(["n", "n", "m", None])) for o in rnd.sample(range(999), 200)]
-    m = spark.createDataFrame(log, "asset_uuid string, offset long, uns_id string").repartition(4)
+    m = spark.createDataFrame(log, "asset_uuid string, offset long, uns_id string").repartition(4).withColumn(
+        "log_time", F.timestamp_seconds("offset"))
     now, owner, want = {}, {}, []
     for a, o, u in sorted(log, key=lambda r: r[1]):
         now[a] = (u, o)
@@ -114,7 +124,50 @@ def test_remaps_against_brute_force(spark):
                 want.append((name, new, o, owner[name]))
             if new:
                 owner[name] = new
-    assert rows(uns.remap_changes(m)) == sorted(want, key=repr)
+    assert remaps(m) == sorted(want, key=repr)
+
+
+def test_two_logs_meet_by_log_time(spark):
+    """The map's offsets restart at 0, an asset has two mappings at one time, and records lack their time."""
+    rnd = random.Random(12)
+    at = lambda s: None if s is None else datetime(2024, 1, 1) + timedelta(seconds=s)
+    log = [(f"a{rnd.randrange(5)}", o, rnd.choice(["n", "m", None]), None if rnd.random() < .05 else o // 2)
+           for o in range(120)]
+    log.sort(key=lambda r: (r[3] is not None, r[3] or 0))
+    log = [(a, o, u, s) for o, (a, _, u, s) in enumerate(log)]
+    facts = [(rnd.choice(["a0", f"a{rnd.randrange(6)}"]), 1_000_000 + i, None if rnd.random() < .05 else rnd.randrange(60))
+             for i in range(600)]
+    m = spark.createDataFrame([(a, o, u, at(s)) for a, o, u, s in log],
+                              "asset_uuid string, offset long, uns_id string, log_time timestamp").repartition(3)
+    f = spark.createDataFrame([(a, o, at(s)) for a, o, s in facts], "asset_uuid string, offset long, log_time timestamp")
+    place = lambda s: -1 if s is None else s
+
+    def named(a, s):
+        past = [(place(x), o, u) for k, o, u, x in log if k == a and place(x) <= place(s)]
+        return max(past, key=lambda r: r[:2])[2] if past else None
+
+    want = sorted(((a, o, named(a, s)) for a, o, s in facts if named(a, s)), key=repr)
+    for kw in ({"strategy": "broadcast"}, {"strategy": "bucketed", "bucket_width": 7_000_000}):
+        assert rows(uns.stream_by_uns(f, m, **kw).drop("log_time")) == want, kw
+
+
+def test_a_later_registration_outlives_a_removal(spark):
+    day = [datetime(2024, 1, d) for d in range(1, 6)]
+    ev = spark.createDataFrame(
+        [(a, "AssetType", v, "Platform", o, day[d]) for a, v, o, d in (
+            ("A", "Device", 900, 0), ("B", "Device", 901, 0), ("B", "App", 3_000, 3), ("C", "Device", 5, 2), ("D", "Device", 6, 0))],
+        "asset_uuid string, id string, value string, type string, offset long, log_time timestamp")
+    m = spark.createDataFrame([("A", "a", 0, day[0]), ("B", "b", 1, day[0]), ("B", "b2", 2, day[3]), ("D", "d", 3, None)],
+                              "asset_uuid string, uns_id string, offset long, log_time timestamp")
+    gone = spark.createDataFrame([(a, t, day[2]) for a in "ABCE" for t in ("assets_type", "asset_to_uns_map")],
+                                 "asset_uuid string, target string, log_time timestamp")
+    # C is removed at the very time of its last reading: the removal counts
+    assert rows(St.assets_type(ev, removals=gone)) == [("B", "App"), ("D", "Device")]
+    assert rows(St.uns_map(m, gone)) == [("A", None), ("B", "b2"), ("C", None), ("D", "d"), ("E", None)]
+    named = uns.stream_by_uns(spark.createDataFrame([("A", 1, day[1]), ("A", 2, day[4]), ("B", 3, day[2]), ("B", 4, day[4])],
+                              "asset_uuid string, offset long, log_time timestamp"),
+                              St.with_removals(m, gone, "asset_to_uns_map"))
+    assert rows(named.select("offset", "uns_id")) == [(1, "a"), (4, "b2")]
 
 
 def test_duplicate_uuids(spark):

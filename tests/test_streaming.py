@@ -95,7 +95,8 @@ def test_names_as_of_arrival(spark, log, tmp_path):
     folder, add_last, batch = log
     add_last()
     m = spark.createDataFrame([("A0", 50, "n1"), ("A0", 150, None), ("A0", 250, "n2"), ("A1", 0, "m")],
-                              "asset_uuid string, offset long, uns_id string")
+                              "asset_uuid string, offset long, uns_id string").withColumn(
+        "log_time", F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.col("offset")))
     out = str(tmp_path / "named")
     deliver_by_uns(stream(spark, folder), lambda: m, out, str(tmp_path / "c")).awaitTermination()
     cols = ["uns_id", "asset_uuid", "offset"]

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plantlog import configure
 from plantlog.operators.routing import route
@@ -214,6 +214,15 @@ ADAPTERS: dict[str, tuple[str, list[tuple[str, str]]]] = {
     ]),
 }
 
+# Offsets between the rounds in which the fixture's name map changes; a round has a row per place.
+MAP_STEP = 10_000_000_000
+
+
+def _at_minute(minute: int) -> str:
+    """Log time of a place's mapping, counted from the first day of the readings."""
+    return f"TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(custkey * 10 + {minute} AS BIGINT))"
+
+
 _PLACES = ("SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey "
            "JOIN region ON n_regionkey = r_regionkey")
 
@@ -223,15 +232,17 @@ CTES: dict[str, str] = {
           + f" FROM {base}"
     for name, (base, cols) in ADAPTERS.items()}
 CTES["places"] = _PLACES
-CTES["mapc"] = """
-  SELECT asset_uuid, path AS uns_id, area, workcenter, station, custkey * 10 AS off FROM place
-  UNION ALL SELECT asset_uuid, path || '-R', area, workcenter, station, custkey * 10 + 3000
+# The map is a log of its own: its offsets start at 0 and have nothing to do with those of the readings.
+CTES["mapc"] = f"""
+  SELECT asset_uuid, path AS uns_id, area, workcenter, station, custkey AS off, {_at_minute(0)} AS ts
+    FROM place
+  UNION ALL SELECT asset_uuid, path || '-R', area, workcenter, station, custkey + {MAP_STEP}, {_at_minute(3000)}
     FROM place WHERE custkey % 4 = 0
-  UNION ALL SELECT asset_uuid, NULL, NULL, NULL, NULL, custkey * 10 + 5000
+  UNION ALL SELECT asset_uuid, NULL, NULL, NULL, NULL, custkey + {2 * MAP_STEP}, {_at_minute(5000)}
     FROM place WHERE custkey % 9 = 0"""
-CTES["linemap"] = """
-  SELECT asset_uuid, line_id AS uns_id, custkey * 10 AS off FROM place
-  UNION ALL SELECT asset_uuid, NULL, custkey * 10 + 5000 FROM place WHERE custkey % 9 = 0"""
+CTES["linemap"] = f"""
+  SELECT asset_uuid, line_id AS uns_id, custkey AS off, {_at_minute(0)} AS ts FROM place
+  UNION ALL SELECT asset_uuid, NULL, custkey + {MAP_STEP}, {_at_minute(5000)} FROM place WHERE custkey % 9 = 0"""
 CTES["refs"] = """
   SELECT 'SUP-' || CAST(l_suppkey AS STRING) || '-' || CAST(block AS STRING) AS asset_uuid,
     'references_below' AS id, CASE WHEN l_suppkey % 6 = 0 THEN ' ' ELSE
@@ -395,16 +406,23 @@ class Tables:
         k = F.col("custkey")
         levels = F.create_map(*[x for n in ("area", "workcenter", "station")
                                 for x in (F.lit(n), F.col(n))])
-        cols = ["asset_uuid", "uns_id", "uns_levels", "offset"]
-        first = place.withColumn("uns_id", F.col("path")).withColumn(
-            "uns_levels", levels).withColumn("offset", k * 10)
-        moved = place.where(k % 4 == 0).withColumn(
-            "uns_id", F.concat("path", F.lit("-R"))).withColumn(
-            "uns_levels", levels).withColumn("offset", k * 10 + 3000)
-        gone = place.where(k % 9 == 0).withColumn("uns_id", F.lit(None).cast("string")).withColumn(
-            "uns_levels", F.lit(None).cast("map<string,string>")).withColumn(
-            "offset", k * 10 + 5000)
-        return first.select(cols).unionByName(moved.select(cols)).unionByName(gone.select(cols))
+        first = place.select("asset_uuid", F.col("path").alias("uns_id"), levels.alias("uns_levels"),
+                             *self._mapped(0, 0))
+        moved = place.where(k % 4 == 0).select(
+            "asset_uuid", F.concat("path", F.lit("-R")).alias("uns_id"), levels.alias("uns_levels"),
+            *self._mapped(1, 3000))
+        gone = place.where(k % 9 == 0).select(
+            "asset_uuid", F.lit(None).cast("string").alias("uns_id"),
+            F.lit(None).cast("map<string,string>").alias("uns_levels"), *self._mapped(2, 5000))
+        return first.unionByName(moved).unionByName(gone)
+
+    @staticmethod
+    def _mapped(step: int, minute: int) -> list[Column]:
+        """Offset in the map's own log and log time of a place's mapping."""
+        k = F.col("custkey")
+        start = F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+        return [(k + step * MAP_STEP).alias("offset"),
+                F.timestamp_seconds(start + (k * 10 + minute) * 60).alias("log_time")]
 
     @property
     def line_map(self) -> DataFrame:
@@ -412,10 +430,10 @@ class Tables:
         place = self._adapt("place")
         k = F.col("custkey")
         first = place.select("asset_uuid", F.col("line_id").alias("uns_id"),
-                             (k * 10).alias("offset"))
+                             *self._mapped(0, 0))
         gone = place.where(k % 9 == 0).select(
             "asset_uuid", F.lit(None).cast("string").alias("uns_id"),
-            (k * 10 + 5000).alias("offset"))
+            *self._mapped(1, 5000))
         return first.unionByName(gone)
 
     @property
@@ -474,13 +492,14 @@ class Tables:
         return self.outcomes(label == "cluster").select(label, "ts", *[
             F.sum(F.expr(e)).over(w).alias(n) for n, e in counted.items()])
 
-    def topology(self, events: DataFrame | None = None,
-                 removals: DataFrame | None = None) -> Catalog:
+    def topology(self, events: DataFrame | None = None, removals: DataFrame | None = None,
+                 map_changelog: DataFrame | None = None) -> Catalog:
         apps = self.adapter("app")
         configs = self.adapter("cfg").select(
             F.col("asset_uuid").alias("k"), F.struct("connector_config").alias("v"), "offset")
         targets = apps.select(F.col("uuid").alias("k"), F.struct(
             F.lower("uuid").alias("host"), "port", "path").alias("v"), "offset")
         return build_topology(self.spark, self.events if events is None else events,
-                              self.map_changelog, source="events", connector_changelog=configs,
+                              self.map_changelog if map_changelog is None else map_changelog,
+                              source="events", connector_changelog=configs,
                               metrics_changelog=targets, removals=removals)

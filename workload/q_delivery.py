@@ -15,7 +15,7 @@ from workload.registry import query
 # ---- Names -------------------------------------------------------------------------------
 
 _ASOF = """SELECT m.uns_id, e.asset_uuid, e.id, e.value, e.off FROM ev e ASOF LEFT JOIN mapc m
-  ON e.asset_uuid = m.asset_uuid AND e.off >= m.off WHERE m.uns_id IS NOT NULL"""
+  ON e.asset_uuid = m.asset_uuid AND e.ts >= m.ts WHERE m.uns_id IS NOT NULL"""
 
 
 def _by_uns(t: Tables, **kw):
@@ -30,7 +30,7 @@ def _(t: Tables):
 
 @query("stream_by_uns_bucketed", _ASOF)
 def _(t: Tables):
-    return _by_uns(t, strategy="bucketed", bucket_width=1000)
+    return _by_uns(t, strategy="bucketed", bucket_width=6 * 3600 * 1_000_000)
 
 
 @query("state_by_uns", """
@@ -64,9 +64,9 @@ def _(t: Tables):
 
 
 @query("resolve_uns_id", """
-WITH cur AS (SELECT asset_uuid, arg_max(struct_pack(u := uns_id), off).u AS uns_id, max(off) AS off
-  FROM linemap GROUP BY 1),
-o AS (SELECT uns_id, arg_max(asset_uuid, off) AS asset_uuid, count(*) AS claims FROM cur
+WITH cur AS (SELECT asset_uuid, arg_max(struct_pack(u := uns_id), off).u AS uns_id,
+  arg_max(ts, off) AS ts FROM linemap GROUP BY 1),
+o AS (SELECT uns_id, arg_max(asset_uuid, ts) AS asset_uuid, count(*) AS claims FROM cur
   WHERE uns_id IS NOT NULL GROUP BY 1),
 asked AS (SELECT DISTINCT line_id AS uns_id FROM place UNION ALL SELECT DISTINCT 'Mars/' || area FROM place)
 SELECT uns_id, asset_uuid, coalesce(claims, 0) AS claims FROM asked LEFT JOIN o USING (uns_id)""")
@@ -78,18 +78,19 @@ def _(t: Tables):
 
 
 @query("uns_remap_changes", """
-WITH iv AS (SELECT uns_id, asset_uuid, off AS lo, coalesce(lead(off) OVER (
-    PARTITION BY asset_uuid ORDER BY off), 9223372036854775807) AS hi FROM linemap),
+WITH iv AS (SELECT uns_id, asset_uuid, epoch_us(ts) AS lo, coalesce(lead(epoch_us(ts)) OVER (
+    PARTITION BY asset_uuid ORDER BY ts), 9223372036854775807) AS hi FROM linemap),
   held AS (SELECT * FROM iv WHERE uns_id IS NOT NULL),
-  points AS (SELECT uns_id, lo AS off FROM held UNION SELECT uns_id, hi FROM held
+  points AS (SELECT uns_id, lo AS micros FROM held UNION SELECT uns_id, hi FROM held
          WHERE hi < 9223372036854775807),
-  own AS (SELECT p.uns_id, p.off, arg_max(asset_uuid, (lo, asset_uuid)) AS asset_uuid
-    FROM points p LEFT JOIN held ON held.uns_id = p.uns_id AND lo <= p.off AND p.off < hi GROUP BY 1, 2)
-SELECT uns_id, asset_uuid, off, previous_asset FROM (SELECT *, lag(asset_uuid IGNORE NULLS) OVER (
-  PARTITION BY uns_id ORDER BY off) AS previous_asset FROM own)
+  own AS (SELECT p.uns_id, p.micros, arg_max(asset_uuid, (lo, asset_uuid)) AS asset_uuid
+    FROM points p LEFT JOIN held ON held.uns_id = p.uns_id AND lo <= p.micros AND p.micros < hi GROUP BY 1, 2)
+SELECT uns_id, asset_uuid, micros, previous_asset FROM (SELECT *, lag(asset_uuid IGNORE NULLS) OVER (
+  PARTITION BY uns_id ORDER BY micros) AS previous_asset FROM own)
 WHERE asset_uuid <> previous_asset""")
 def _(t: Tables):
-    return uns.remap_changes(t.line_map).withColumnRenamed("offset", "off")
+    return uns.remap_changes(t.line_map).select(
+        "uns_id", "asset_uuid", F.unix_micros("log_time").alias("micros"), "previous_asset")
 
 
 _SEG = ", ".join(f"'{s}'" for s in SEGMENTS)

@@ -363,22 +363,41 @@ def _(t: Tables):
 
 
 @query("deregister_roundtrip", """
-WITH stay AS (SELECT asset_uuid FROM place WHERE custkey % 5 <> 0)
+WITH stay AS (SELECT asset_uuid FROM place WHERE custkey % 5 <> 0),
+  back AS (SELECT asset_uuid, path FROM place WHERE custkey % 10 = 0)
 SELECT 'assets_type' AS name, asset_uuid, type AS current FROM types JOIN stay USING (asset_uuid)
 UNION ALL SELECT 'assets_avail', asset_uuid, availability FROM avail JOIN stay USING (asset_uuid)
 UNION ALL SELECT 'docker_services', asset_uuid, docker_service FROM services JOIN stay USING (asset_uuid)
 UNION ALL SELECT 'asset_to_uns_map', asset_uuid, uns_id FROM curmap JOIN stay USING (asset_uuid)
   WHERE uns_id IS NOT NULL
+UNION ALL SELECT 'assets_type', asset_uuid, 'Device' FROM back
+UNION ALL SELECT 'docker_services', asset_uuid, 'again' FROM back
+UNION ALL SELECT 'asset_to_uns_map', asset_uuid, path || '-B' FROM back
 UNION ALL SELECT 'assets', asset_uuid, CAST(count(*) AS VARCHAR) FROM (
-  SELECT DISTINCT asset_uuid, id FROM ctl WHERE asset_uuid IS NOT NULL AND id IS NOT NULL) GROUP BY 2""")
+  SELECT asset_uuid, id FROM ctl WHERE asset_uuid IS NOT NULL AND id IS NOT NULL
+  UNION SELECT asset_uuid, unnest(['AssetType', 'DockerService', 'references_below', 'references_above'])
+  FROM back) GROUP BY 2""")
 def _(t: Tables):
+    # Every fifth asset is removed and every tenth comes back a day later: the tombstones have no offset
+    # in any log, so log time decides.
     place = t.adapter("place")
-    gone = R.deregister_events(place.where(F.col("custkey") % 5 == 0)).where(
-        F.col("target") != "assets_stream").select(
-        "asset_uuid", "target", F.lit(2**62).alias("offset"))
+    removed, later = (F.lit(day).cast("timestamp") for day in ("2030-01-01", "2030-01-02"))
+    gone = R.deregister_events(place.where(F.col("custkey") % 5 == 0), now=removed).where(
+        F.col("target") != "assets_stream").select("asset_uuid", "target", "log_time")
+    back = place.where(F.col("custkey") % 10 == 0)
+    announced = R.register_events(back.select(
+        "asset_uuid", F.lit("Device").alias("asset_type"), F.lit("again").alias("docker_service"),
+        F.lit(None).cast("map<string,string>").alias("uns_levels"), F.lit(None).cast("string").alias("uns_id")))
+    none = F.lit(None).cast("map<string,string>")
+    events = t.control.unionByName(announced.select(
+        "asset_uuid", "id", "value", "tag", "type", none.alias("attributes"), F.lit(0).alias("partition"),
+        (F.col("seq") + 2**40).alias("offset"), later.alias("log_time")))
+    names = t.map_changelog.unionByName(back.select(
+        "asset_uuid", F.concat("path", F.lit("-B")).alias("uns_id"), none.alias("uns_levels"),
+        (F.col("custkey") + 2**40).alias("offset"), later.alias("log_time")))
     # only assets of the name table take part in the comparison of the three tables
     place.select("asset_uuid").createOrReplaceTempView("known_assets")
-    return t.topology(t.control, gone).query("""
+    return t.topology(events, gone, names).query("""
         SELECT 'assets_type' AS name, asset_uuid, type AS current FROM assets_type
           LEFT SEMI JOIN known_assets USING (asset_uuid)
         UNION ALL SELECT 'assets_avail', asset_uuid, availability FROM assets_avail
