@@ -1,5 +1,6 @@
 import bisect
 import hashlib
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -103,3 +104,45 @@ def test_latest_labels(spark):
     r = M.latest_labels(df, "f", ["version"], {"role": "forwarder"}).first()
     assert (r["version"], r["role"]) == ("v2", "forwarder")
     assert rows(M.gauge_current(df.withColumn("q", F.lit(3)), "f", "q")) == [("f", 3)]
+
+
+def test_counters_of_one_pass(spark):
+    r = random.Random(4)
+    data = [(f"F{r.randrange(2)}", "hot" if r.random() < .4 else r.choice([f"A{r.randrange(9)}", None]), *(
+        r.random() < p for p in (.2, .2, .3, .1))) for _ in range(800)]
+    df = spark.createDataFrame(data, "forwarder string, asset_uuid string, is_error boolean, is_invalid boolean, "
+                                     "is_failed boolean, opens_call boolean").repartition(4)
+    per_asset, nodes = M.asset_counters(df), ["C1", "C2", "C3"]
+    want = {f: [0] * 4 for f, *_ in data}
+    for f, _, error, invalid, _, opens in data:
+        want[f] = [a + b for a, b in zip(want[f], (not error, error, not error and invalid, opens))]
+    assert rows(M.forwarder_counters(per_asset)) == sorted((f, *v) for f, v in want.items())
+    home = owner({a for _, a, *_ in data if a}, nodes, 128)
+    sent = {}
+    for _, a, error, invalid, failed, _ in data:
+        if not error and not invalid:
+            n = sent.setdefault(home.get(a), [0, 0])
+            n[failed] += 1
+    assert rows(M.cluster_counters(per_asset, nodes)) == sorted(((c, *v) for c, v in sent.items()), key=repr)
+
+
+def test_latency_sketches_against_exact_ranks(spark):
+    r = random.Random(5)
+    data = [("hot" if r.random() < .8 else f"a{r.randrange(4)}", r.randrange(6), int(r.expovariate(.001)))
+            for _ in range(30_000)] + [("none", 0, None), ("hot", 0, None), ("one", 1, 7)]
+    df = spark.createDataFrame(data, "asset_uuid string, hour int, ms long").repartition(6)
+    hourly = M.latency_sketches(df, "ms", ["asset_uuid", "hour"])
+    got = M.sketch_quantiles(M.merge_sketches(hourly, ["asset_uuid"]), {"p50": .5, "p95": .95, "p99": .99}).collect()
+    assert len(got) == 7
+    for row in got:
+        values = [v for a, _, v in data if a == row.asset_uuid and v is not None]
+        assert row.n == len(values)
+        for name, rank in (("p50", .5), ("p95", .95), ("p99", .99)):
+            q = row[name]
+            if not values:
+                assert q is None
+            elif len(values) == 1:
+                assert q == 7
+            else:
+                assert sum(v < q for v in values) / len(values) <= rank + .02
+                assert sum(v <= q for v in values) / len(values) >= rank - .02

@@ -477,7 +477,7 @@ class Tables:
         rows = self._adapt("ev")
         rows = route(rows, CLUSTERS) if routed else rows
         return rows.select(
-            F.concat(F.lit("F-"), F.col("part").cast("string")).alias("forwarder"),
+            F.concat(F.lit("F-"), F.col("part").cast("string")).alias("forwarder"), "asset_uuid",
             *(["cluster"] if routed else []), off.alias("offset"), F.col("ts").cast("timestamp").alias("ts"),
             (F.col("id") == "error").alias("is_error"), (off % 89 == 0).alias("is_invalid"),
             (off % 19 == 0).alias("is_failed"), (off % 100 == F.col("part")).alias("opens_call"),

@@ -192,12 +192,13 @@ FROM outcome GROUP BY 1
 UNION ALL SELECT cluster, count(*) FILTER (NOT is_failed), count(*) FILTER (is_failed), 0, 0
 FROM outcome WHERE NOT is_error AND NOT is_invalid GROUP BY 1""")
 def _(t: Tables):
-    f = M.forwarder_counters(t.outcomes()).select(
+    per_asset = M.asset_counters(t.outcomes())
+    f = M.forwarder_counters(per_asset).select(
         F.col("forwarder").alias("label"), F.col("consumed").alias("a"),
         F.col("kafka_errors").alias("b"), F.col("invalid").alias("c"),
         F.col("consume_calls").alias("d"))
     zero = F.lit(0).cast("bigint")
-    c = M.cluster_counters(t.outcomes(True)).select(
+    c = M.cluster_counters(per_asset, CLUSTERS).select(
         F.col("cluster").alias("label"), F.col("published").alias("a"),
         F.col("publish_failures").alias("b"), zero.alias("c"), zero.alias("d"))
     return f.unionByName(c)
@@ -352,17 +353,34 @@ def _(t: Tables):
                            {"component": "fan_out_layer", "role": "forwarder"})
 
 
+def _latencies(t: Tables, *also: str):
+    late = F.timestamp_millis(F.unix_millis("log_time") + F.col("offset") % 50)
+    sent = F.timestamp_millis(F.unix_millis("log_time") + F.col("offset") % 20)
+    msgs = t.events.withColumn("log_time_type", F.lit(0)).withColumn("log_time", late)
+    return M.stage_latencies(E.delivery_timestamps(msgs, sent), *also)
+
+
+# Sketches per asset and hour, rolled up per asset: the value at rank 0.95 lies within 0.02 of that rank.
+@query("delivery_latency_sketch", """
+SELECT asset_uuid, count(*) AS n, true AS within FROM ev GROUP BY 1""")
+def _(t: Tables):
+    value = F.col("log_to_forwarder_ms")
+    lat = _latencies(t, "log_time")
+    hourly = M.latency_sketches(lat.withColumn("hour", F.date_trunc("hour", "log_time")), "log_to_forwarder_ms",
+                                ["asset_uuid", "hour"])
+    p95 = M.sketch_quantiles(M.merge_sketches(hourly, ["asset_uuid"]), {"p95": 0.95})
+    return lat.join(p95, "asset_uuid").groupBy("asset_uuid", "n").agg(
+        F.avg((value < F.col("p95")).cast("int")).alias("below"), F.avg((value <= F.col("p95")).cast("int")).alias("upto")
+    ).select("asset_uuid", "n", ((F.col("below") <= 0.97) & (F.col("upto") >= 0.93)).alias("within"))
+
+
 @query("delivery_latency", """
 SELECT asset_uuid, count(a) AS n, round(avg(a), 6) AS source_to_log_avg, max(a) AS source_to_log_max,
   round(avg(b), 6) AS log_to_forwarder_avg, round(quantile_cont(b, 0.95), 6) AS log_to_forwarder_p95
 FROM (SELECT asset_uuid, CASE WHEN attr_ts IS NOT NULL THEN epoch_ms(ts + to_milliseconds(off % 50))
   - epoch_ms(ts) END AS a, off % 20 AS b FROM ev) GROUP BY 1""")
 def _(t: Tables):
-    late = F.timestamp_millis(F.unix_millis("log_time") + F.col("offset") % 50)
-    sent = F.timestamp_millis(F.unix_millis("log_time") + F.col("offset") % 20)
-    msgs = t.events.withColumn("log_time_type", F.lit(0)).withColumn("log_time", late)
-    lat = M.stage_latencies(E.delivery_timestamps(msgs, sent))
-    return lat.groupBy("asset_uuid").agg(
+    return _latencies(t).groupBy("asset_uuid").agg(
         F.count("source_to_log_ms").alias("n"),
         F.round(F.avg("source_to_log_ms"), 6).alias("source_to_log_avg"),
         F.max("source_to_log_ms").alias("source_to_log_max"),
