@@ -6,8 +6,9 @@ position already seen is old and ignored, whatever file or partition brought it
 keeps its position for that. Payloads travel as JSON objects of the declared columns.
 
 Each task folds its rows of a micro-batch to the last one per key before they are shuffled, so a key that
-changes all the time costs a row per task and batch. State is one value (or one map per asset) in the
-state store; the sink is an upsert log whose folders belong to batches, so a repeated batch replaces itself.
+changes all the time costs a row per task and batch. Keys are dealt into groups, and a processor is called
+once per group and batch; its state lies in pages (``groups.Pages``): a removed or old key costs its position,
+an asset its signals. The sink is an upsert log whose folders belong to batches, so a repeated batch replaces itself.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
+from plantlog.streaming.groups import Pages, by_group
 from plantlog.streaming.jobs import stream_table
 
 UPSERT, DELETE = "upsert", "delete"
@@ -56,24 +58,28 @@ def last_per_task(rows: DataFrame) -> DataFrame:
 
 
 class _Changelog(StatefulProcessor):
+    """Per key the position of its last change and whether the table has it."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState("current", "position long, payload string")
+        self.current = Pages(handle, "current")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = self.current.get() if self.current.exists() else None
-        best = old
+        best: dict[str, tuple] = {}
         for batch in rows:
-            for position, payload in zip(batch["position"].tolist(), batch["payload"].tolist()):
-                if best is None or position >= best[0]:
-                    best = (position, payload)
-        if best is old:
-            return
-        self.current.update((int(best[0]), best[1]))
-        before = old[1] if old is not None else None
-        if best[1] is None and before is None:
-            return
-        yield pd.DataFrame({"key": [key[0]], "position": [best[0]], "payload": [best[1]], "op": [
-            UPSERT if best[1] is not None else DELETE]})
+            for k, position, payload in zip(*(batch[c].tolist() for c in ("key", "position", "payload"))):
+                if k not in best or position >= best[k][0]:
+                    best[k] = (int(position), payload)
+        before, changed, out = self.current.read(best), {}, []
+        for k, (position, payload) in best.items():
+            last, live = before.get(k, (position, False))
+            if position < last:
+                continue
+            changed[k] = (position, payload is not None)
+            if payload is not None or live:
+                out.append((k, position, payload, UPSERT if payload is not None else DELETE))
+        self.current.write(changed)
+        if out:
+            yield pd.DataFrame(out, columns=["key", "position", "payload", "op"])
 
     def close(self) -> None:
         pass
@@ -82,7 +88,7 @@ class _Changelog(StatefulProcessor):
 def table_updates(rows: DataFrame) -> DataFrame:
     """Changes (``key``, ``position``, ``payload``, ``op``) of the table that the stream ``rows`` of
     :func:`changes` describes."""
-    return last_per_task(rows).groupBy("key").transformWithStateInPandas(
+    return by_group(last_per_task(rows), "key").transformWithStateInPandas(
         _Changelog(), f"{_CHANGE}, op string", "Update", "None")
 
 

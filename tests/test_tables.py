@@ -95,3 +95,26 @@ def test_state_by_uns_and_readings_follow_renames(spark, first):
         written.append(spark.read.parquet(by_uns).count())
     # Only touched assets are written again.
     assert written[2] - written[1] < 8 * 3 * 2
+
+
+def state_rows(query):
+    return [p for p in query.recentProgress if p["stateOperators"]][-1]["stateOperators"][0]["numRowsTotal"]
+
+
+def test_keys_of_a_table_share_pages_and_stay_apart(spark):
+    """20,000 keys lie in a bounded number of state entries; repeated and stale removals are sent once."""
+    from plantlog.streaming.groups import GROUPS, PAGES
+    source, _ = log(spark, "many")
+    out, ckpt = log(spark, "many-table")
+    steps = ["concat('n', id)", "IF(id % 2 = 0, NULL, concat('m', id))", "NULL", "IF(id % 4 = 0, 'back', NULL)"]
+    for step, name in enumerate(steps):
+        at = f"id + {step if step != 2 else 0} * 100000"  # the third round comes late
+        append(spark.range(20_000).selectExpr("concat('k', id) asset_uuid", f"CAST({name} AS STRING) uns_id",
+                                              "CAST(NULL AS STRING) area", f"{at} - IF({step} = 2, 1, 0) offset"), source)
+        query = T.stream_changelog_table(T.changes(spark.readStream.schema(MAP).parquet(source), "asset_uuid", ["uns_id"]), out, ckpt)
+        query.awaitTermination()
+    assert state_rows(query) <= GROUPS * PAGES
+    sent = {(r.batch_id, r.op): r["count"] for r in spark.read.parquet(out).groupBy("batch_id", "op").count().collect()}
+    assert sent == {(0, "upsert"): 20_000, (1, "upsert"): 10_000, (1, "delete"): 10_000, (3, "upsert"): 5_000, (3, "delete"): 10_000}
+    got = T.read_table(spark, out, "uns_id string", "k")
+    assert got.count() == 5_000 and got.where("uns_id <> 'back' OR CAST(substr(k, 2) AS INT) % 4 <> 0").count() == 0
