@@ -105,49 +105,62 @@ def read_table(spark: SparkSession, location: str, payload: StructType | str, ke
         F.col("key").alias(key), F.from_json("r.payload", payload, _MICROS).alias("p")).select(key, "p.*")
 
 
-class _Named(StatefulProcessor):
-    """Signals of an asset under the name it has now."""
+class _PerAsset(StatefulProcessor):
+    """Assets with their names and signals: position and text of the name, position and payload per signal."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.signals = handle.getMapState("signals", "id string", "position long, payload string")
-        self.name = handle.getValueState("name", "position long, uns_id string")
+        self.assets = Pages(handle, "assets")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        named = self.name.get() if self.name.exists() else (-1, None)
-        new, fresh = named, {}
+    def touched(self, rows: Iterator[pd.DataFrame]) -> list[tuple]:
+        """Stores the rows. Per asset they touch: the name and the signals it had, position and text of the name
+        it has now, which signals changed, and all signals."""
+        names: dict[str, tuple] = {}
+        fresh: dict[str, dict[str, tuple]] = {}
         for batch in rows:
-            for kind, id_, position, payload in zip(*(batch[c].tolist() for c in ("kind", "id", "position", "payload"))):
+            for asset, kind, id_, position, payload in zip(*(batch[c].tolist() for c in (
+                    "asset_uuid", "kind", "id", "position", "payload"))):
                 if kind == "name":
-                    if position >= new[0]:
-                        new = (int(position), json.loads(payload)["uns_id"] if payload is not None else None)
-                elif id_ not in fresh or position >= fresh[id_][0]:
-                    fresh[id_] = (int(position), payload)
-        changed = {}
-        for id_, (position, payload) in fresh.items():
-            have = self.signals.getValue((id_,)) if self.signals.containsKey((id_,)) else None
-            if have is None or position >= have[0]:
-                self.signals.updateValue((id_,), (position, payload))
-                changed[id_] = (position, payload)
-        if new != named:
-            self.name.update(new)
-        out = []
-        if new[1] != named[1]:
-            # Another name: what stood under the old one goes, all signals come under the new one.
-            changed = {k[0]: tuple(v) for k, v in self.signals.iterator()}
-            if named[1] is not None:
-                out += [(f"{named[1]}|{id_}", None, DELETE) for id_ in changed]
-        if new[1] is not None:
-            out += [(f"{new[1]}|{id_}", json.dumps({**json.loads(payload), "uns_id": new[1]}), UPSERT)
-                    for id_, (_, payload) in changed.items()]
-        if out:
-            names, payloads, ops = zip(*out)
-            yield pd.DataFrame({"owner": [key[0]] * len(out), "key": names, "position": [new[0]] * len(out), "payload": payloads,
-                                "op": ops})
+                    if asset not in names or position >= names[asset][0]:
+                        names[asset] = (int(position), json.loads(payload)["uns_id"] if payload is not None else None)
+                else:
+                    own = fresh.setdefault(asset, {})
+                    if id_ not in own or position >= own[id_][0]:
+                        own[id_] = (int(position), payload)
+        every = names.keys() | fresh.keys()
+        known, changed, found = self.assets.read(every), {}, []
+        for asset in every:
+            at, name, signals = known.get(asset, (-1, None, []))
+            now = names[asset] if asset in names and names[asset][0] >= at else (at, name)
+            have = {id_: (p, payload) for id_, p, payload in signals}
+            new = {id_: v for id_, v in fresh.get(asset, {}).items() if id_ not in have or v[0] >= have[id_][0]}
+            if new or now != (at, name):
+                changed[asset] = (*now, [(id_, *v) for id_, v in {**have, **new}.items()])
+                found.append((asset, name, list(have), now, new, {**have, **new}))
+        self.assets.write(changed)
+        return found
 
     def close(self) -> None:
         pass
 
 
+class _Named(_PerAsset):
+    """Signals of assets under the names they have now."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        for asset, before, ids, (at, name), changed, every in self.touched(rows):
+            if name != before:
+                # Another name: what stood under the old one goes, all signals come under the new one.
+                changed = every
+                if before is not None:
+                    out += [(asset, f"{before}|{id_}", at, None, DELETE) for id_ in ids]
+            if name is not None:
+                out += [(asset, f"{name}|{id_}", at, json.dumps({**json.loads(payload), "uns_id": name}), UPSERT)
+                        for id_, (_, payload) in changed.items()]
+        if out:
+            yield pd.DataFrame(out, columns=["owner", "key", "position", "payload", "op"])
+
+
 STATE_PAYLOAD = ["asset_uuid", "id", "value", "type", "tag", "timestamp"]
 
 
@@ -168,7 +181,7 @@ def stream_state_by_uns(state_updates: DataFrame, names: DataFrame, location: st
     renamed = changes(names, "asset_uuid", ["uns_id"]).select(
         F.col("key").alias("asset_uuid"), F.lit(None).cast("string").alias("id"), F.lit("name").alias("kind"), "position", "payload")
     rows = last_per_task(_asset_rows(state_updates).unionByName(renamed))
-    named = rows.groupBy("asset_uuid").transformWithStateInPandas(
+    named = by_group(rows, "asset_uuid").transformWithStateInPandas(
         _Named(), "owner string, key string, position long, payload string, op string", "Update", "None")
     return stream_table(named, location, checkpoint, trigger)
 
@@ -182,33 +195,24 @@ def read_state_by_uns(spark: SparkSession, location: str) -> DataFrame:
     return last.select("key", F.from_json("r.payload", payload).alias("p")).select("key", "p.*")
 
 
-class _Readings(StatefulProcessor):
+class _Readings(_PerAsset):
     """All signals of an asset, given out once per batch that changed one."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.signals = handle.getMapState("signals", "id string", "position long, payload string")
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        changed = False
-        for batch in rows:
-            for id_, position, payload in zip(*(batch[c].tolist() for c in ("id", "position", "payload"))):
-                have = self.signals.getValue((id_,)) if self.signals.containsKey((id_,)) else None
-                if have is None or position >= have[0]:
-                    self.signals.updateValue((id_,), (int(position), payload))
-                    changed = True
-        if changed:
-            all_ = sorted(((k[0], v[1]) for k, v in self.signals.iterator()), key=lambda x: x[0].encode())
-            yield pd.DataFrame({"asset_uuid": [key[0]], "readings": ["[" + ",".join(p for _, p in all_) + "]"]})
-
-    def close(self) -> None:
-        pass
+        out = []
+        for asset, _, _, _, changed, every in self.touched(rows):
+            if changed:
+                all_ = sorted(((id_, payload) for id_, (_, payload) in every.items()), key=lambda x: x[0].encode())
+                out.append((asset, "[" + ",".join(p for _, p in all_) + "]"))
+        if out:
+            yield pd.DataFrame(out, columns=["asset_uuid", "readings"])
 
 
 def stream_readings_by_asset(state_updates: DataFrame, location: str, checkpoint: str,
                              trigger: dict | None = None) -> StreamingQuery:
     """The readings of every asset in one array, rewritten once per batch for the assets that changed."""
-    rows = last_per_task(_asset_rows(state_updates).drop("kind"))
-    return stream_table(rows.groupBy("asset_uuid").transformWithStateInPandas(
+    rows = last_per_task(_asset_rows(state_updates))
+    return stream_table(by_group(rows, "asset_uuid").transformWithStateInPandas(
         _Readings(), "asset_uuid string, readings string", "Update", "None"), location, checkpoint, trigger)
 
 

@@ -118,3 +118,18 @@ def test_keys_of_a_table_share_pages_and_stay_apart(spark):
     assert sent == {(0, "upsert"): 20_000, (1, "upsert"): 10_000, (1, "delete"): 10_000, (3, "upsert"): 5_000, (3, "delete"): 10_000}
     got = T.read_table(spark, out, "uns_id string", "k")
     assert got.count() == 5_000 and got.where("uns_id <> 'back' OR CAST(substr(k, 2) AS INT) % 4 <> 0").count() == 0
+
+
+def test_names_of_many_assets_share_pages(spark):
+    from plantlog.streaming.groups import GROUPS, PAGES
+    events, names, state = (log(spark, n)[0] for n in ("ev2", "names2", "state2"))
+    (out, ckpt), ckpt1 = log(spark, "by-uns2"), work_dir(spark, "state2-ckpt")
+    append(spark.createDataFrame([(f"A{k}", "x", str(k), "t", "Samples", {}, 0, k, None) for k in range(50)], EVENTS), events)
+    stream_latest_state(spark.readStream.schema(EVENTS).parquet(events), state, ckpt1).awaitTermination()
+    for step in range(2):
+        append(spark.range(12_000).selectExpr("concat('A', id) asset_uuid", f"concat('line/', {step}, '/', id) uns_id",
+                                              "CAST(NULL AS STRING) area", f"id + {step} * 100000 offset"), names)
+        query = T.stream_state_by_uns(T.state_updates(spark, state), spark.readStream.schema(MAP).parquet(names), out, ckpt)
+        query.awaitTermination()
+        assert sorted(r.key for r in T.read_state_by_uns(spark, out).collect()) == sorted(f"line/{step}/{k}|x" for k in range(50))
+    assert state_rows(query) <= GROUPS * PAGES
