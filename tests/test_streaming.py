@@ -261,3 +261,22 @@ def test_streaming_deadband_with_settings_per_signal(spark):
             kept.append(k)
             last = k % 7
     assert sorted(r.offset for r in got if r.id == "x") == kept and sum(r.id == "y" for r in got) == 10
+
+
+def test_deadband_of_many_signals_over_restarts(spark):
+    """Equal to the batch rule; 12,000 signals lie in a bounded number of state entries."""
+    from plantlog import work_dir
+    from plantlog.streaming.groups import GROUPS, PAGES
+    log, out, ckpt = (work_dir(spark, n) for n in ("many-log", "many-out", "many-ckpt"))
+    every = spark.range(48_000).selectExpr("IF(id % 12000 = 7, NULL, concat('a', id % 6000)) asset_uuid", "IF(id % 12000 < 6000, 'x', 'y') id",
+                                           "id offset", "CAST((id * 7919) % 23 AS DOUBLE) value_num")
+    schema = "asset_uuid string, id string, offset long, value_num double"
+    for half in ("offset < 24000", "offset >= 24000"):
+        every.where(half).write.mode("append").parquet(log)
+        query = push_query(stream_deadband(spark.readStream.schema(schema).parquet(log), 5.0), out, ckpt)
+        query.awaitTermination()
+    got = spark.read.parquet(out)
+    want = deadband_filter(every, 5.0, ["asset_uuid", "id"])
+    assert rows(got.where("asset_uuid IS NOT NULL")) == rows(want)
+    assert got.where("asset_uuid IS NULL").count() > 0
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= GROUPS * PAGES
