@@ -25,15 +25,15 @@ def as_records(readings: DataFrame, extra: Column | None = None) -> DataFrame:
 
 
 def write_records(records: DataFrame, location: str, *, fmt: str = "parquet",
-                  checkpoint: str | None = None, **options: str):
-    """Append records to a topic or folder. A streaming frame needs its ``checkpoint`` folder and
-    yields the started query, which ends once all present input is written."""
+                  checkpoint: str | None = None, folders: tuple[str, ...] = (), **options: str):
+    """Append records to a topic or folder, there into sub-folders by the columns ``folders``. A streaming frame
+    needs its ``checkpoint`` folder and yields the started query, which ends once all present input is written."""
     target = {"topic": location} if fmt == "kafka" else {"path": location}
     if records.isStreaming:
-        return (records.writeStream.format(fmt).outputMode("append")
+        return (records.writeStream.format(fmt).outputMode("append").partitionBy(*folders)
                 .options(**target, **options).option("checkpointLocation", checkpoint)
                 .trigger(availableNow=True).start())
-    records.write.format(fmt).mode("append").options(**target, **options).save()
+    records.write.format(fmt).mode("append").partitionBy(*folders).options(**target, **options).save()
     return None
 
 

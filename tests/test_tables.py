@@ -133,3 +133,18 @@ def test_names_of_many_assets_share_pages(spark):
         query.awaitTermination()
         assert sorted(r.key for r in T.read_state_by_uns(spark, out).collect()) == sorted(f"line/{step}/{k}|x" for k in range(50))
     assert state_rows(query) <= GROUPS * PAGES
+
+
+def test_bounded_batches_are_shared_by_consumers(spark):
+    """No micro-batch is larger with several consumers, and none of them reads the log in a row."""
+    from workload.adapters import Tables
+    from workload.q_tables import FILES, RECORDS, consumed
+    t = Tables(spark, "/root/testdata/sf0.001")
+    records = spark.range(24_500).selectExpr("CAST(NULL AS STRING) key", "'v' value", "CAST(id % 3 AS INT) partition", "id offset",
+                                             "CAST(NULL AS TIMESTAMP) timestamp", "0 timestampType").coalesce(1)
+    seen = consumed(t, records, 4)
+    assert sorted(r.offset for r in seen.collect()) == list(range(24_500))
+    batches = seen.groupBy("consumer", "batch_id").count().collect()
+    assert max(b["count"] for b in batches) <= FILES * RECORDS and len({b.consumer for b in batches}) == 4
+    assert max(b.batch_id for b in batches) + 1 < 24_500 / (FILES * RECORDS)
+    assert consumed(t, records.limit(0), 4).count() == 0

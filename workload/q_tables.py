@@ -132,18 +132,36 @@ def _(t: Tables):
     return delivery.delivered_counts(t.spark, _delivered(t)).groupBy("cluster").agg(F.sum("rows").alias("n"))
 
 
-# Every file of the log holds at most RECORDS records, every micro-batch reads FILES of them.
-RECORDS, FILES = 1000, 2
+# Every file of the log holds at most RECORDS records, every micro-batch reads FILES of them. Micro-batches of one
+# consumer follow each other, so the log is dealt to as many consumers as the cluster runs tasks, CONSUMERS at most.
+RECORDS, FILES, CONSUMERS = 1000, 2, 16
+
+
+def consumed(t: Tables, records: DataFrame, consumers: int) -> DataFrame:
+    """Partition and offset of the records, with the ``consumer`` and the ``batch_id`` that read them."""
+    log, out, checkpoint = (work_dir(t.spark, n) for n in ("bounded-log", "bounded", "bounded-checkpoint"))
+    dealt = F.pmod(F.xxhash64("partition", F.floor(F.col("offset") / RECORDS)), F.lit(consumers)).cast("int")
+    write_records(records.select("key", "value", "partition", "offset", "timestamp", "timestampType", dealt.alias("consumer")), log,
+                  folders=("consumer",), maxRecordsPerFile=str(RECORDS))
+    read = lambda rows: rows.select(F.col("partition").cast("int").alias("part"), "offset")
+    # The table is there before its first batch, also for an empty log.
+    upsert_sink(f"{out}/consumer=0")(read(records).limit(0), -1)
+    written = t.spark.read.schema("consumer int").parquet(log).select("consumer").distinct().collect()
+    running = [for_each_row_batch(read(log_records(t.spark, f"{log}/consumer={c}", streaming=True, per_trigger=FILES)),
+                                  upsert_sink(f"{out}/consumer={c}"), f"{checkpoint}/{c}") for (c,) in written]
+    try:
+        for q in running:
+            q.awaitTermination()
+    finally:
+        # Of a failed consumer's log nothing may be missed: the others end with it.
+        for q in running:
+            q.stop()
+    return t.spark.read.parquet(out)
 
 
 @query("backpressure", "SELECT part, count(*) AS n, true AS bounded FROM raw GROUP BY 1")
 def _(t: Tables):
-    log, out, checkpoint = (work_dir(t.spark, n) for n in ("bounded-log", "bounded", "bounded-checkpoint"))
-    write_records(t.records.select("key", "value", "partition", "offset", "timestamp", "timestampType"), log,
-                  maxRecordsPerFile=str(RECORDS))
-    stream = log_records(t.spark, log, streaming=True, per_trigger=FILES)
-    for_each_row_batch(stream.select(F.col("partition").cast("int").alias("part"), "offset"), upsert_sink(out), checkpoint
-                       ).awaitTermination()
-    seen = t.spark.read.parquet(out)
-    counts = seen.groupBy("batch_id", "part").count().withColumn("batch", F.sum("count").over(Window.partitionBy("batch_id")))
+    seen = consumed(t, t.records, min(CONSUMERS, t.spark.sparkContext.defaultParallelism))
+    batch = ["consumer", "batch_id"]
+    counts = seen.groupBy(*batch, "part").count().withColumn("batch", F.sum("count").over(Window.partitionBy(*batch)))
     return counts.groupBy("part").agg(F.sum("count").alias("n"), (F.max("batch") <= RECORDS * FILES).alias("bounded"))
