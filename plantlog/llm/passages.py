@@ -10,26 +10,24 @@ A text is the sequence of its five-word shingle hashes; a *stretch* is ``TOKENS`
    of all texts are covered by a few rows per ``TOKENS`` positions, and near stretches share a signature
    under each function with a chance of ``THRESHOLD`` or more.
 2. Signatures are counted by an aggregation; only rows whose signature lies in two different texts go on.
-   An interval join on the signature brings texts together, at the diagonal that aligns the two minima:
-   in a group of up to ``SMALL`` texts all of them, in a larger one each text with the ``HEADS`` texts of
-   smallest key, of which a text keeps those it needs to have each of its signatures compared. No group is
-   expanded into its pairs, and texts that share many signatures make one pair.
-   A pair with a single signature in common, anywhere in the two texts, goes no further.
-3. A pair is verified once, for all its diagonals: the exact similarity of all stretches of a diagonal is
-   computed from the ranges in which each shingle is new to the sliding set. Verified stretches merge into
-   passages of both texts. Pairs of one head are dealt into lanes, so a hot head has many tasks.
-4. Rows of large groups whose stretches no verified passage covers are joined along the text: where windows
-   of two functions overlap, stretches share two minima; steps 2 and 3 run again on these purer
-   signatures. There are ``DEPTH`` rounds (the last on signatures of ``DEPTH`` functions), whatever the data.
-5. What is still uncovered is counted by a hash of its ``WORDS`` words, so that no verbatim passage is lost.
-
-What can be missed: a stretch at the threshold shares fewer than two signatures with probability 2e-3 (less
-for longer or closer passages); in groups of over ``SMALL`` texts, a near stretch that fails against the heads
-of all its groups of one and of two functions and is not verbatim (then it shares too little with most of
-its groups; ``tests/llm`` measures recall against all pairs). On a diagonal both stretches start equally
-far from the shared minimum: where words were put in or left out, the closest alignment of a stretch may
-be one place off; its neighbours are found. Texts are told apart by all 128 bits of their MD5; shingles
-are compared by 64-bit hashes.
+   An interval join on the signature brings texts together, at the diagonal that aligns the two minima. All
+   rows of a signature meet, in one of two ways; no group is cut.
+3. Groups of up to ``SMALL`` rows become pairs of texts, once for all signatures they share. A pair with a
+   single signature in common, anywhere in the two texts, goes no further. The others are verified on the texts:
+   the exact similarity of all stretches of a diagonal is computed from the ranges in which each shingle is new
+   to the sliding set. Pairs of one text are dealt into lanes, so a hot text has many tasks.
+4. Larger groups never become pairs of rows: a row takes along the shingles of its interval, groups are dealt into
+   chunks of ``CHUNK`` rows, and a task compares all rows of two chunks, at all stretches that two intervals share.
+   Shingles of one row that the other holds anywhere bound the intersection from above, equal ones at equal places
+   from below; what lies between is compared exactly where a stretch is not yet covered or two texts not yet
+   linked. A task returns the covered stretches of each row and a spanning forest of the links. A group of n
+   rows costs (n / CHUNK)^2 / 2 blocks, in constant memory. Places of one text with equal shingles are one row.
+
+What can be missed: near stretches that share no signature of a large group, and their texts fewer than two in all:
+at the threshold with probability 2e-3 (less for longer or closer passages; ``tests/llm`` measures recall against
+all pairs). On a diagonal both stretches start equally far from the shared minimum: where words were put in or
+left out, the closest alignment of a stretch may be one place off; its neighbours are found. Texts are told apart
+by all 128 bits of their MD5; shingles are compared by 64-bit hashes.
 
 Defined results: null, empty and shorter texts have no passage and are a class of their own; equal texts of
 ``WORDS`` words or more are one class, a passage as a whole; repeated rows are copies; rows without an id
@@ -40,11 +38,10 @@ an empty table; only id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plantlog.functions.sizing import broadcast_if_bounded
 from plantlog.llm.common import CHUNK_BYTES, ByteTexts, chunks, forget, mix, saved
@@ -52,7 +49,7 @@ from plantlog.llm.components import components
 
 SHINGLE, WORDS, THRESHOLD = 5, 50, 0.8
 TOKENS = WORDS - SHINGLE + 1
-FUNCTIONS, SMALL, HEADS, DEPTH, LANE = 6, 4, 2, 2, 256
+FUNCTIONS, SMALL, LANE, CHUNK = 6, 4, 256, 512
 _PLACE, _BLOCK = np.uint64((1 << 24) - 1), 1 << 22
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) % (1 << 64)) for k in range(FUNCTIONS)]
 _KEY, _PAIR = ["k1", "k2"], ["a1", "a2", "b1", "b2"]
@@ -285,77 +282,221 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 columns)], ["k1", "k2", "o1", "o2", "first", "last"])
 
 
-def _uncovered(batch: pa.RecordBatch, i: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Per function the signature (0: none) and the minimum of each stretch of text i that is in a large group
-    and not covered by ``spans``."""
-    rows = batch.column("rows")[i].values
-    sig, at = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("sig", "at"))
-    lo, hi, c = _unpacked(at)
-    n = int(hi.max()) + 1
-    covered = np.zeros(n, bool)
-    if batch.column("spans")[i].is_valid:
-        spans = batch.column("spans")[i].values
-        first, last = (np.asarray(spans.field(f)).astype(np.int64) for f in ("first", "last"))
-        ok = first < n
-        covered = _coverage(first[ok], np.minimum(last[ok] - WORDS, n - 1), n) > 0
-    out, middle = [], np.zeros((FUNCTIONS, n), np.int64)
-    for f in range(FUNCTIONS):
-        pick = np.flatnonzero((sig & 7) == f)
-        sigs = np.zeros(n, np.int64)
-        size = hi[pick] - lo[pick] + 1
-        where = np.repeat(lo[pick] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        sigs[where], middle[f, where] = np.repeat(sig[pick], size), np.repeat(c[pick], size)
-        sigs[covered] = 0
-        out.append(sigs)
-    return out, middle, covered
-
-
-def _deeper(depth: int):
-    """Rows of ``depth`` functions: overlaps of the windows of each choice of them, along the text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(4)]
-            for i, (k1, k2) in enumerate(zip(*(batch.column(k).to_pylist() for k in _KEY))):
-                sigs, middle, _ = _uncovered(batch, i)
-                for chosen in combinations(range(FUNCTIONS), depth):
-                    key, held = np.zeros(len(sigs[0]), np.uint64), np.ones(len(sigs[0]), bool)
-                    for f in chosen:
-                        key = mix(key * np.uint64(0x9FB21C651E98DF25) + sigs[f].view(np.uint64))
-                        held &= sigs[f] != 0
-                    new = np.ones(len(key), bool)
-                    new[1:] = (key[1:] != key[:-1]) | ~held[:-1]
-                    lo = np.flatnonzero(held & new)
-                    if not len(lo):
-                        continue
-                    stop = np.flatnonzero(np.append(new | ~held, True))
-                    hi = stop[np.searchsorted(stop, lo, "right")] - 1
-                    c = middle[chosen[0]][lo]
-                    for col, v in zip(parts, (key[lo].view(np.int64), np.full(len(lo), k1), np.full(len(lo), k2),
-                                              _packed(lo, hi, np.clip(c, lo, lo + TOKENS - 1)))):
-                        col.append(v)
-            if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in parts], ["sig", *_KEY, "at"])
-    return run
-
-
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(WORDS // SHINGLE)], np.uint64)
-
-
-def _verbatim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash of the words, text, stretch) of the stretches that are still uncovered."""
+_PLACES = "sig long, k1 long, k2 long, ahead int, starts array<int>, shingles binary"
+
+
+def _pieces(tokens: np.ndarray, lo: int, hi: int, c: int) -> Iterator[tuple[int, int, int]]:
+    """(first stretch, last stretch, minimum) of a row: as many as its minimum has places."""
+    if hi <= c:
+        yield lo, hi, c
+        return
+    for p in (c + np.flatnonzero(tokens[c:hi + TOKENS] == tokens[c])).tolist():
+        if lo > hi:
+            return
+        yield lo, min(p, hi), p
+        lo = p + 1
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of large groups with the shingles of their stretches; places of a text with equal ones once."""
     for batch in batches:
-        parts: list[list[np.ndarray]] = [[] for _ in range(4)]
+        out: list[list] = [[] for _ in range(6)]
         keys = zip(*(batch.column(k).to_pylist() for k in _KEY))
         for i, ((k1, k2), tokens) in enumerate(zip(keys, _tokenised(batch))):
-            sigs, _, _ = _uncovered(batch, i)
-            start = np.flatnonzero(np.any(np.stack(sigs) != 0, axis=0))
-            acc = np.zeros(len(start), np.uint64)
-            for j, power in enumerate(_POWERS):
-                acc += mix(tokens[start + j * SHINGLE] * power)
-            for col, v in zip(parts, (mix(acc).view(np.int64), np.full(len(start), k1), np.full(len(start), k2), start)):
-                col.append(v)
-        if parts[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in parts], ["sig", *_KEY, "start"])
+            rows = batch.column("rows")[i].values
+            sig, at = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("sig", "at"))
+            seen: dict[tuple, list[int]] = {}
+            for own, *row in zip(sig.tolist(), *(v.tolist() for v in _unpacked(at))):
+                for lo, hi, c in _pieces(tokens, *row):
+                    seen.setdefault((own, c - lo, tokens[lo:hi + TOKENS].tobytes()), []).append(lo)
+            for (own, ahead, content), starts in seen.items():
+                for col, v in zip(out, (own, k1, k2, ahead, sorted(starts), content)):
+                    col.append(v)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.int32()), pa.array(
+            out[4], pa.list_(pa.int32())), pa.array(out[5], pa.binary())], ["sig", *_KEY, "ahead", "starts", "shingles"])
+
+
+def _windowed(flags: np.ndarray) -> np.ndarray:
+    """Sums of each ``TOKENS`` consecutive of 2 * TOKENS - 1 flags."""
+    total = np.zeros((len(flags), 2 * TOKENS), np.int16)
+    np.cumsum(flags, axis=1, out=total[:, 1:])
+    return total[:, TOKENS:] - total[:, :TOKENS]
+
+
+class _Block:
+    """Rows of one group, aligned at the shared minimum: column ``TOKENS`` - 1 of ``codes``. Stretch s of a row
+    has the columns from s on; those of its interval are ``inside``."""
+
+    def __init__(self, text: np.ndarray, ahead: np.ndarray, shingles: list[np.ndarray]):
+        n, size = len(text), np.array([len(x) for x in shingles])
+        self.shingles, self.ahead, self.text = shingles, ahead, text
+        kinds, local = np.unique(np.concatenate(shingles), return_inverse=True)
+        row = np.repeat(np.arange(n), size)
+        column = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + (TOKENS - 1 - ahead)[row]
+        # One code more than there are, which no row holds.
+        self.codes = np.full((n, 2 * TOKENS - 1), len(kinds), np.int32)
+        self.codes[row, column] = local
+        self.holds = np.zeros(len(kinds) + 1, bool)
+        at = np.arange(TOKENS)
+        first = TOKENS - 1 - ahead
+        self.inside = (at >= first[:, None]) & (at <= (first + size - TOKENS)[:, None])
+        self.distinct = np.full((n, TOKENS), TOKENS, np.int16)
+        self.members = np.unique(local * n + row)
+        self.repeats = np.bincount(self.members % n, minlength=n) < size
+        # The stretches for which a column counts, in rows that repeat shingles: without an earlier equal one.
+        self.since = np.full((n if self.repeats.any() else 0, 2 * TOKENS - 1), TOKENS, np.int16)
+        self.until = np.minimum(np.arange(2 * TOKENS - 1), TOKENS - 1)
+        for i in np.flatnonzero(self.repeats):
+            side = _Side(np.searchsorted(kinds, shingles[i]))
+            self.distinct[i, self.inside[i]] = side.distinct[:size[i] - TOKENS + 1]
+            self.since[i, first[i]:first[i] + size[i]] = np.minimum(side.first + first[i], TOKENS)
+        self.least = self.distinct.min(axis=1)
+        self.partner = np.full((n, TOKENS), -1)
+        self.label = text.copy()
+        self.links: list[tuple[int, int, np.ndarray]] = []
+
+    def candidates(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Pairs of rows (left, right) that have the shingles in common that near stretches need. Shingles held
+        by the same rows count as one column."""
+        code, row = np.divmod(self.members, len(self.text))
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(code) != 0)))
+        held = np.diff(np.append(starts, len(code)))
+        tag = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 63, len(self.text), dtype=np.uint64)
+        pattern = np.add.reduceat(tag[row], starts)
+        starts, held, pattern = (x[held > 1] for x in (starts, held, pattern))
+        _, pick, weight = np.unique(pattern, return_index=True, return_counts=True)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, len(pick), 2048):
+            begin, size = starts[pick[lo:lo + 2048]], held[pick[lo:lo + 2048]]
+            holds = np.zeros((len(self.text), len(begin)), np.float32)
+            holds[row[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())], np.repeat(np.arange(len(begin)), size)] = 1
+            both += (holds[left] * weight[lo:lo + 2048].astype(np.float32)) @ holds[right].T
+        return (9 * both >= 4 * (self.least[left][:, None] + self.least[right])) & (self.text[left][:, None] != self.text[right])
+
+    def _kinds(self, flags: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Number of different shingles of each stretch of ``rows`` in the columns with ``flags``."""
+        out = _windowed(flags)
+        again = np.flatnonzero(self.repeats[rows])
+        if len(again):
+            k, column = np.nonzero(flags[again])
+            at, most = k * (TOKENS + 1), len(again) * (TOKENS + 1)
+            since, until = self.since[rows[again[k]], column], self.until[column]
+            # A column beyond the last stretch, or with an equal one before in all of its own, counts for none.
+            until = np.maximum(until, since - 1)
+            ends = np.bincount(at + since, minlength=most) - np.bincount(at + until + 1, minlength=most)
+            out[again] = np.cumsum(ends.reshape(len(again), -1), axis=1)[:, :TOKENS]
+        return out
+
+    def _found(self, i: int, others: np.ndarray, near: np.ndarray) -> None:
+        """Stretches ``near`` (a row of flags for each of ``others``) of row i are near."""
+        self.partner[others] = np.where(near & (self.partner[others] < 0), i, self.partner[others])
+        new = near.any(axis=0) & (self.partner[i] < 0)
+        self.partner[i, new] = others[near[:, new].argmax(axis=0)]
+        for k in np.flatnonzero(self.label[others] != self.label[i]).tolist():
+            j = others[k]
+            if self.label[j] != self.label[i]:
+                self.links.append((i, j, near[k]))
+                self.label[self.label == self.label[j]] = self.label[i]
+
+    def _open(self, i: int, others: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        """Of ``flags`` those where a stretch is not covered or the texts are not linked."""
+        return flags & ((self.partner[i] < 0) | (self.partner[others] < 0) | (self.label[others] != self.label[i])[:, None])
+
+    def compare(self, i: int, others: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Row i with ``others``; returns the pairs left to an exact comparison."""
+        own = self.codes[i] < len(self.holds) - 1
+        self.holds[self.codes[i, own]] = True
+        held = self.holds[self.codes[others]]
+        self.holds[self.codes[i, own]] = False
+        size = 4 * (self.distinct[others] + self.distinct[i])
+        may = self.inside[others] & self.inside[i] & (9 * self._kinds(held, others) >= size)
+        some = np.flatnonzero(may.any(axis=1))
+        if not len(some):
+            return
+        others, size, may = others[some], size[some], may[some]
+        same = self._kinds((self.codes[others] == self.codes[i]) & own, np.full(len(others), i))
+        near = may & (9 * same >= size)
+        hit = near.any(axis=1)
+        if hit.any():
+            self._found(i, others[hit], near[hit])
+        rest = self._open(i, others, may & ~near)
+        for k in np.flatnonzero(rest.any(axis=1)):
+            yield i, others[k], rest[k]
+
+    def exact(self, i: int, j: int, flags: np.ndarray) -> None:
+        if self._open(i, np.array([j]), flags[None]).any():
+            near = np.zeros((1, TOKENS), bool)
+            for _, s, e in near_stretches(self.shingles[i], self.shingles[j], [int(self.ahead[j] - self.ahead[i])]):
+                near[0, s + TOKENS - 1 - self.ahead[i]:e + TOKENS - self.ahead[i]] = True
+            if near.any():
+                self._found(i, np.array([j]), near)
+
+    def found(self) -> Iterator[tuple[int, int, int, int]]:
+        """(row, other row, first, last): runs of stretches, counted from the row's first one."""
+        flags = np.zeros((len(self.text), TOKENS + 2), np.int8)
+        flags[:, 1:-1] = self.partner >= 0
+        edge = np.diff(flags, axis=1)
+        row, at = np.nonzero(edge > 0)
+        base = TOKENS - 1 - self.ahead[row]
+        yield from zip(row.tolist(), self.partner[row, at].tolist(), (at - base).tolist(), (np.nonzero(edge < 0)[1] - 1 - base).tolist())
+        for i, j, near in self.links:
+            for a, b in _runs(near):
+                yield i, j, a - (TOKENS - 1 - self.ahead[i]), b - (TOKENS - 1 - self.ahead[i])
+
+
+def _compared(rows: pa.RecordBatch) -> Iterator[tuple]:
+    """Found rows of two chunks of a group (or one with itself)."""
+    k1, k2, chunk, ci, cj = (rows.column(c).to_numpy() for c in (*_KEY, "chunk", "ci", "cj"))
+    order = np.lexsort((k2, k1))
+    new = np.concatenate(([True], (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)))
+    text = np.empty(len(k1), np.int64)
+    text[order] = np.cumsum(new)
+    if text.max() == 1:
+        return
+    block = _Block(text, rows.column("ahead").to_numpy().astype(np.int64), [
+        np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()])
+    lower, upper = np.flatnonzero(chunk == ci[0]), np.flatnonzero(chunk == cj[0])
+    meet = block.candidates(lower, upper)
+    if ci[0] == cj[0]:
+        meet = np.triu(meet, 1)
+    left: list[tuple[int, int, np.ndarray]] = []
+    for i in np.flatnonzero(meet.any(axis=1)):
+        left += block.compare(lower[i], upper[meet[i]])
+    for pair in left:
+        block.exact(*pair)
+    starts = rows.column("starts").to_pylist()
+    k1, k2 = k1.tolist(), k2.tolist()
+    for i, j, a, b in block.found():
+        first, last = starts[i][0] + a, starts[i][0] + b + WORDS
+        for s in starts[i][1:]:
+            if s + a > last:
+                yield k1[i], k2[i], k1[j], k2[j], first, last
+                first = s + a
+            last = s + b + WORDS
+        yield k1[i], k2[i], k1[j], k2[j], first, last
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive sorted by group and chunks."""
+    def flush(rows: pa.RecordBatch, edges: list[int]) -> Iterator[pa.RecordBatch]:
+        out = [x for a, b in zip(edges[:-1], edges[1:]) for x in _compared(rows.slice(a, b - a))]
+        if out:
+            columns = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 4 else pa.int32()) for i, c in enumerate(
+                columns)], ["k1", "k2", "o1", "o2", "first", "last"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        group = np.stack([batch.column(c).to_numpy() for c in ("sig", "ci", "cj")])
+        edges = [0, *(np.flatnonzero((np.diff(group) != 0).any(axis=0)) + 1).tolist()]
+        yield from flush(batch, edges)
+        held = batch.slice(edges[-1])
+    if held is not None:
+        yield from flush(held, [0, held.num_rows])
 
 
 def _differ(*columns: str) -> list[Column]:
@@ -370,59 +511,28 @@ def _middle(at: Column) -> Column:
     return (F.shiftright(at, _LO) + at.bitwiseAND(F.lit((1 << _AHEAD) - 1))).cast("int")
 
 
-def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the heads a text meets in large groups, by the number of shared signatures, those with one that no
-    head before them has."""
-    for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for k1, k2, met in zip(*(batch.column(k).to_pylist() for k in _KEY), batch.column("met").to_pylist()):
-            heads: dict[tuple, tuple[set, set]] = {}
-            for m in met:
-                sigs, shifts = heads.setdefault((m["o1"], m["o2"]), (set(), set()))
-                sigs.add(m["sig"])
-                shifts.add(m["shift"])
-            seen: set[int] = set()
-            for head, (sigs, shifts) in sorted(heads.items(), key=lambda h: (-len(h[1][0]), h[0])):
-                if not sigs <= seen:
-                    seen |= sigs
-                    for col, v in zip(out, (k1, k2, *head, list(shifts), len(sigs))):
-                        col.append(v)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.list_(pa.int32())),
-                                          pa.array(out[5], pa.int32())], [*_KEY, "o1", "o2", "shifts", "shared"])
-
-
-def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b: a < b) of texts that meet in a group, with their diagonals; the signatures of large groups."""
-    firsts = saved(rows.groupBy("sig", *_KEY).agg(F.min("at").alias("at")), "passage-firsts")
-    sizes = saved(firsts.groupBy("sig").agg(F.count("*").alias("texts")), "passage-sizes")
-    large = sizes.where(F.col("texts") > SMALL).select("sig")
-    rank = F.row_number().over(Window.partitionBy("sig").orderBy(*_KEY))
-    heads = firsts.withColumn("rank", rank).where(F.col("rank") <= SMALL).join(sizes, "sig").where(
-        (F.col("texts") <= SMALL) | (F.col("rank") <= HEADS)).select(
-        "sig", F.col("k1").alias("o1"), F.col("k2").alias("o2"), _middle(F.col("at")).alias("c"), (F.col(
-            "texts") > SMALL).alias("large"))
-    heads = saved(heads, "passage-heads")
-    forget(firsts)
-    met = saved(rows.join(broadcast_if_bounded(heads), "sig").where("k1 != o1 OR k2 != o2").select(
-        "sig", *_KEY, "o1", "o2", (F.col("c") - _middle(F.col("at"))).alias("shift"), "large"), "passage-met")
-    forget(heads)
-    hot = met.where("large").groupBy(*_KEY).agg(F.collect_list(F.struct("sig", "o1", "o2", "shift")).alias("met")).mapInArrow(
-        _needed, "k1 long, k2 long, o1 long, o2 long, shifts array<int>, shared int")
-    few = _ordered(met.where("NOT large").withColumn("shifts", F.array("shift")), "sig").groupBy(*_PAIR).agg(
-        F.flatten(F.collect_set("shifts")).alias("shifts"), F.size(F.collect_set("sig")).alias("shared"))
-    pairs = few.unionByName(_ordered(hot, "shared")).groupBy(*_PAIR).agg(
-        F.array_distinct(F.flatten(F.collect_list("shifts"))).alias("shifts"), F.sum("shared").alias("shared"))
-    pairs = saved(pairs, "passage-pairs")
-    forget(met)
-    return pairs, large
-
-
-def _ordered(met: DataFrame, *more: str) -> DataFrame:
-    """The smaller key as a, the larger as b, and the diagonals from a to b."""
-    lower = F.expr("k1 < o1 OR (k1 = o1 AND k2 < o2)")
-    names = {"a1": ("k1", "o1"), "a2": ("k2", "o2"), "b1": ("o1", "k1"), "b2": ("o2", "k2")}
-    return met.select(*[F.when(lower, F.col(x)).otherwise(F.col(y)).alias(n) for n, (x, y) in names.items()], F.when(
-        lower, F.col("shifts")).otherwise(F.transform("shifts", lambda v: -v)).alias("shifts"), *more)
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b: a < b) of texts that meet in small groups, with their diagonals."""
+    side = lambda n: rows.select("sig", F.col("k1").alias(f"{n}1"), F.col("k2").alias(f"{n}2"), _middle(F.col("at")).alias(n))
+    met = side("a").join(side("b"), "sig").where("a1 < b1 OR (a1 = b1 AND a2 < b2)")
+    return saved(met.groupBy(*_PAIR).agg(F.collect_set(F.col("b") - F.col("a")).alias("shifts"), F.size(F.collect_set(
+        "sig")).alias("shared")), "passage-pairs")
+
+
+def _grouped(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """What is near in large groups."""
+    lists = rows.groupBy(*_KEY).agg(F.collect_list(F.struct("sig", "at")).alias("rows"))
+    places = saved(lists.join(texts, _KEY).mapInArrow(_places, _PLACES), "passage-places")
+    many = saved(places.groupBy("sig").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")).where("n > 1"), "passage-many")
+    own = F.pmod(F.xxhash64(*_KEY, "shingles"), F.col("n")).cast("int")
+    dealt = places.join(broadcast_if_bounded(many), "sig", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn(
+        "chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
+        "sig", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", *_KEY, "ahead", "starts",
+        "shingles")
+    order = ["sig", "ci", "cj"]
+    found = saved(dealt.repartition(*order).sortWithinPartitions(*order, *_KEY).mapInArrow(_compare, _FOUND), "passage-near")
+    forget(places)
+    return found
 
 
 def _supported(pairs: DataFrame, entries: DataFrame) -> DataFrame:
@@ -469,38 +579,13 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     texts = saved(chosen.select(*_KEY, "text").mapInArrow(_pack, "k1 long, k2 long, size long, packed binary").dropDuplicates(_KEY),
                   "passage-texts")
 
-    pairs, large = _candidates(entries)
-    pairs = _supported(pairs, entries)
-    found = _verified(pairs, texts)
-    loose = saved(entries.join(broadcast_if_bounded(large), "sig", "left_semi").groupBy(*_KEY).agg(
-        F.collect_list(F.struct("sig", "at")).alias("rows")), "passage-loose")
-    forget(entries)
-
-    def open_rows() -> DataFrame:
-        spans = found.groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-        return loose.join(spans, _KEY, "left")
-
-    for depth in range(2, DEPTH + 1):
-        deeper = saved(open_rows().mapInArrow(_deeper(depth), _ROW), "passage-deeper")
-        common = deeper.groupBy("sig").agg(*_differ(*_KEY)).where(_DIFFERENT).select("sig")
-        every, deeper = deeper, saved(deeper.join(common, "sig", "left_semi"), "passage-common")
-        forget(every)
-        if not deeper.limit(1).count():
-            break
-        done = pairs.groupBy(*_PAIR).agg(F.flatten(F.collect_list("shifts")).alias("done"))
-        new = F.array_except("shifts", F.coalesce("done", F.array().cast("array<int>")))
-        more = saved(_candidates(deeper)[0].join(done, _PAIR, "left").select(*_PAIR, new.alias("shifts")).where(
-            F.size("shifts") > 0), "passage-candidates")
-        pairs, found = pairs.union(more), found.union(_verified(more, texts))
-    rest = saved(open_rows().join(texts, _KEY).mapInArrow(_verbatim, "sig long, k1 long, k2 long, start long"), "passage-rest")
-    equal = rest.groupBy("sig").agg(*_differ(*_KEY), F.min(F.struct(*_KEY)).alias("o"), F.max(F.struct(*_KEY)).alias("p")).where(
-        _DIFFERENT).select("sig", "o", "p")
-    same = F.struct(*_KEY) == F.col("o")
-    exact = rest.join(equal, "sig").select(*_KEY, F.when(same, F.col("p")).otherwise(F.col("o")).alias("o"), "start").select(
-        *_KEY, F.col("o.k1").alias("o1"), F.col("o.k2").alias("o2"), F.col("start").cast("int").alias("first"), (
-            F.col("start") + WORDS).cast("int").alias("last"))
-    found = saved(found.union(exact), "passage-links")
-    forget(rest, texts)
+    # A row with its minimum at several places meets others at several diagonals.
+    one = F.shiftright("at", _AHEAD).bitwiseAND(F.lit((1 << _LEN) - 1)) <= F.col("at").bitwiseAND(F.lit((1 << _AHEAD) - 1))
+    small = saved(entries.groupBy("sig").agg(F.count("*").alias("n"), F.min(one).alias("one")).where(
+        (F.col("n") <= SMALL) & F.col("one")).select("sig"), "passage-small")
+    pairs = _supported(_pairs(entries.join(small, "sig", "left_semi")), entries)
+    found = _verified(pairs, texts).union(_grouped(entries.join(small, "sig", "left_anti"), texts))
+    forget(entries, texts)
     return _report(narrow, copies, found)
 
 

@@ -260,6 +260,58 @@ def test_recall_against_all_pairs(spark):
     assert all(classes[a] == classes[b] for a in found for b in found if got[a].class_id == got[b].class_id)
 
 
+def test_all_members_of_large_groups_meet(spark, monkeypatch):
+    """Passages of a few sentences in many orders: every shingle is in many texts, and a near text, which is no
+    verbatim one, is rarely near to the others of its groups."""
+    r = random.Random(14)
+    sentences, rows = [made(r, 8) for _ in range(5)], []
+    for g in range(24):
+        one = [w for _ in range(7) for w in r.choice(sentences)]
+        two = list(one)
+        two[r.randrange(24, 32)] = f"other{g}"
+        rows += [(len(rows), " ".join(made(r, 20) + one + made(r, 20))), (len(rows) + 1, " ".join(made(r, 31) + two + made(r, 20)))]
+    classes, have = near_words(rows)
+    for chunk in (512, 7):
+        monkeypatch.setattr(ps, "CHUNK", chunk, raising=False)
+        got = {x.doc_id: x for x in ps.passages(frame(spark, rows)).collect()}
+        found = {d: {i for p in x.passages for i in range(p.start, p.end)} for d, x in got.items()}
+        assert all(found[d] <= have[d] for d in found)
+        assert all(found[d] for d in found if have[d])
+        assert sum(map(len, found.values())) >= 0.97 * sum(map(len, have))
+        assert [got[d].class_id for d in range(len(rows))] == classes
+
+
+def test_large_blocks_against_sets():
+    """Stretches and links of one group, also of rows that repeat shingles, against sets."""
+    r = random.Random(15)
+    for k in (3, 8, 60, 1000):
+        base, rows = [r.randrange(1, k + 1) for _ in range(91)], []
+        for i in range(24):
+            row = [r.randrange(1, k + 1) if r.random() < .04 else v for v in base]
+            if i % 3 == 2:
+                row = [r.randrange(1, k + 1) for _ in row]
+            row[45], ahead, n = 0, r.randrange(46), r.randrange(1, 10)
+            n = min(n, ahead + 1)
+            rows.append((ahead, np.array(row[45 - ahead:45 - ahead + n + 45], np.uint64)))
+        text = np.arange(1, len(rows) + 1) // 2
+        block = ps._Block(text, np.array([a for a, _ in rows]), [x for _, x in rows])
+        every = np.arange(len(rows))
+        meet = np.triu(block.candidates(every, every), 1)
+        left = [p for i in every for p in block.compare(i, every[meet[i]])]
+        for p in left:
+            block.exact(*p)
+        at = [{45 - a + s: frozenset(x[s:s + 46].tolist()) for s in range(len(x) - 45)} for a, x in rows]
+        edges = []
+        for i in every:
+            for s in range(46):
+                near = [j for j in every if text[j] != text[i] and s in at[i] and s in at[j]
+                        and 9 * len(at[i][s] & at[j][s]) >= 4 * (len(at[i][s]) + len(at[j][s]))]
+                assert (block.partner[i, s] in near) if near else block.partner[i, s] < 0, (k, i, s)
+                edges += [(int(text[i]), int(text[j])) for j in near]
+        assert all((block.label[text == a][0] == block.label[text == b][0]) for a, b in edges)
+        assert all((int(text[i]), int(text[j])) in edges for i, j, _ in block.links)
+
+
 def test_stretches_of_a_diagonal_against_sets():
     r = random.Random(1)
     for _ in range(60):
