@@ -20,7 +20,7 @@ A text is the sequence of its five-word shingle hashes; a *stretch* is ``TOKENS`
    chunks of ``CHUNK`` rows, and a task compares all rows of two chunks, at all stretches that two intervals share.
    Shingles of one row that the other holds anywhere bound the intersection from above, equal ones at equal places
    from below; what lies between is compared exactly where a stretch is not yet covered or two texts not yet
-   linked. A task returns the covered stretches of each row and a spanning forest of the links. A group of n
+   linked. A task returns the covered stretches of each row and, for each linked text, the smallest text of its class. A group of n
    rows costs (n / CHUNK)^2 / 2 blocks, in constant memory. Places of one text with equal shingles are one row.
 
 What can be missed: near stretches that share no signature of a large group, and their texts fewer than two in all:
@@ -49,7 +49,7 @@ from plantlog.llm.components import components
 
 SHINGLE, WORDS, THRESHOLD = 5, 50, 0.8
 TOKENS = WORDS - SHINGLE + 1
-FUNCTIONS, SMALL, LANE, CHUNK = 6, 4, 256, 512
+FUNCTIONS, SMALL, LANE, CHUNK = 6, 4, 256, 2048
 _PLACE, _BLOCK = np.uint64((1 << 24) - 1), 1 << 22
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) % (1 << 64)) for k in range(FUNCTIONS)]
 _KEY, _PAIR = ["k1", "k2"], ["a1", "a2", "b1", "b2"]
@@ -431,17 +431,24 @@ class _Block:
             if near.any():
                 self._found(i, np.array([j]), near)
 
-    def found(self) -> Iterator[tuple[int, int, int, int]]:
-        """(row, other row, first, last): runs of stretches, counted from the row's first one."""
+    def found(self) -> Iterator[tuple[int, int, int]]:
+        """(row, first, last): runs of stretches that are near to another text's, counted from the row's first one."""
         flags = np.zeros((len(self.text), TOKENS + 2), np.int8)
         flags[:, 1:-1] = self.partner >= 0
         edge = np.diff(flags, axis=1)
         row, at = np.nonzero(edge > 0)
         base = TOKENS - 1 - self.ahead[row]
-        yield from zip(row.tolist(), self.partner[row, at].tolist(), (at - base).tolist(), (np.nonzero(edge < 0)[1] - 1 - base).tolist())
-        for i, j, near in self.links:
-            for a, b in _runs(near):
-                yield i, j, a - (TOKENS - 1 - self.ahead[i]), b - (TOKENS - 1 - self.ahead[i])
+        return zip(row.tolist(), (at - base).tolist(), (np.nonzero(edge < 0)[1] - 1 - base).tolist())
+
+    def stars(self) -> Iterator[tuple[int, int]]:
+        """(row, row of the smallest text linked to it), once for each linked text."""
+        order = np.lexsort((self.text, self.label))
+        centre = None
+        for i, k in zip(order.tolist(), [-1, *order.tolist()]):
+            if k < 0 or self.label[i] != self.label[k]:
+                centre = i
+            elif self.text[i] != self.text[k]:
+                yield i, centre
 
 
 def _compared(rows: pa.RecordBatch) -> Iterator[tuple]:
@@ -466,14 +473,16 @@ def _compared(rows: pa.RecordBatch) -> Iterator[tuple]:
         block.exact(*pair)
     starts = rows.column("starts").to_pylist()
     k1, k2 = k1.tolist(), k2.tolist()
-    for i, j, a, b in block.found():
+    for i, a, b in block.found():
         first, last = starts[i][0] + a, starts[i][0] + b + WORDS
         for s in starts[i][1:]:
             if s + a > last:
-                yield k1[i], k2[i], k1[j], k2[j], first, last
+                yield k1[i], k2[i], None, None, first, last
                 first = s + a
             last = s + b + WORDS
-        yield k1[i], k2[i], k1[j], k2[j], first, last
+        yield k1[i], k2[i], None, None, first, last
+    for i, j in block.stars():
+        yield k1[i], k2[i], k1[j], k2[j], None, None
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -565,10 +574,10 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     body = F.coalesce(F.col(text), F.lit(""))
     half = lambda i: F.conv(F.substring(F.md5(body), 16 * i + 1, 16), 16, -10).cast("long").alias(_KEY[i])
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), half(0), half(1))
-    signed = rows.select(*_KEY, "text").mapInArrow(_sign, _ROW)
+    signed = saved(rows.select(*_KEY, "text").mapInArrow(_sign, _ROW), "passage-signed")
     shared = saved(signed.groupBy("sig").agg(*_differ(*_KEY)).where(_DIFFERENT).select("sig"), "passage-shared")
     entries = saved(signed.join(shared, "sig").distinct(), "passage-entries")
-    forget(shared)
+    forget(signed, shared)
 
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     narrow = saved(rows.select("doc_id", *_KEY, words.alias("n_words")), "passage-rows")
@@ -591,7 +600,8 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def _report(narrow: DataFrame, copies: DataFrame, found: DataFrame) -> DataFrame:
     node = lambda a, b: F.concat_ws(":", a, b)
-    edges = found.select(node("k1", "k2").alias("a"), node("o1", "o2").alias("b")).distinct()
+    # Large groups give ranges and links in rows of their own.
+    edges = found.where("o1 IS NOT NULL").select(node("k1", "k2").alias("a"), node("o1", "o2").alias("b")).distinct()
     labels = components(edges)
     named = copies.withColumn("node", node("k1", "k2")).join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
@@ -606,7 +616,7 @@ def _report(narrow: DataFrame, copies: DataFrame, found: DataFrame) -> DataFrame
                                            "end")).alias("open"))),
                        lambda acc: F.concat(acc["done"], F.array(acc["open"])))
     # Ranges of one start keep the longest, so a text with many partners has one row per start at most.
-    spans = found.groupBy(*_KEY, "first").agg(F.max("last").alias("last")).groupBy(*_KEY).agg(F.array_sort(F.collect_list(
+    spans = found.where("first IS NOT NULL").groupBy(*_KEY, "first").agg(F.max("last").alias("last")).groupBy(*_KEY).agg(F.array_sort(F.collect_list(
         F.struct("first", "last"))).alias("spans")).select(*_KEY, grow.alias("spans"))
     whole = (F.col("copies") > 1) & (F.col("n_words") >= WORDS)
     all_ = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))

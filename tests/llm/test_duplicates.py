@@ -271,7 +271,7 @@ def test_all_members_of_large_groups_meet(spark, monkeypatch):
         two[r.randrange(24, 32)] = f"other{g}"
         rows += [(len(rows), " ".join(made(r, 20) + one + made(r, 20))), (len(rows) + 1, " ".join(made(r, 31) + two + made(r, 20)))]
     classes, have = near_words(rows)
-    for chunk in (512, 7):
+    for chunk in (ps.CHUNK, 7):
         monkeypatch.setattr(ps, "CHUNK", chunk, raising=False)
         got = {x.doc_id: x for x in ps.passages(frame(spark, rows)).collect()}
         found = {d: {i for p in x.passages for i in range(p.start, p.end)} for d, x in got.items()}
