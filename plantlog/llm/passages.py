@@ -17,11 +17,10 @@ A text is the sequence of its five-word shingle hashes; a *stretch* is ``TOKENS`
    the exact similarity of all stretches of a diagonal is computed from the ranges in which each shingle is new
    to the sliding set. Pairs of one text are dealt into lanes, so a hot text has many tasks.
 4. Larger groups never become pairs of rows: a row takes along the shingles of its interval, groups are dealt into
-   chunks of ``CHUNK`` rows, and a task compares all rows of two chunks, at all stretches that two intervals share.
-   Shingles of one row that the other holds anywhere bound the intersection from above, equal ones at equal places
-   from below; what lies between is compared exactly where a stretch is not yet covered or two texts not yet
-   linked. A task returns the covered stretches of each row and, for each linked text, the smallest text of its class. A group of n
-   rows costs (n / CHUNK)^2 / 2 blocks, in constant memory. Places of one text with equal shingles are one row.
+   chunks of ``CHUNK`` rows, and a task compares all rows of two chunks, many groups at once, at all stretches that
+   two intervals share (``stretch_groups.py``): equal stretches by their hash, others by the rare shingles near ones
+   must share, counted exactly. A task returns the covered stretches and, for each linked text, the smallest text of
+   its class. A group of n rows is read n / CHUNK times. Places of one text with equal shingles are one row.
 
 What can be missed: near stretches that share no signature of a large group, and their texts fewer than two in all:
 at the threshold with probability 2e-3 (less for longer or closer passages; ``tests/llm`` measures recall against
@@ -37,19 +36,22 @@ an empty table; only id and text are read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantlog.functions.sizing import broadcast_if_bounded
 from plantlog.llm.common import CHUNK_BYTES, ByteTexts, chunks, forget, mix, saved
 from plantlog.llm.components import components
+from plantlog.llm.stretch_groups import Groups, coverage as _coverage, range_hashes, spread, starts
 
 SHINGLE, WORDS, THRESHOLD = 5, 50, 0.8
 TOKENS = WORDS - SHINGLE + 1
-FUNCTIONS, SMALL, LANE, CHUNK = 6, 4, 256, 2048
+FUNCTIONS, SMALL, LANE, CHUNK = 6, 4, 256, 4096
 _PLACE, _BLOCK = np.uint64((1 << 24) - 1), 1 << 22
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) % (1 << 64)) for k in range(FUNCTIONS)]
 _KEY, _PAIR = ["k1", "k2"], ["a1", "a2", "b1", "b2"]
@@ -81,21 +83,17 @@ def _trees(values: np.ndarray, spots: np.ndarray, first: np.ndarray, last: np.nd
     """Ends l and r of the Cartesian tree's nodes at ``spots`` (the minima of some stretch), for texts one
     after the other: node i belongs to the text at ``first[i]`` to ``last[i]``. A node wide enough is bounded
     by wide ones only, so the narrow ones are not needed."""
-    order, place = (values[spots] & ~_PLACE).tolist(), spots.tolist()
-    begin, end = first.tolist(), last.tolist()
-    left, right = begin[:], end[:]
-    stack: list[int] = []
-    text = -1
-    for i, v in enumerate(order):
-        if begin[i] != text:
-            text, stack = begin[i], []
-        # A smaller value bounds all larger ones before it; what stays below it on the stack bounds it.
-        while stack and order[stack[-1]] > v:
-            right[stack.pop()] = place[i] - 1
-        if stack:
-            left[i] = place[stack[-1]] + 1
-        stack.append(i)
-    return np.array(left, np.int64), np.array(right, np.int64)
+    key, i = values[spots] & ~_PLACE, np.arange(len(spots))
+    left, right = np.where(first[i - 1] == first[i], i - 1, -1), np.where(first[(i + 1) % max(len(i), 1)] == first[i], i + 1, -1)
+    left[:1], right[-1:] = -1, -1
+    # What lies between a node and its bound so far is larger than the node, so the bound's own bound may follow.
+    for bound, passed in ((left, np.greater), (right, np.greater_equal)):
+        live = i
+        while len(live):
+            live = live[bound[live] >= 0]
+            live = live[passed(key[bound[live]], key[live])]
+            bound[live] = bound[bound[live]]
+    return np.where(left < 0, first, spots[left] + 1), np.where(right < 0, last, spots[right] - 1)
 
 
 def compact_windows(values: np.ndarray, width: int = TOKENS) -> list[tuple[int, int, int]]:
@@ -113,8 +111,8 @@ def intervals(tokens: np.ndarray, begin: np.ndarray, f: int) -> tuple[np.ndarray
     values = mix(tokens * _SEEDS[f])
     doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
     low = _lowest(values, TOKENS) if len(values) >= TOKENS else np.zeros(0, np.int64)
-    inside = doc[:len(low)] == doc[TOKENS - 1:] if len(low) else np.zeros(0, bool)
-    spots = np.unique(low[inside])
+    spots = low[doc[:len(low)] == doc[TOKENS - 1:]] if len(low) else low
+    spots = spots[starts(spots)]
     own = doc[spots]
     left, right = _trees(values, spots, begin[own], begin[own + 1] - 1)
     lo, hi = np.maximum(left, spots - TOKENS + 1), np.minimum(spots, right - TOKENS + 1)
@@ -163,6 +161,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sig, k1[lo + own], k2[lo + own], _packed(a, b, c))], ["sig", *_KEY, "at"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of words instead of the text."""
+    for batch in batches:
+        words = [np.diff(t.word_offsets) for _, _, t in chunks(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *_KEY)), pa.array(np.concatenate(
+            [np.zeros(0, np.int64), *words]))], ["doc_id", *_KEY, "n_words"])
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as they travel: compressed, since a text goes to each of its pairs."""
     codec = pa.Codec("zstd")
@@ -172,16 +178,21 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [codec.compress(r, asbytes=True) for r in raw], pa.binary())], [*_KEY, "size", "packed"])
 
 
-def _tokenised(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    codec, held, total = pa.Codec("zstd"), [], 0
+def _token_chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, shingles, where each text begins) of consecutive rows."""
+    codec, held, total, lo = pa.Codec("zstd"), [], 0, 0
     packed = batch.column("packed")
     for i, size in enumerate(batch.column("size").to_pylist()):
         held.append(codec.decompress(packed[i].as_buffer(), size, asbytes=True))
         total += size
         if total > CHUNK_BYTES or i == batch.num_rows - 1:
-            h, begin = _tokens(ByteTexts.of(held))
-            yield from (h[a:b] for a, b in zip(begin[:-1], begin[1:]))
-            held, total = [], 0
+            yield lo, *_tokens(ByteTexts.of(held))
+            held, total, lo = [], 0, i + 1
+
+
+def _tokenised(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for _, h, begin in _token_chunks(batch):
+        yield from (h[a:b] for a, b in zip(begin[:-1], begin[1:]))
 
 
 class _Side:
@@ -197,11 +208,7 @@ class _Side:
         # Shingle p counts for the stretches from ``first`` to p: those that hold it and no earlier copy.
         self.first, self.last = np.maximum(np.maximum(at - TOKENS, before) + 1, 0), at
         self.distinct = _coverage(self.first, self.last, n)
-
-
-def _coverage(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
-    """How many of the ranges (inclusive) hold each of 0..n-1."""
-    return np.cumsum(np.bincount(first, minlength=n + 1)[:n + 1] - np.bincount(last + 1, minlength=n + 1)[:n + 1])[:n]
+        self.least = int(self.distinct[:max(n - TOKENS + 1, 0)].min(initial=TOKENS))
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -211,18 +218,25 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def near_stretches(a: np.ndarray, b: np.ndarray, shifts: list[int]) -> Iterator[tuple[int, int, int]]:
     """(shift, first, last) start in ``a`` of runs of stretches near to the one ``shift`` further in ``b``."""
+    kinds, codes = np.unique(a, return_inverse=True)
+    return _near(kinds, _Side(codes), b, shifts)
+
+
+def _near(kinds: np.ndarray, x: _Side, b: np.ndarray, shifts: list[int]) -> Iterator[tuple[int, int, int]]:
+    """``near_stretches`` of a text with the different shingles ``kinds``, which ``x`` numbers."""
+    a = x.codes
     if min(len(a), len(b)) < TOKENS:
         return
-    both, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = _Side(codes[:len(a)]), _Side(codes[len(a):])
-    shared = np.zeros((2, len(both)), bool)
-    shared[0, x.codes] = shared[1, y.codes] = True
-    shared = shared.all(axis=0)
+    at = np.minimum(np.searchsorted(kinds, b), len(kinds) - 1)
+    same, shared = kinds[at] == b, np.zeros(len(kinds), bool)
+    shared[at[same]] = True
     # A stretch shares as many shingles as the texts do at most, and its union has its own at least.
-    least = min(x.distinct[:len(a) - TOKENS + 1].min(), y.distinct[:len(b) - TOKENS + 1].min())
-    if shared.sum() < THRESHOLD * least - 1e-9:
+    if shared.sum() < THRESHOLD * x.least - 1e-9:
+        return
+    y = _Side(b)
+    if shared.sum() < THRESHOLD * y.least - 1e-9:
         return
-    p, q = np.flatnonzero(shared[x.codes]), np.flatnonzero(shared[y.codes])
+    p, q = np.flatnonzero(shared[a]), np.flatnonzero(same)
     # Positions are counted in ``a``, from ``base`` on so that none is negative.
     base = len(a) + len(b)
     span = 2 * base + TOKENS
@@ -231,11 +245,11 @@ def near_stretches(a: np.ndarray, b: np.ndarray, shifts: list[int]) -> Iterator[
         if hi < lo or not len(p):
             continue
         # Ranges of one shingle are disjoint on each side, so two of them overlap where both sides hold it.
-        begin = np.concatenate((x.codes[p] * span + x.first[p], y.codes[q] * span + y.first[q] - shift)) + base
-        end = np.concatenate((x.codes[p] * span + x.last[p], y.codes[q] * span + y.last[q] - shift)) + base + 1
-        where = np.concatenate((end, begin))
-        order = np.argsort(where, kind="stable")
-        where, depth = where[order], np.cumsum(np.where(order < len(end), -1, 1))
+        begin = np.concatenate((a[p] * span + x.first[p], at[q] * span + y.first[q] - shift)) + base
+        end = np.concatenate((a[p] * span + x.last[p], at[q] * span + y.last[q] - shift)) + base + 1
+        # At one place ends come before beginnings.
+        where = np.sort(np.concatenate((end << 1, begin << 1 | 1)))
+        where, depth = where >> 1, np.cumsum(2 * (where & 1) - 1)
         two = np.flatnonzero(depth[:-1] == 2)
         first = where[two] % span - base
         last = np.minimum(first + where[two + 1] - where[two] - 1, hi)
@@ -250,30 +264,21 @@ def near_stretches(a: np.ndarray, b: np.ndarray, shifts: list[int]) -> Iterator[
 _FOUND = "k1 long, k2 long, o1 long, o2 long, first int, last int"
 
 
-def _apart(head: np.ndarray, least: int, own: np.ndarray) -> bool:
-    """Whether so few shingles of ``own`` are in ``head`` (sorted) that no stretch can be near."""
-    at = np.minimum(np.searchsorted(head, own), max(len(head) - 1, 0))
-    return not len(head) or len(np.unique(own[head[at] == own])) < THRESHOLD * least - 1e-9
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive sorted by head and lane: the head's text, then those to compare with it."""
-    head, tokens, ordered, least = None, None, None, 0
+    head, kinds, side = None, None, None
     for batch in batches:
         rows: list[tuple] = []
         a1, a2, b1, b2 = (batch.column(c).to_pylist() for c in ("a1", "a2", "b1", "b2"))
         shifts = batch.column("shifts")
         for i, own in enumerate(_tokenised(batch)):
             if b1[i] is None:
-                head, tokens, ordered = (a1[i], a2[i]), own, np.unique(own)
-                kinds = _Side(np.searchsorted(ordered, own)).distinct[:max(len(own) - TOKENS + 1, 0)]
-                least = int(kinds.min()) if len(kinds) else 1
+                head, (kinds, codes) = (a1[i], a2[i]), np.unique(own, return_inverse=True)
+                side = _Side(codes)
                 continue
             if head != (a1[i], a2[i]):
                 raise ValueError("a pair came before its head")
-            if _apart(ordered, least, own):
-                continue
-            for shift, s, e in near_stretches(tokens, own, shifts[i].as_py()):
+            for shift, s, e in _near(kinds, side, own, shifts[i].as_py()):
                 rows.append((*head, b1[i], b2[i], s, e + WORDS))
                 rows.append((b1[i], b2[i], *head, s + shift, e + shift + WORDS))
         if rows:
@@ -300,20 +305,37 @@ def _pieces(tokens: np.ndarray, lo: int, hi: int, c: int) -> Iterator[tuple[int,
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of large groups with the shingles of their stretches; places of a text with equal ones once."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
-        keys = zip(*(batch.column(k).to_pylist() for k in _KEY))
-        for i, ((k1, k2), tokens) in enumerate(zip(keys, _tokenised(batch))):
-            rows = batch.column("rows")[i].values
-            sig, at = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("sig", "at"))
-            seen: dict[tuple, list[int]] = {}
-            for own, *row in zip(sig.tolist(), *(v.tolist() for v in _unpacked(at))):
-                for lo, hi, c in _pieces(tokens, *row):
-                    seen.setdefault((own, c - lo, tokens[lo:hi + TOKENS].tobytes()), []).append(lo)
-            for (own, ahead, content), starts in seen.items():
-                for col, v in zip(out, (own, k1, k2, ahead, sorted(starts), content)):
-                    col.append(v)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.int32()), pa.array(
-            out[4], pa.list_(pa.int32())), pa.array(out[5], pa.binary())], ["sig", *_KEY, "ahead", "starts", "shingles"])
+        rows, many = batch.column("rows").flatten(), pc.list_value_length(batch.column("rows")).to_numpy().astype(np.int64)
+        sigs, ats = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("sig", "at"))
+        k1, k2 = (batch.column(k).to_numpy() for k in _KEY)
+        bound = np.append(0, np.cumsum(many))
+        for top, h, begin in _token_chunks(batch):
+            texts = len(begin) - 1
+            part = slice(bound[top], bound[top + texts])
+            text, sig, (lo, hi, c) = np.repeat(np.arange(texts), many[top:top + texts]), sigs[part], _unpacked(ats[part])
+            cut = np.flatnonzero(hi > c)
+            pieces = [(i, *x) for i in cut.tolist() for x in _pieces(h[begin[text[i]]:begin[text[i] + 1]], int(lo[i]), int(hi[i]), int(c[i]))]
+            if pieces:
+                i, *more = np.array(pieces, np.int64).T
+                text, sig = (np.append(np.delete(x, cut), x[i]) for x in (text, sig))
+                lo, hi, c = (np.append(np.delete(x, cut), y) for x, y in zip((lo, hi, c), more))
+            first, size = begin[text] + lo, hi - lo + TOKENS
+            key = range_hashes(h, first, first + size) + (size << 7 | c - lo).astype(np.uint64)
+            key = mix(mix(key) + sig.view(np.uint64)) + text.astype(np.uint64) * np.uint64(_SEEDS[0])
+            order = np.lexsort((lo, key))
+            at = starts(key[order])
+            # By text and place again: neighbours share shingles, which compresses.
+            own = np.argsort(first[order[at]], kind="stable")
+            count, at = np.diff(np.append(at, len(order)))[own], at[own]
+            one = order[at]
+            content = h[spread(first[one], size[one])]
+            ends = np.append(0, np.cumsum(size[one] * 8)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(sig[one]), pa.array(k1[top + text[one]]), pa.array(k2[top + text[one]]), pa.array((c - lo)[one].astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(lo[order[spread(at, count)]].astype(
+                    np.int32))),
+                pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(ends), pa.py_buffer(content)])],
+                ["sig", *_KEY, "ahead", "starts", "shingles"])
 
 
 def _windowed(flags: np.ndarray) -> np.ndarray:
@@ -324,7 +346,8 @@ def _windowed(flags: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """Rows of one group, aligned at the shared minimum: column ``TOKENS`` - 1 of ``codes``. Stretch s of a row
+    """The comparison of one group row by row, which the query no longer uses: ``Groups`` does the same for many at once.
+    Rows of one group, aligned at the shared minimum: column ``TOKENS`` - 1 of ``codes``. Stretch s of a row
     has the columns from s on; those of its interval are ``inside``."""
 
     def __init__(self, text: np.ndarray, ahead: np.ndarray, shingles: list[np.ndarray]):
@@ -451,61 +474,62 @@ class _Block:
                 yield i, centre
 
 
-def _compared(rows: pa.RecordBatch) -> Iterator[tuple]:
-    """Found rows of two chunks of a group (or one with itself)."""
-    k1, k2, chunk, ci, cj = (rows.column(c).to_numpy() for c in (*_KEY, "chunk", "ci", "cj"))
+def _compared(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Found rows of groups (each two chunks of a signature's rows, or one with itself)."""
+    k1, k2, sig, chunk, ci, cj = (rows.column(c).to_numpy() for c in (*_KEY, "sig", "chunk", "ci", "cj"))
     order = np.lexsort((k2, k1))
-    new = np.concatenate(([True], (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)))
-    text = np.empty(len(k1), np.int64)
-    text[order] = np.cumsum(new)
-    if text.max() == 1:
-        return
-    block = _Block(text, rows.column("ahead").to_numpy().astype(np.int64), [
-        np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()])
-    lower, upper = np.flatnonzero(chunk == ci[0]), np.flatnonzero(chunk == cj[0])
-    meet = block.candidates(lower, upper)
-    if ci[0] == cj[0]:
-        meet = np.triu(meet, 1)
-    left: list[tuple[int, int, np.ndarray]] = []
-    for i in np.flatnonzero(meet.any(axis=1)):
-        left += block.compare(lower[i], upper[meet[i]])
-    for pair in left:
-        block.exact(*pair)
-    starts = rows.column("starts").to_pylist()
-    k1, k2 = k1.tolist(), k2.tolist()
-    for i, a, b in block.found():
-        first, last = starts[i][0] + a, starts[i][0] + b + WORDS
-        for s in starts[i][1:]:
-            if s + a > last:
-                yield k1[i], k2[i], None, None, first, last
-                first = s + a
-            last = s + b + WORDS
-        yield k1[i], k2[i], None, None, first, last
-    for i, j in block.stars():
-        yield k1[i], k2[i], k1[j], k2[j], None, None
+    text, new = np.empty(len(k1), np.int64), np.ones(len(k1), bool)
+    new[1:] = (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)
+    text[order] = np.cumsum(new) - 1
+    k1, k2 = k1[order][new], k2[order][new]
+    new = np.ones(len(sig), bool)
+    new[1:] = (np.diff(sig) != 0) | (np.diff(ci) != 0) | (np.diff(cj) != 0)
+    group = np.cumsum(new) - 1
+    shingles, lists = rows.column("shingles"), rows.column("starts")
+    offsets = np.frombuffer(shingles.buffers()[1], np.int32)[shingles.offset:shingles.offset + len(shingles) + 1]
+    block = Groups(group, text, np.where(chunk == ci, 1, 2), (ci != cj)[new], rows.column("ahead").to_numpy().astype(np.int64), np.diff(
+        offsets).astype(np.int64) // 8, np.frombuffer(shingles.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(np.uint64), TOKENS)
+    # Runs of covered stretches, at each place of the row; of one text as one range where they meet.
+    covered, fresh = block.covered(), np.ones(len(block.row) + 1, bool)
+    fresh[1:-1] = block.row[1:] != block.row[:-1]
+    before, after = np.append(False, covered[:-1]) & ~fresh[:-1], np.append(covered[1:], False) & ~fresh[1:]
+    first, last = np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after)
+    row, first, last = block.row[first], *(block.at[x] - block.begin[block.row[x]] for x in (first, last))
+    places = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    every = np.repeat(np.arange(len(row)), places[row])
+    at = lists.flatten().to_numpy()[spread((np.cumsum(places) - places)[row], places[row])].astype(np.int64)
+    first, last = text[row[every]] << 32 | at + first[every], text[row[every]] << 32 | at + last[every] + WORDS
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], np.maximum.accumulate(last[order]) if len(order) else last
+    new = np.ones(len(first), bool)
+    new[1:] = first[1:] > last[:-1]
+    first, last = first[new], last[np.append(np.flatnonzero(new)[1:], len(last)) - 1] if len(last) else last
+    linked = np.flatnonzero(block.label != np.arange(len(block.label)))
+    own, other = np.append(first >> 32, linked), block.label[linked]
+    ends = [pa.array((x & (1 << 32) - 1).astype(np.int32)) for x in (first, last)]
+    return pa.RecordBatch.from_arrays([pa.array(k1[own]), pa.array(k2[own]), *(pa.concat_arrays([pa.nulls(len(first), pa.int64()), pa.array(
+        k[other])]) for k in (k1, k2)), *(pa.concat_arrays([x, pa.nulls(len(linked), pa.int32())]) for x in ends)], [*_KEY, "o1", "o2", "first", "last"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by group and chunks."""
-    def flush(rows: pa.RecordBatch, edges: list[int]) -> Iterator[pa.RecordBatch]:
-        out = [x for a, b in zip(edges[:-1], edges[1:]) for x in _compared(rows.slice(a, b - a))]
-        if out:
-            columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 4 else pa.int32()) for i, c in enumerate(
-                columns)], ["k1", "k2", "o1", "o2", "first", "last"])
-
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        group = np.stack([batch.column(c).to_numpy() for c in ("sig", "ci", "cj")])
-        edges = [0, *(np.flatnonzero((np.diff(group) != 0).any(axis=0)) + 1).tolist()]
-        yield from flush(batch, edges)
-        held = batch.slice(edges[-1])
-    if held is not None:
-        yield from flush(held, [0, held.num_rows])
+    """Rows arrive sorted by group and chunks; whole groups are compared, up to ``CHUNK`` rows (or one group) at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held += [batch] * (batch.num_rows > 0)
+            if sum(b.num_rows for b in held) < CHUNK:
+                continue
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        group = np.stack([rows.column(c).to_numpy() for c in ("sig", "ci", "cj")])
+        edges = np.array([0, *(np.flatnonzero((np.diff(group) != 0).any(axis=0)) + 1).tolist(), rows.num_rows])
+        end, i = len(edges) - 1 - (batch is not None), 0
+        while i < end:
+            j = min(max(i + 1, int(np.searchsorted(edges, edges[i] + CHUNK, "right")) - 1), end)
+            yield _compared(rows.slice(edges[i], edges[j] - edges[i]))
+            i = j
+        held = [rows.slice(edges[end])] if batch is not None else []
 
 
 def _differ(*columns: str) -> list[Column]:
@@ -528,10 +552,13 @@ def _pairs(rows: DataFrame) -> DataFrame:
         "sig")).alias("shared")), "passage-pairs")
 
 
-def _grouped(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """What is near in large groups."""
+def _placed(rows: DataFrame, texts: DataFrame) -> DataFrame:
     lists = rows.groupBy(*_KEY).agg(F.collect_list(F.struct("sig", "at")).alias("rows"))
-    places = saved(lists.join(texts, _KEY).mapInArrow(_places, _PLACES), "passage-places")
+    return saved(lists.join(texts, _KEY).mapInArrow(_places, _PLACES), "passage-places")
+
+
+def _grouped(places: DataFrame) -> DataFrame:
+    """What is near in large groups."""
     many = saved(places.groupBy("sig").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n")).where("n > 1"), "passage-many")
     own = F.pmod(F.xxhash64(*_KEY, "shingles"), F.col("n")).cast("int")
     dealt = places.join(broadcast_if_bounded(many), "sig", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn(
@@ -579,8 +606,8 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     entries = saved(signed.join(shared, "sig").distinct(), "passage-entries")
     forget(signed, shared)
 
-    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    narrow = saved(rows.select("doc_id", *_KEY, words.alias("n_words")), "passage-rows")
+    schema = rows.select("doc_id", *_KEY, F.lit(0).cast("long").alias("n_words")).schema
+    narrow = saved(rows.select("doc_id", *_KEY, "text").mapInArrow(_counted, schema), "passage-rows")
     copies = saved(narrow.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.min("doc_id").alias("one")), "passage-copies")
     wanted = saved(entries.select(*_KEY).distinct().join(copies, _KEY).select(*_KEY, "one"), "passage-wanted")
     chosen = rows.join(broadcast_if_bounded(wanted), (rows.k1 == wanted.k1) & (rows.k2 == wanted.k2) & rows.doc_id.eqNullSafe(
@@ -593,16 +620,24 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     small = saved(entries.groupBy("sig").agg(F.count("*").alias("n"), F.min(one).alias("one")).where(
         (F.col("n") <= SMALL) & F.col("one")).select("sig"), "passage-small")
     pairs = _supported(_pairs(entries.join(small, "sig", "left_semi")), entries)
-    found = _verified(pairs, texts).union(_grouped(entries.join(small, "sig", "left_anti"), texts))
-    forget(entries, texts)
-    return _report(narrow, copies, found)
+    found, places = _verified(pairs, texts), _placed(entries.join(small, "sig", "left_anti"), texts)
+    forget(entries, texts, pairs, small)
+    return _report(narrow, copies, found.union(_grouped(places)))
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    """Links of texts. Large groups give them in rows of their own, as stars; a text has one centre for each call of
+    ``_compared`` at most, and these are linked to the smallest, so that most texts give the same links."""
+    node = lambda a, b: F.concat_ws(":", a, b)
+    links = found.where("o1 IS NOT NULL").select(node("k1", "k2").alias("a"), node("o1", "o2").alias("b"), F.col("first").isNull().alias("star"))
+    stars = links.where("star").groupBy("a").agg(F.collect_set("b").alias("centres")).withColumn("b", F.array_min("centres"))
+    centred = stars.select(F.explode(F.concat(F.array("a"), F.array_remove("centres", F.col("b")))).alias("a"), "b")
+    return links.where("NOT star").select("a", "b").union(centred).distinct()
 
 
 def _report(narrow: DataFrame, copies: DataFrame, found: DataFrame) -> DataFrame:
     node = lambda a, b: F.concat_ws(":", a, b)
-    # Large groups give ranges and links in rows of their own.
-    edges = found.where("o1 IS NOT NULL").select(node("k1", "k2").alias("a"), node("o1", "o2").alias("b")).distinct()
-    labels = components(edges)
+    labels = components(_edges(found))
     named = copies.withColumn("node", node("k1", "k2")).join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
     classes = named.join(named.groupBy("label").agg(F.min("one").alias("class_id")), "label").select(*_KEY, "copies", "class_id")
